@@ -13,7 +13,10 @@ a key holding a third of the data is split across many tasks along ``o``:
    ``n`` and is broadcast.
 
 Shuffles: the range exchange, one balanced exchange by slice id, and two
-exchanges of at most ``n`` rows.
+exchanges of at most ``n`` rows.  Slice ids must agree between the rows and the
+tail table; both are derived from the same range exchange over identical input,
+which Spark executes once (exchange reuse) and whose bounds are a deterministic
+function of that input.
 """
 
 from __future__ import annotations
@@ -59,10 +62,14 @@ def previous_in_sequence(df: DataFrame, partition_by: Sequence[str], order_by: S
     for src, dst in carry.items():
         local = local.withColumn(dst, F.when(F.col("__has_prev"), F.lag(src).over(w)))
 
-    # Slice tails: the last row of each non-empty partition (<= n rows).
+    # Slice tails: the last row of each non-empty partition (<= n rows).  The
+    # tail struct references every input column on purpose: both consumers of
+    # the range exchange then need identical inputs, so the exchange (and the
+    # range bounds it samples) is one shared stage and slice ids agree.
     tail_fields = list(partition_by) + list(carry.keys())
+    all_cols = list(dict.fromkeys(df.columns))
     tails = ranged.groupBy("__pid").agg(
-        F.max_by(F.struct(*[F.col(c).alias(c) for c in tail_fields]),
+        F.max_by(F.struct(*[F.col(c).alias(c) for c in all_cols]),
                  F.struct(*[F.col(c) for c in keys])).alias("t"))
     tw = Window.orderBy("__pid")  # over <= n rows
     prev_tail = tails.select(F.col("__pid").alias("__tp"), F.lag("t").over(tw).alias("pt"))

@@ -34,6 +34,24 @@ def ctes() -> str:
     """Common table expressions shared by the oracle queries."""
     tz = fx.timezone_case("r.r_name")
     return f"""
+loc as (
+  select c.c_custkey + 1 as location_id,
+    c.c_custkey + 1000000 as open_meteo_location_id,
+    c.c_name as city,
+    case when c.c_custkey % 5 in (0, 1) then null else c.c_mktsegment end as administrative_area,
+    n.n_name as country,
+    chr(65 + n.n_nationkey) || chr(65 + (n.n_nationkey * 7) % 26) as country_code,
+    cast(c.c_custkey % 180 as double) - 89.5e0 as latitude,
+    cast((c.c_custkey * 7) % 360 as double) - 179.75e0 as longitude,
+    {tz} as timezone,
+    case when c.c_custkey % 10 = 0 then null else c.c_acctbal / 10e0 end as elevation,
+    case when c.c_custkey % 7 = 0 then null else c.c_custkey * 1000 end as population,
+    timestamp '2023-12-01 00:00:00' as source_created_at,
+    timestamp '2023-12-15 00:00:00' + cast(c.c_custkey % 30 as integer) * interval 1 day as source_updated_at,
+    timestamp '2024-01-01 00:00:00' as synced_at
+  from customer c join nation n on c.c_nationkey = n.n_nationkey
+  join region r on n.n_regionkey = r.r_regionkey
+),
 ev as (
   select event_id as e, user_id + 1 as location_id, event_type as model_id,
          date_trunc('hour', ts) as valid_at, value as x,
@@ -100,24 +118,46 @@ vc as (
     {_metric_select(fx.VERIFICATION_FORMULAS)}
   from vall where s = e % 3 + 1
 ),
-loc as (
-  select c.c_custkey + 1 as location_id,
-    c.c_custkey + 1000000 as open_meteo_location_id,
-    c.c_name as city,
-    case when c.c_custkey % 5 in (0, 1) then null else c.c_mktsegment end as administrative_area,
-    n.n_name as country,
-    chr(65 + n.n_nationkey) || chr(65 + (n.n_nationkey * 7) % 26) as country_code,
-    cast(c.c_custkey % 180 as double) - 89.5e0 as latitude,
-    cast((c.c_custkey * 7) % 360 as double) - 179.75e0 as longitude,
-    {tz} as timezone,
-    case when c.c_custkey % 10 = 0 then null else c.c_acctbal / 10e0 end as elevation,
-    case when c.c_custkey % 7 = 0 then null else c.c_custkey * 1000 end as population,
-    timestamp '2023-12-01 00:00:00' as source_created_at,
-    timestamp '2023-12-15 00:00:00' + cast(c.c_custkey % 30 as integer) * interval 1 day as source_updated_at,
-    timestamp '2024-01-01 00:00:00' as synced_at
-  from customer c join nation n on c.c_nationkey = n.n_nationkey
-  join region r on n.n_regionkey = r.r_regionkey
-)"""
+runs as (
+  select event_id, location_id, model_id, model_name, provider, resolution_km, forecast_run_at, retrieved_at,
+    count(*) as hour_count, min(valid_at) as first_valid_at, max(valid_at) as last_valid_at
+  from fc group by all
+),
+mr_raw as (
+  select r.*, c.copy,
+    'forecast.runs' as kafka_topic, location_id % 3 as kafka_partition,
+    cast(epoch(forecast_run_at) / 3600 as bigint) * 1000000000 + location_id * 10
+      + case model_id when 'click' then 0 when 'view' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end
+      + 5 * c.copy as kafka_offset,
+    cast(location_id as varchar) || ':' || model_id as kafka_key,
+    retrieved_at as kafka_timestamp,
+    retrieved_at + interval 1 minute + c.copy * interval 1 hour as ingested_at
+  from runs r join (select unnest([0, 1]) as copy) c on c.copy = 0 or r.location_id % 7 = 0
+),
+vev_raw as (
+  select event_id, location_id, day, s, period_start, period_end, retrieved_at, ingested_at,
+    'weather.verification' as kafka_topic, location_id % 3 as kafka_partition,
+    cast(epoch(day) / 86400 as bigint) * 10000000 + location_id * 10 + s as kafka_offset,
+    cast(location_id as varchar) as kafka_key, retrieved_at as kafka_timestamp
+  from vall group by all
+),
+oh as (
+  select *, hour(valid_at) as h, 0 as s, date_trunc('day', valid_at) as day
+  from ev qualify row_number() over (partition by location_id, valid_at order by e) = 1
+),
+ohm as (
+  select location_id, day, valid_at, e, {_metric_select(fx.FORECAST_FORMULAS)} from oh
+),
+op_raw as (
+  select {_sha(f"'{fx.OPERATIONAL_SOURCE}'", 'cast(o.location_id as varchar)', _rfc('o.day + interval 6 hour'))} as event_id,
+    o.location_id, o.day, '{fx.OPERATIONAL_SOURCE}' as source, o.day + interval 6 hour as retrieved_at,
+    l.timezone, 'forecast.latest' as kafka_topic, o.location_id % 3 as kafka_partition,
+    cast(epoch(o.day) / 86400 as bigint) * 10000000 + o.location_id as kafka_offset,
+    cast(o.location_id as varchar) as kafka_key, o.day + interval 6 hour as kafka_timestamp,
+    o.day + interval 6 hour + interval 1 minute as ingested_at
+  from (select distinct location_id, day from ohm) o left join loc l on o.location_id = l.location_id
+)
+"""
 
 
 def accuracy_sql() -> str:

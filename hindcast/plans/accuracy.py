@@ -130,11 +130,20 @@ def summary_aggregates():
     ]
 
 
+FACT_KEYS = ["location_id", "model_id", "model_name", "provider", "resolution_km", "lead_time_bucket"]
+DIM_KEYS = ["city", "administrative_area", "country", "country_code", "timezone"]
+
+
 def agg_model_accuracy(accuracy: DataFrame, dim_locations: DataFrame, dim_rows: int | None = None) -> DataFrame:
-    """J2 + A1-A10.  The dimension columns are joined before the rollup (as the
-    model defines it); the join is a size-checked broadcast, so the fact side
-    is not shuffled for it and the only wide exchange is the aggregate's."""
-    loc = dim_locations.select("location_id", "city", "administrative_area", "country",
-                               "country_code", "timezone")
-    enriched = join_dimension(accuracy, loc, "location_id", "inner", dim_rows=dim_rows)
-    return enriched.groupBy(*GROUP_KEYS).agg(*summary_aggregates())
+    """J2 + A1-A10: the rollup by the 11 keys of the model.
+
+    The dimension holds one row per ``location_id`` (W2), so its five columns
+    are functionally dependent on ``location_id``: rolling up by the fact keys
+    first and joining the dimension afterwards gives the same rows, with the
+    wide aggregate over six keys and the join over the (much smaller) rollup.
+    The join is a size-checked broadcast."""
+    rolled = accuracy.groupBy(*FACT_KEYS).agg(*summary_aggregates())
+    loc = dim_locations.select("location_id", *DIM_KEYS)
+    enriched = join_dimension(rolled, loc, "location_id", "inner", dim_rows=dim_rows)
+    names = [c for c in rolled.columns if c not in FACT_KEYS]
+    return enriched.select(*GROUP_KEYS, *names)

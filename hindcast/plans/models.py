@@ -26,9 +26,20 @@ class Models:
 
     @classmethod
     def from_bridge(cls, spark: SparkSession, sf_dir: str) -> "Models":
+        """Models straight over the lazily bridged raw tables (no landing)."""
         b = Bridge.load(spark, sf_dir)
         return cls(b.locations(), b.model_run_raw(), b.verification_raw(), b.operational_raw())
 
+    @classmethod
+    def from_landed(cls, spark: SparkSession, sf_dir: str) -> "Models":
+        """Models over the landed (written once, date-partitioned) raw tables."""
+        from hindcast.sources.landing import read_landed
+
+        return cls(read_landed(spark, sf_dir, "locations"),
+                   read_landed(spark, sf_dir, "model_run_events"),
+                   read_landed(spark, sf_dir, "verification_weather_events"),
+                   read_landed(spark, sf_dir, "operational_forecast_events"))
+
     # staging
     @cached_property
     def stg_locations(self) -> DataFrame:

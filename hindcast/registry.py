@@ -43,7 +43,8 @@ def register(name: str, doubles: list[str] | None = None, sql: Callable[[], str]
 
 
 def _models(spark: SparkSession, sf_dir: str) -> Models:
-    return Models.from_bridge(spark, sf_dir)
+    """Models over the raw tables landed from ``sf_dir`` (landed once per input)."""
+    return Models.from_landed(spark, sf_dir)
 
 
 # --------------------------------------------------------------------------- flagship
@@ -120,3 +121,129 @@ LOC_COLS = ["location_id", "open_meteo_location_id", "city", "administrative_are
 def q_dim_locations(spark, sf_dir):
     """Newest normalized version of each location."""
     return _models(spark, sf_dir).dim_locations
+
+
+# --------------------------------------------------------------------------- staging
+JSON_TEXT = ["payload", "hourly_forecasts_json", "hourly_weather_json", "current_conditions_json",
+             "daily_forecasts_json"]
+LOG_SQL = "kafka_topic, kafka_partition, kafka_offset, kafka_key, kafka_timestamp, ingested_at"
+
+
+def _no_json(df: DataFrame) -> DataFrame:
+    """JSON text is checked through the parsed layers; drop it from value checks."""
+    return df.drop(*[c for c in JSON_TEXT if c in df.columns])
+
+
+@register("stg_model_run_events", ["resolution_km"], lambda: O.with_ctes(body=f"""
+select event_id, 'forecast.model_run.snapshot' as event_type, cast(1 as bigint) as schema_version,
+  location_id, model_id, model_name, provider, resolution_km, forecast_run_at, retrieved_at,
+  retrieved_at as event_occurred_at, {LOG_SQL}
+from mr_raw qualify row_number() over (partition by event_id order by ingested_at desc,
+  kafka_partition desc, kafka_offset desc) = 1"""))
+def q_stg_model_run_events(spark, sf_dir):
+    """De-duplicated model-run events (replays collapse to the newest delivery)."""
+    return _no_json(_models(spark, sf_dir).stg_model_run_events)
+
+
+@register("stg_verification_events", [], lambda: O.with_ctes(body=f"""
+select v.event_id, 'weather.verification.snapshot' as event_type, cast(1 as bigint) as schema_version,
+  v.location_id, '{O.fx.VERIFICATION_SOURCE}' as source, 'reanalysis' as reference_kind, v.period_start,
+  v.period_end, v.retrieved_at, v.retrieved_at as event_occurred_at, l.timezone as verification_timezone,
+  v.{LOG_SQL.replace(', ', ', v.')}
+from vev_raw v left join loc l on v.location_id = l.location_id"""))
+def q_stg_verification_events(spark, sf_dir):
+    """De-duplicated verification events with envelope fields."""
+    return _no_json(_models(spark, sf_dir).stg_verification_weather_events)
+
+
+@register("stg_operational_events", [], lambda: O.with_ctes(body=f"""
+select event_id, 'forecast.latest.snapshot' as event_type, cast(1 as bigint) as schema_version,
+  location_id, source, retrieved_at, retrieved_at as event_occurred_at, timezone as forecast_timezone,
+  {LOG_SQL}
+from op_raw"""))
+def q_stg_operational_events(spark, sf_dir):
+    """De-duplicated operational snapshot events."""
+    return _no_json(_models(spark, sf_dir).stg_operational_forecast_events)
+
+
+@register("stg_locations", ["latitude", "longitude", "elevation"], lambda: O.with_ctes(body="""
+select location_id, open_meteo_location_id, city, country, country_code, latitude, longitude, timezone,
+  elevation, population, administrative_area, source_created_at, source_updated_at, synced_at from loc"""))
+def q_stg_locations(spark, sf_dir):
+    """Newest normalized location versions."""
+    return _models(spark, sf_dir).stg_locations
+
+
+# --------------------------------------------------------------------------- intermediate
+@register("int_model_run_hourly", ["resolution_km"] + FLOAT_METRICS, lambda: O.with_ctes(body=f"""
+select f.event_id, f.location_id, f.model_id, f.model_name, f.provider, f.resolution_km, f.forecast_run_at,
+  f.retrieved_at, f.retrieved_at as event_occurred_at,
+  f.retrieved_at + interval 1 minute + case when f.location_id % 7 = 0 then interval 1 hour else interval 0 hour end
+    as ingested_at,
+  f.valid_at, f.lead_time_hours, {', '.join('f.' + m for m in METRICS)}
+from fc f"""))
+def q_int_model_run_hourly(spark, sf_dir):
+    """One typed row per model-run event x hourly element."""
+    return _models(spark, sf_dir).int_model_run_hourly_forecasts
+
+
+@register("int_verification_hourly", FLOAT_METRICS, lambda: O.with_ctes(body=f"""
+select v.event_id, v.location_id, '{O.fx.VERIFICATION_SOURCE}' as source, 'reanalysis' as reference_kind,
+  v.retrieved_at, l.timezone as verification_timezone, v.period_start, v.period_end,
+  v.retrieved_at as event_occurred_at, v.ingested_at, v.valid_at,
+  {O._metric_select(O.fx.VERIFICATION_FORMULAS)}
+from vall v left join loc l on v.location_id = l.location_id"""))
+def q_int_verification_hourly(spark, sf_dir):
+    """Every verification version's hours (before W4)."""
+    return _models(spark, sf_dir).int_verification_hourly_weather
+
+
+@register("int_operational_hourly", FLOAT_METRICS, lambda: O.with_ctes(body=f"""
+select r.event_id, r.location_id, r.source, r.retrieved_at, r.timezone as forecast_timezone,
+  r.retrieved_at as event_occurred_at, r.ingested_at, h.valid_at,
+  datesub('hour', r.retrieved_at, h.valid_at) as forecast_horizon_hours,
+  {', '.join('h.' + m for m in METRICS)}
+from op_raw r join ohm h on r.location_id = h.location_id and r.day = h.day"""))
+def q_int_operational_hourly(spark, sf_dir):
+    """Typed operational hours with signed whole-hour horizons."""
+    return _models(spark, sf_dir).int_operational_hourly_forecasts
+
+
+# --------------------------------------------------------------------------- marts
+@register("dim_forecast_models", ["resolution_km"], lambda: O.with_ctes(body="""
+select model_id, any_value(model_name) as model_name, any_value(provider) as provider,
+  any_value(resolution_km) as resolution_km,
+  min(forecast_run_at) as first_forecast_run_at, max(forecast_run_at) as latest_forecast_run_at,
+  count(*) as forecast_run_count
+from runs group by model_id"""))
+def q_dim_forecast_models(spark, sf_dir):
+    """Model dimension with run summary."""
+    return _models(spark, sf_dir).dim_forecast_models
+
+
+@register("fct_operational_hourly", FLOAT_METRICS, lambda: O.with_ctes(body=f"""
+select r.event_id, r.location_id, r.source, r.retrieved_at as snapshot_at, r.timezone as forecast_timezone,
+  h.valid_at, cast((h.valid_at at time zone 'UTC') at time zone r.timezone as date) as local_forecast_date,
+  datesub('hour', r.retrieved_at, h.valid_at) as forecast_horizon_hours,
+  {', '.join('h.' + m for m in METRICS)}, r.ingested_at
+from op_raw r join ohm h on r.location_id = h.location_id and r.day = h.day"""))
+def q_fct_operational_hourly(spark, sf_dir):
+    """Operational hours with local forecast dates in each snapshot's zone."""
+    return _models(spark, sf_dir).fct_operational_hourly_forecasts
+
+
+@register("fct_forecast_revisions", ["temperature_2m", "precipitation_probability", "previous_temperature_2m",
+                                     "temperature_revision", "previous_precipitation_probability",
+                                     "precipitation_probability_revision"], lambda: O.with_ctes(body="""
+select event_id, location_id, model_id, model_name, provider, forecast_run_at, valid_at, lead_time_hours,
+  temperature_2m, precipitation_probability,
+  lag(forecast_run_at) over w as previous_forecast_run_at,
+  lag(temperature_2m) over w as previous_temperature_2m,
+  temperature_2m - lag(temperature_2m) over w as temperature_revision,
+  lag(precipitation_probability) over w as previous_precipitation_probability,
+  precipitation_probability - lag(precipitation_probability) over w as precipitation_probability_revision
+from fc
+window w as (partition by location_id, model_id, valid_at order by forecast_run_at, retrieved_at, event_id)"""))
+def q_fct_forecast_revisions(spark, sf_dir):
+    """Revision of each forecast against the previous run (skew-safe lag)."""
+    return _models(spark, sf_dir).fct_forecast_revisions

@@ -39,6 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf = dict(REQUIRED_CONF)
     conf.update(SCALE_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():

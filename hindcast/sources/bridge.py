@@ -54,11 +54,7 @@ def event_hours(events: DataFrame) -> DataFrame:
         F.col("value").alias("x"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    # min(struct) is a partial (map-side) aggregate: a hot key is combined per
-    # task before the shuffle.
-    return (e.groupBy("location_id", "model_id", "valid_at")
-            .agg(F.min(F.struct("e", "x", "k")).alias("w"))
-            .select("location_id", "model_id", "valid_at", "w.e", "w.x", "w.k"))
+    return _least_event(e, ["location_id", "model_id", "valid_at"])
 
 
 def location_hours(events: DataFrame, verified_only: bool) -> DataFrame:
@@ -72,9 +68,15 @@ def location_hours(events: DataFrame, verified_only: bool) -> DataFrame:
         F.col("value").alias("x"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    return (e.groupBy("location_id", "valid_at")
-            .agg(F.min(F.struct("e", "x", "k")).alias("w"))
-            .select("location_id", "valid_at", "w.e", "w.x", "w.k"))
+    return _least_event(e, ["location_id", "valid_at"])
+
+
+def _least_event(e: DataFrame, keys: list[str]) -> DataFrame:
+    """Values of the least event id per key.  ``min_by`` with primitive value
+    and ordering keeps a fixed-width buffer, so Spark uses a partial
+    HashAggregate: a hot key is combined in each task before the shuffle."""
+    return e.groupBy(*keys).agg(F.min("e").alias("e"), F.min_by("x", "e").alias("x"),
+                                F.min_by("k", "e").alias("k"))
 
 
 def forecast_hours(events: DataFrame) -> DataFrame:
@@ -144,10 +146,18 @@ def model_run_events(events: DataFrame) -> DataFrame:
         F.to_json(envelope, JSON_OPTIONS).alias("payload"),
         (F.col("retrieved_at") + F.expr("make_dt_interval(0, 0, 1, 0)")).alias("ingested_at"),
     )
-    replays = (base.filter(F.col("location_id") % 7 == 0)
-               .withColumn("kafka_offset", F.col("kafka_offset") + 5)
-               .withColumn("ingested_at", F.col("ingested_at") + _hours(1)))
-    return base.unionByName(replays)
+    return _with_replays(base, F.col("location_id") % 7 == 0)
+
+
+def _with_replays(base: DataFrame, replayed: Column) -> DataFrame:
+    """Deliver the rows matching ``replayed`` a second time, an hour later and
+    at a higher offset (a generator, so the base plan is computed once)."""
+    copies = F.when(replayed, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = base.withColumn("__copy", F.explode(copies))
+    return (out
+            .withColumn("kafka_offset", F.col("kafka_offset") + F.col("__copy") * 5)
+            .withColumn("ingested_at", F.col("ingested_at") + F.expr("make_dt_interval(0, __copy, 0, 0)"))
+            .drop("__copy"))
 
 
 def verification_events(events: DataFrame) -> DataFrame:
