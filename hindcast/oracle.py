@@ -263,3 +263,62 @@ group by all"""
 def with_ctes(*extra: str, body: str) -> str:
     parts = [ctes().strip()] + [x.strip() for x in extra]
     return "with " + ",\n".join(parts) + "\n" + body.strip()
+
+
+def model_ctes() -> str:
+    """One CTE per warehouse model name (``m_<model>``) over the oracle tables."""
+    metrics = ", ".join(METRICS)
+    return f"""
+m_stg_locations as (select * from loc),
+m_dim_locations as (select * from loc),
+m_stg_operational_forecast_events as (
+  select event_id, location_id, retrieved_at, timezone as forecast_timezone from op_raw),
+m_stg_model_run_events as (select event_id, location_id, model_id, forecast_run_at from runs),
+m_stg_verification_weather_events as (
+  select v.event_id, v.location_id, 'reanalysis' as reference_kind, v.period_start, v.period_end, v.retrieved_at,
+    l.timezone as verification_timezone
+  from vev_raw v left join loc l on v.location_id = l.location_id),
+m_int_operational_hourly_forecasts as (
+  select r.event_id, r.location_id, h.valid_at from op_raw r join ohm h on r.location_id = h.location_id and r.day = h.day),
+m_fct_operational_hourly_forecasts as (select * from m_int_operational_hourly_forecasts),
+m_int_model_run_hourly_forecasts as (select * from fc),
+m_fct_model_forecasts as (select * from fc),
+m_fct_forecast_revisions as (select * from fc),
+m_int_verification_hourly_weather as (select event_id, location_id, 'reanalysis' as reference_kind, valid_at from vall),
+m_dim_forecast_models as (
+  select model_id, any_value(provider) as provider, min(forecast_run_at) as first_forecast_run_at,
+    max(forecast_run_at) as latest_forecast_run_at from runs group by model_id),
+m_fct_verification_weather as (select *, {metrics.split(',')[0]} as _m from vc),
+m_fct_model_forecast_accuracy as (select * from acc),
+m_agg_model_accuracy as ({agg_sql()})"""
+
+
+def check_sql(c) -> str:
+    head = f"select '{c.check_name}' as check_name, '{c.table}' as table_name"
+    t = f"m_{c.table}"
+    if c.kind == "not_null":
+        return f"{head}, '{c.column}' as column_name, count(*) filter (where {c.column} is null) as failing_rows from {t}"
+    if c.kind == "expression":
+        return f"{head}, '' as column_name, count(*) filter (where {c.condition}) as failing_rows from {t}"
+    if c.kind == "unique":
+        return (f"{head}, '{c.column}' as column_name, count(*) as failing_rows from "
+                f"(select {c.column} from {t} where {c.column} is not null group by {c.column} having count(*) > 1)")
+    if c.kind == "grain":
+        keys = ", ".join(c.keys)
+        return (f"{head}, '{','.join(c.keys)}' as column_name, count(*) as failing_rows from "
+                f"(select {keys} from {t} group by {keys} having count(*) > 1)")
+    if c.kind == "relationships":
+        return (f"{head}, '{c.column}' as column_name, count(*) as failing_rows from {t} x "
+                f"where x.{c.column} is not null and not exists "
+                f"(select 1 from m_{c.to_table} p where p.{c.to_column} = x.{c.column})")
+    if c.kind == "accepted_values":
+        vals = ", ".join(f"'{v}'" for v in c.values)
+        return (f"{head}, '{c.column}' as column_name, count(*) as failing_rows from "
+                f"(select {c.column} from {t} where {c.column} is not null and {c.column} not in ({vals}) "
+                f"group by {c.column})")
+    raise ValueError(c.kind)
+
+
+def quality_report_sql(checks) -> str:
+    body = "\nunion all\n".join(check_sql(c) for c in checks)
+    return with_ctes(accuracy_sql(), model_ctes(), body=body)

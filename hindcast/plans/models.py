@@ -18,11 +18,14 @@ from hindcast.sources.bridge import Bridge
 
 class Models:
     def __init__(self, raw_locations: DataFrame, raw_model_runs: DataFrame,
-                 raw_verification: DataFrame, raw_operational: DataFrame):
+                 raw_verification: DataFrame, raw_operational: DataFrame,
+                 intermediate: dict[str, DataFrame] | None = None):
         self.raw_locations = raw_locations
         self.raw_model_runs = raw_model_runs
         self.raw_verification = raw_verification
         self.raw_operational = raw_operational
+        # Pre-built typed intermediate tables (see ``with_materialized_intermediate``).
+        self._intermediate = intermediate or {}
 
     @classmethod
     def from_bridge(cls, spark: SparkSession, sf_dir: str) -> "Models":
@@ -40,6 +43,16 @@ class Models:
                    read_landed(spark, sf_dir, "verification_weather_events"),
                    read_landed(spark, sf_dir, "operational_forecast_events"))
 
+    @classmethod
+    def with_materialized_intermediate(cls, spark: SparkSession, sf_dir: str) -> "Models":
+        """Marts over the typed intermediate layer written once to Parquet, so the
+        JSON payloads are parsed once no matter how many marts read them."""
+        from hindcast.sources.landing import INTERMEDIATE_LAYOUT, read_intermediate
+
+        base = cls.from_landed(spark, sf_dir)
+        base._intermediate = {t: read_intermediate(spark, sf_dir, t) for t in INTERMEDIATE_LAYOUT}
+        return base
+
     # staging
     @cached_property
     def stg_locations(self) -> DataFrame:
@@ -60,14 +73,20 @@ class Models:
     # intermediate
     @cached_property
     def int_model_run_hourly_forecasts(self) -> DataFrame:
+        if "int_model_run_hourly_forecasts" in self._intermediate:
+            return self._intermediate["int_model_run_hourly_forecasts"]
         return intermediate.int_model_run_hourly_forecasts(self.stg_model_run_events)
 
     @cached_property
     def int_verification_hourly_weather(self) -> DataFrame:
+        if "int_verification_hourly_weather" in self._intermediate:
+            return self._intermediate["int_verification_hourly_weather"]
         return intermediate.int_verification_hourly_weather(self.stg_verification_weather_events)
 
     @cached_property
     def int_operational_hourly_forecasts(self) -> DataFrame:
+        if "int_operational_hourly_forecasts" in self._intermediate:
+            return self._intermediate["int_operational_hourly_forecasts"]
         return intermediate.int_operational_hourly_forecasts(self.stg_operational_forecast_events)
 
     # marts

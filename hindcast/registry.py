@@ -43,10 +43,16 @@ def register(name: str, doubles: list[str] | None = None, sql: Callable[[], str]
 
 
 def _models(spark: SparkSession, sf_dir: str) -> Models:
-    """Models over the raw tables landed from ``sf_dir`` (landed once per input)."""
+    """Models over the raw tables landed from ``sf_dir`` (landed once per input);
+    staging and intermediate models parse the JSON payloads on every query."""
     return Models.from_landed(spark, sf_dir)
 
 
+def _marts(spark: SparkSession, sf_dir: str) -> Models:
+    """Marts over the materialized typed intermediate layer (JSON parsed once)."""
+    return Models.with_materialized_intermediate(spark, sf_dir)
+
+
 # --------------------------------------------------------------------------- flagship
 AGG_DOUBLES = ["resolution_km", "temperature_mean_error", "temperature_mae", "temperature_rmse",
                "apparent_temperature_mae", "relative_humidity_mean_error", "relative_humidity_mae",
@@ -60,7 +66,7 @@ AGG_DOUBLES = ["resolution_km", "temperature_mean_error", "temperature_mae", "te
 @register("agg_model_accuracy", AGG_DOUBLES, lambda: O.with_ctes(O.accuracy_sql(), body=O.agg_sql()))
 def q_agg_model_accuracy(spark, sf_dir):
     """J1 J2 E1-E8 A1-A10 over W1 W4 W5 J6 P10: accuracy rollup."""
-    return _models(spark, sf_dir).agg_model_accuracy
+    return _marts(spark, sf_dir).agg_model_accuracy
 
 
 ACC_ERRORS = ["temperature_error", "temperature_absolute_error", "temperature_squared_error",
@@ -82,7 +88,7 @@ ACC_DOUBLES = (["resolution_km", "forecast_precipitation_probability"]
 @register("fct_forecast_accuracy", ACC_DOUBLES, lambda: O.with_ctes(O.accuracy_sql(), body="select * from acc"))
 def q_fct_forecast_accuracy(spark, sf_dir):
     """Matched forecast/reference hours with errors."""
-    return _models(spark, sf_dir).fct_model_forecast_accuracy
+    return _marts(spark, sf_dir).fct_model_forecast_accuracy
 
 
 FC_COLS = ["event_id", "location_id", "model_id", "model_name", "provider", "resolution_km",
@@ -94,7 +100,7 @@ FC_COLS = ["event_id", "location_id", "model_id", "model_name", "provider", "res
                                    f"{', '.join(METRICS)}, ingested_at from fc"))
 def q_fct_model_forecasts(spark, sf_dir):
     """Typed model-run hours with lead buckets (after W1 J6 P10)."""
-    return _models(spark, sf_dir).fct_model_forecasts
+    return _marts(spark, sf_dir).fct_model_forecasts
 
 
 VC_COLS = ["event_id", "location_id", "valid_at", "verification_date_utc", "source", "reference_kind",
@@ -108,7 +114,7 @@ VC_COLS = ["event_id", "location_id", "valid_at", "verification_date_utc", "sour
                                    "from vc v left join loc l on v.location_id = l.location_id"))
 def q_fct_verification(spark, sf_dir):
     """Canonical (latest) verification per location-hour with version counts."""
-    return _models(spark, sf_dir).fct_verification_weather
+    return _marts(spark, sf_dir).fct_verification_weather
 
 
 LOC_COLS = ["location_id", "open_meteo_location_id", "city", "administrative_area", "country",
@@ -216,9 +222,9 @@ select model_id, any_value(model_name) as model_name, any_value(provider) as pro
   min(forecast_run_at) as first_forecast_run_at, max(forecast_run_at) as latest_forecast_run_at,
   count(*) as forecast_run_count
 from runs group by model_id"""))
-def q_dim_forecast_models(spark, sf_dir):
+def q_dim_forecast_marts(spark, sf_dir):
     """Model dimension with run summary."""
-    return _models(spark, sf_dir).dim_forecast_models
+    return _marts(spark, sf_dir).dim_forecast_models
 
 
 @register("fct_operational_hourly", FLOAT_METRICS, lambda: O.with_ctes(body=f"""
@@ -229,7 +235,7 @@ select r.event_id, r.location_id, r.source, r.retrieved_at as snapshot_at, r.tim
 from op_raw r join ohm h on r.location_id = h.location_id and r.day = h.day"""))
 def q_fct_operational_hourly(spark, sf_dir):
     """Operational hours with local forecast dates in each snapshot's zone."""
-    return _models(spark, sf_dir).fct_operational_hourly_forecasts
+    return _marts(spark, sf_dir).fct_operational_hourly_forecasts
 
 
 @register("fct_forecast_revisions", ["temperature_2m", "precipitation_probability", "previous_temperature_2m",
@@ -246,4 +252,20 @@ from fc
 window w as (partition by location_id, model_id, valid_at order by forecast_run_at, retrieved_at, event_id)"""))
 def q_fct_forecast_revisions(spark, sf_dir):
     """Revision of each forecast against the previous run (skew-safe lag)."""
-    return _models(spark, sf_dir).fct_forecast_revisions
+    return _marts(spark, sf_dir).fct_forecast_revisions
+
+
+# --------------------------------------------------------------------------- quality
+def _suite():
+    from hindcast.plans.quality_suite import warehouse_checks
+    return warehouse_checks()
+
+
+@register("quality_report", [], lambda: O.quality_report_sql(_suite()))
+def q_quality_report(spark, sf_dir):
+    """Every warehouse data test over every model, one report."""
+    from hindcast.operators.quality import report
+
+    m = _models(spark, sf_dir)
+    tables = {name: getattr(m, name) for name in Models.MODEL_NAMES}
+    return report(_suite(), tables)

@@ -45,8 +45,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _code_digest() -> str:
+    """Digest of the library source, so a code change never reuses stale tables."""
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for dirpath, _, files in sorted(os.walk(pkg)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(f.encode() + fh.read())
+    return h.hexdigest()
+
+
 def _input_key(spark: SparkSession, sf_dir: str) -> str:
     h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h.update(_code_digest().encode())
     for name in ("events", "customer", "nation", "region"):
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
         fs, p = _fs(spark, path)
@@ -73,8 +86,21 @@ def landed_root(spark: SparkSession, sf_dir: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed/{_input_key(spark, sf_dir)}"
 
 
+# Per-session memo of landed paths and of the DataFrames read from them: a
+# DataFrame keeps its file index, so later queries skip listing and footers.
+_PATHS: dict[tuple, dict[str, str]] = {}
+_READS: dict[tuple, DataFrame] = {}
+
+
+def _session_key(spark: SparkSession, *parts) -> tuple:
+    return (id(spark._jsparkSession), ensure_checkpoint_dir(spark)) + parts
+
+
 def land_all(spark: SparkSession, sf_dir: str, force: bool = False) -> dict[str, str]:
     """Land every raw table derived from ``sf_dir`` (idempotent); return paths."""
+    memo = _session_key(spark, "land", os.path.abspath(sf_dir))
+    if not force and memo in _PATHS:
+        return _PATHS[memo]
     root = landed_root(spark, sf_dir)
     b = Bridge.load(spark, sf_dir)
     builders = {
@@ -89,13 +115,61 @@ def land_all(spark: SparkSession, sf_dir: str, force: bool = False) -> dict[str,
         if force or not _exists(spark, f"{path}/_SUCCESS"):
             land(build(), path, table)
         paths[table] = path
+    _PATHS[memo] = paths
     return paths
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    memo = _session_key(spark, "read", path)
+    if memo not in _READS:
+        _READS[memo] = spark.read.parquet(path)
+    return _READS[memo]
+
+
 def read_landed(spark: SparkSession, sf_dir: str, table: str, keep_date: bool = False) -> DataFrame:
     paths = land_all(spark, sf_dir)
-    df = spark.read.parquet(paths[table])
+    df = _read(spark, paths[table])
     date_col = LAYOUT[table][0]
     if date_col and not keep_date:
         df = df.drop(date_col)
     return df
+
+
+# Typed intermediate tables: parsed once from JSON, read by every mart.
+INTERMEDIATE_LAYOUT = {
+    "int_model_run_hourly_forecasts": ("run_date", "forecast_run_at", ["location_id", "model_id", "valid_at"]),
+    "int_verification_hourly_weather": ("period_date", "period_start", ["location_id", "valid_at"]),
+    "int_operational_hourly_forecasts": ("retrieved_date", "retrieved_at", ["location_id", "valid_at"]),
+}
+
+
+def materialize(df: DataFrame, path: str, date_col: str, instant: str, cluster: list[str]) -> None:
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.withColumn(date_col, F.to_date(instant))
+    out = out.repartitionByRange(n, date_col, cluster[0]).sortWithinPartitions(date_col, *cluster)
+    out.write.mode("overwrite").partitionBy(date_col).parquet(path)
+
+
+def build_intermediate(spark: SparkSession, sf_dir: str, force: bool = False) -> dict[str, str]:
+    """Write the typed intermediate layer (idempotent); return paths."""
+    from hindcast.plans.models import Models
+
+    memo = _session_key(spark, "int", os.path.abspath(sf_dir))
+    if not force and memo in _PATHS:
+        return _PATHS[memo]
+    root = landed_root(spark, sf_dir)
+    m = Models.from_landed(spark, sf_dir)
+    paths = {}
+    for table, (date_col, instant, cluster) in INTERMEDIATE_LAYOUT.items():
+        path = f"{root}/{table}"
+        if force or not _exists(spark, f"{path}/_SUCCESS"):
+            materialize(getattr(m, table), path, date_col, instant, cluster)
+        paths[table] = path
+    _PATHS[memo] = paths
+    return paths
+
+
+def read_intermediate(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    paths = build_intermediate(spark, sf_dir)
+    return _read(spark, paths[table]).drop(INTERMEDIATE_LAYOUT[table][0])
