@@ -81,3 +81,27 @@ def previous_in_sequence(df: DataFrame, partition_by: Sequence[str], order_by: S
         joined = joined.withColumn(dst, F.when(fill, F.col(f"__pt_{src}")).otherwise(F.col(dst)))
     drop = ["__pid", "__has_prev", "__tp"] + [f"__pt_{c}" for c in tail_fields]
     return joined.drop(*drop)
+
+
+def dense_index(df: DataFrame, order_by: Sequence[str], as_col: str = "idx",
+                num_partitions: int | None = None) -> DataFrame:
+    """1-based dense positions of rows in ``order_by`` order (ties broken by the
+    full row order given), without a single-partition window.
+
+    Range-partition on ``order_by``; number rows inside each slice; add the
+    count of all rows in earlier slices (a table of at most ``n`` rows,
+    broadcast)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order_by).withColumn("__pid", F.spark_partition_id())
+    w = Window.partitionBy("__pid").orderBy(*order_by)
+    local = ranged.withColumn("__pos", F.row_number().over(w))
+    all_cols = list(dict.fromkeys(df.columns))
+    # References every column so both consumers share one range exchange (see above).
+    counts = ranged.groupBy("__pid").agg(F.count(F.struct(*all_cols)).alias("__cnt"))
+    cw = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # over <= n rows
+    offsets = counts.select(F.col("__pid").alias("__op"),
+                            F.coalesce(F.sum("__cnt").over(cw), F.lit(0)).alias("__off"))
+    out = local.join(F.broadcast(offsets), local["__pid"] == offsets["__op"], "inner")
+    return out.withColumn(as_col, (F.col("__off") + F.col("__pos")).cast("bigint")).drop(
+        "__pid", "__pos", "__op", "__off")

@@ -348,3 +348,167 @@ def q_latest_document(spark, sf_dir):
         F.size("daily").cast("bigint").alias("daily_count"),
         F.to_date(F.element_at("daily", 1)["date"]).alias("first_daily_date"),
     )
+
+
+# --------------------------------------------------------------------------- location catalog
+def _bridge(spark, sf_dir):
+    from hindcast.sources.bridge import Bridge
+    return Bridge.load(spark, sf_dir)
+
+
+SEARCH_TERM = "customer#0000001"
+LOC_DOUBLES = ["latitude", "longitude", "elevation"]
+
+
+@register("location_search", LOC_DOUBLES, lambda: O.with_ctes(body=f"""
+select * from loc where lower(city) like lower('{SEARCH_TERM}') || '%'
+order by population desc nulls last, city, location_id limit 10"""))
+def q_location_search(spark, sf_dir):
+    """City prefix search, population desc NULLS LAST, top 10."""
+    from hindcast.operators.locations import search
+    return search(_models(spark, sf_dir).dim_locations, SEARCH_TERM, "", 10)
+
+
+@register("location_lookup", [], lambda: O.with_ctes(body="""
+select r.location_id, l.city, case when l.location_id is null then 'missing' else 'found' end as status
+from (select distinct user_id + 1 as location_id from events
+      union select distinct user_id + 1000001 from events where user_id % 10 = 0) r
+left join loc l on r.location_id = l.location_id"""))
+def q_location_lookup(spark, sf_dir):
+    """P20: bulk lookup of requested ids (semi join) with the missing ones (anti join)."""
+    from hindcast.operators.locations import lookup
+    ev = _bridge(spark, sf_dir).events
+    req = ev.select((F.col("user_id") + 1).alias("location_id")).unionByName(
+        ev.filter(F.col("user_id") % 10 == 0).select((F.col("user_id") + 1_000_001).alias("location_id")))
+    dim = _models(spark, sf_dir).dim_locations
+    found, missing = lookup(dim, req)
+    return found.select("location_id", "city", F.lit("found").alias("status")).unionByName(
+        missing.select("location_id", F.lit(None).cast("string").alias("city"), F.lit("missing").alias("status")))
+
+
+ALLOW = [" aa", "bh", "CO", "DV ", "ec"]
+
+
+@register("allowed_locations", LOC_DOUBLES, lambda: O.with_ctes(body="""
+select * from loc where country_code in ('AA', 'BH', 'CO', 'DV', 'EC')"""))
+def q_allowed_locations(spark, sf_dir):
+    """Allow-list filter with trimmed, upper-cased two-letter codes."""
+    from hindcast.operators.locations import allowed_locations
+    return allowed_locations(_models(spark, sf_dir).dim_locations, ALLOW)
+
+
+@register("geocode_candidates", LOC_DOUBLES, lambda: O.with_ctes(body="""
+select location_id as request_id, open_meteo_location_id, city, country, country_code, latitude, longitude,
+  timezone, elevation, population, administrative_area
+from loc where location_id % 13 <> 1"""))
+def q_geocode_candidates(spark, sf_dir):
+    """Landed geocoding responses -> normalized candidates (incomplete responses rejected)."""
+    from hindcast.operators.locations import geocode_candidates
+    cand, _ = geocode_candidates(_bridge(spark, sf_dir).geocoding())
+    return cand
+
+
+STALE_BEFORE = "2024-01-25 00:00:00"
+
+
+@register("due_locations", LOC_DOUBLES, lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select c.*, l.retrieved_at as forecast_retrieved_at from loc c left join lat l on c.location_id = l.location_id
+where l.location_id is null or l.retrieved_at <= timestamp '{STALE_BEFORE}'
+order by l.retrieved_at asc nulls first, c.location_id limit 100"""))
+def q_due_locations(spark, sf_dir):
+    """Locations due for a forecast (none yet, or stale), oldest first, top 100."""
+    from hindcast.operators.locations import due_for_forecast
+    _, latest = _latest(spark, sf_dir)
+    dim = _models(spark, sf_dir).dim_locations
+    return due_for_forecast(dim, latest, F.lit(STALE_BEFORE).cast("timestamp"), 100)
+
+
+MERGE_NOW = "2024-02-01 00:00:00"
+
+
+@register("location_merge", LOC_DOUBLES, lambda: O.with_ctes(body=f"""
+select location_id, open_meteo_location_id, city, country, country_code, latitude, longitude, timezone, elevation,
+  population, administrative_area, source_created_at as created_at, timestamp '{MERGE_NOW}' as updated_at
+from loc where location_id % 2 = 0 and location_id % 13 <> 1
+union all
+select location_id, open_meteo_location_id, city, country, country_code, latitude, longitude, timezone, elevation,
+  population, administrative_area, source_created_at as created_at, source_updated_at as updated_at
+from loc where location_id % 2 = 0 and location_id % 13 = 1
+union all
+select (select max(location_id) from loc where location_id % 2 = 0)
+    + row_number() over (order by open_meteo_location_id) as location_id,
+  open_meteo_location_id, city, country, country_code, latitude, longitude, timezone, elevation, population,
+  administrative_area, timestamp '{MERGE_NOW}' as created_at, timestamp '{MERGE_NOW}' as updated_at
+from loc where location_id % 2 = 1 and location_id % 13 <> 1"""))
+def q_location_merge(spark, sf_dir):
+    """ST6 (P13 -> ST6): upsert geocoded candidates into the even-numbered half of the catalog."""
+    from hindcast.operators.locations import geocode_candidates, merge_locations
+    dim = _models(spark, sf_dir).dim_locations
+    existing = dim.filter(F.col("location_id") % 2 == 0).select(
+        "location_id", "open_meteo_location_id", "city", "country", "country_code", "latitude", "longitude",
+        "timezone", "elevation", "population", "administrative_area",
+        F.col("source_created_at").alias("created_at"), F.col("source_updated_at").alias("updated_at"))
+    cand, _ = geocode_candidates(_bridge(spark, sf_dir).geocoding())
+    return merge_locations(existing, cand.drop("request_id"), F.lit(MERGE_NOW).cast("timestamp"))
+
+
+SYNC_AT = "2024-01-02 00:00:00"
+
+
+@register("location_snapshot", LOC_DOUBLES, lambda: O.with_ctes(body=f"""
+select location_id, open_meteo_location_id, city, country, country_code, latitude, longitude, timezone, elevation,
+  population, administrative_area, source_created_at, source_updated_at, timestamp '{SYNC_AT}' as synced_at
+from loc"""))
+def q_location_snapshot(spark, sf_dir):
+    """Validated full snapshot (upper-case codes, rules, synced_at stamped)."""
+    from hindcast.operators.locations import validated_snapshot
+    return validated_snapshot(_models(spark, sf_dir).stg_locations, F.lit(SYNC_AT).cast("timestamp"))
+
+
+REFERENCE_TIME = "2024-01-22 16:00:00"
+
+
+def _targets(spark, sf_dir):
+    from hindcast.operators.locations import verification_targets
+    dim = _models(spark, sf_dir).dim_locations
+    # Every 50th location carries an unknown zone: it must fail alone, not the job.
+    dim = dim.withColumn("timezone", F.when(F.col("location_id") % 50 == 0, F.lit("Invalid/Timezone"))
+                         .otherwise(F.col("timezone")))
+    return verification_targets(dim, F.lit(REFERENCE_TIME).cast("timestamp"), 7)
+
+
+TARGETS_SQL = f"""
+tz as (select location_id, case when location_id % 50 = 0 then 'Invalid/Timezone' else timezone end as timezone
+       from loc),
+ok as (select location_id, timezone,
+         cast((timestamp '{REFERENCE_TIME}' at time zone 'UTC') at time zone timezone as date) - 7 as target_date
+       from tz where timezone <> 'Invalid/Timezone'),
+tgt as (select t.location_id, t.timezone, o.target_date,
+          case when o.location_id is null then 'failed' else 'due' end as status
+        from tz t left join ok o on t.location_id = o.location_id)"""
+
+
+@register("verification_targets", [], lambda: O.with_ctes(TARGETS_SQL, body="select * from tgt"))
+def q_verification_targets(spark, sf_dir):
+    """per-location verification target date in its own zone; bad zones fail alone."""
+    return _targets(spark, sf_dir)
+
+
+@register("cycle_report", [], lambda: O.with_ctes(TARGETS_SQL, body="""
+select status, count(*) as locations from (
+  select case when t.status = 'failed' then 'failed'
+              when exists (select 1 from vc v where v.location_id = t.location_id
+                           and cast(v.valid_at as date) = t.target_date) then 'published'
+              else 'due' end as status
+  from tgt t) group by status"""))
+def q_cycle_report(spark, sf_dir):
+    """Verification cycle outcome counts (failed / published / still due)."""
+    from hindcast.operators.locations import cycle_report
+    t = _targets(spark, sf_dir)
+    have = (_marts(spark, sf_dir).fct_verification_weather
+            .select("location_id", F.col("verification_date_utc").alias("target_date")).distinct())
+    have = have.withColumn("__has", F.lit(True))
+    o = t.join(have, ["location_id", "target_date"], "left").withColumn(
+        "status", F.when(F.col("status") == "failed", "failed")
+        .when(F.col("__has").isNotNull(), "published").otherwise("due"))
+    return cycle_report(o)

@@ -356,3 +356,24 @@ class Bridge:
 
     def operational_raw(self) -> DataFrame:
         return operational_raw(self.events, self.current_locations())
+
+    def geocoding(self) -> DataFrame:
+        return geocoding_responses(self.customer, self.nation, self.region)
+
+
+def geocoding_responses(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Landed geocoding responses, one per customer (a search that returned it);
+    every 13th lacks its zone, which makes the whole response incomplete."""
+    loc = locations_raw(customer, nation, region).filter(~F.col("city").startswith("Old "))
+    result = F.struct(
+        F.col("open_meteo_location_id").alias("id"),
+        F.trim("city").alias("name"),
+        F.trim("country").alias("country"),
+        F.col("country_code"),
+        "latitude", "longitude",
+        F.when(F.col("location_id") % 13 == 1, F.lit("")).otherwise(F.col("timezone")).alias("timezone"),
+        "elevation", "population",
+        F.col("administrative_area").alias("admin1"),
+    )
+    return loc.select(F.col("location_id").alias("request_id"),
+                      F.to_json(F.struct(F.array(result).alias("results"))).alias("body"))
