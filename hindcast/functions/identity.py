@@ -62,4 +62,4 @@ def location_model_key(location_id, model_id) -> Column:
 def period_bounds(hourly_array) -> tuple[Column, Column]:
     """First and last ``valid_at`` of an hourly array."""
     a = _col(hourly_array)
-    return F.element_at(a, 1)["valid_at"], F.element_at(a, -1)["valid_at"]
+    return F.try_element_at(a, F.lit(1))["valid_at"], F.try_element_at(a, F.lit(-1))["valid_at"]

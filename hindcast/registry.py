@@ -343,10 +343,10 @@ def q_latest_document(spark, sf_dir):
         "event_id", "retrieved_at", F.col("current.valid_at").alias("current_valid_at"),
         F.col("current.temperature_2m").alias("current_temperature_2m"),
         F.size("hourly").cast("bigint").alias("hourly_count"),
-        F.element_at("hourly", 1)["valid_at"].alias("first_valid_at"),
-        F.element_at("hourly", -1)["valid_at"].alias("last_valid_at"),
+        F.try_element_at("hourly", F.lit(1))["valid_at"].alias("first_valid_at"),
+        F.try_element_at("hourly", F.lit(-1))["valid_at"].alias("last_valid_at"),
         F.size("daily").cast("bigint").alias("daily_count"),
-        F.to_date(F.element_at("daily", 1)["date"]).alias("first_daily_date"),
+        F.to_date(F.try_element_at("daily", F.lit(1))["date"]).alias("first_daily_date"),
     )
 
 
@@ -512,3 +512,134 @@ def q_cycle_report(spark, sf_dir):
         "status", F.when(F.col("status") == "failed", "failed")
         .when(F.col("__has").isNotNull(), "published").otherwise("due"))
     return cycle_report(o)
+
+
+# --------------------------------------------------------------------------- derived display values
+NOW = "2024-01-15 12:00:00"
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+CITY_SQL = f"""
+city as (select l.location_id, l.timezone, l.retrieved_at,
+  (timestamp '{NOW}' at time zone 'UTC') at time zone l.timezone as city_now from lat l),
+today as (select c.location_id, d.sunrise, d.sunset from city c
+  join lat_daily d on c.location_id = d.location_id and d.date = strftime(c.city_now, '%Y-%m-%d'))"""
+
+
+@register("next_24_hours", ["temperature_2m"], lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select h.location_id, row_number() over (partition by h.location_id order by h.valid_at) as position,
+  h.valid_at, h.temperature_2m, h.weather_code
+from lat_hours h join lat_first f on h.location_id = f.location_id
+where h.valid_at >= greatest(timestamp '{NOW}', f.valid_at)
+qualify position <= 24"""))
+def q_next_24_hours(spark, sf_dir):
+    """The next 24 hours of each location's latest snapshot."""
+    from hindcast.operators.derived import upcoming_hours
+    _, latest = _latest(spark, sf_dir)
+    up = latest.select("location_id", F.posexplode(upcoming_hours("hourly", "current.valid_at", _now())))
+    return up.select("location_id", (F.col("pos") + 1).cast("bigint").alias("position"),
+                     F.col("col.valid_at").alias("valid_at"), F.col("col.temperature_2m").alias("temperature_2m"),
+                     F.col("col.weather_code").alias("weather_code"))
+
+
+@register("upcoming_days", ["temperature_2m_max"], lambda: O.with_ctes(O.latest_ctes(), CITY_SQL, body="""
+select d.location_id, cast(d.day as date) as forecast_date, d.temperature_2m_max
+from lat_daily d join city c on d.location_id = c.location_id
+where cast(d.day as date) >= cast(c.city_now as date)"""))
+def q_upcoming_days(spark, sf_dir):
+    """Daily rows on or after each city's local date."""
+    from hindcast.operators.derived import upcoming_days, with_city_clock
+    _, latest = _latest(spark, sf_dir)
+    c = with_city_clock(latest, _now())
+    d = c.select("location_id", F.inline(upcoming_days("daily", "city_now")))
+    return d.select("location_id", F.to_date("date").alias("forecast_date"), "temperature_2m_max")
+
+
+FILL = ["precipitation_probability", "uv_index", "visibility", "cloud_cover", "pressure_msl", "wind_gusts_10m"]
+CUR_NULL = {"precipitation_probability", "visibility", "uv_index"}
+
+
+@register("nearest_hour_fill", FILL, lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select f.location_id, f.valid_at as current_valid_at, n.valid_at as nearest_valid_at,
+  {', '.join(('n.' + m if m in CUR_NULL else f'coalesce(f.{m}, n.{m})') + ' as ' + m for m in FILL)}
+from lat_first f join (
+  select h.*, f2.valid_at as cur from lat_hours h join lat_first f2 on h.location_id = f2.location_id
+  qualify row_number() over (partition by h.location_id
+    order by abs(epoch(h.valid_at) - epoch(f2.valid_at)), h.valid_at) = 1) n on f.location_id = n.location_id"""))
+def q_nearest_hour_fill(spark, sf_dir):
+    """Current conditions filled from the nearest hourly row."""
+    from hindcast.operators.derived import fill_current, nearest_hour
+    _, latest = _latest(spark, sf_dir)
+    n = latest.select("location_id", "current", nearest_hour("hourly", "current.valid_at").alias("nearest"))
+    return n.select("location_id", F.col("current.valid_at").alias("current_valid_at"),
+                    F.col("nearest.valid_at").alias("nearest_valid_at"), *fill_current("current", "nearest"))
+
+
+def _cond_sql(col: str, idx: int) -> str:
+    from hindcast.operators.derived import CONDITIONS, UNKNOWN
+    whens = " ".join(f"when {col} in ({', '.join(map(str, codes))}) then '{c[idx]}'"
+                     for codes, *c in [(x[0], x[1], x[2]) for x in CONDITIONS])
+    return f"case {whens} else '{UNKNOWN[idx]}' end"
+
+
+@register("condition_labels", [], lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select location_id, valid_at, weather_code, {_cond_sql('weather_code', 0)} as condition,
+  {_cond_sql('weather_code', 1)} as label from lat_hours"""))
+def q_condition_labels(spark, sf_dir):
+    """WMO code -> condition and label for every latest hourly row."""
+    from hindcast.operators.derived import condition, condition_label
+    _, latest = _latest(spark, sf_dir)
+    h = latest.select("location_id", F.inline("hourly"))
+    return h.select("location_id", "valid_at", "weather_code", condition("weather_code").alias("condition"),
+                    condition_label("weather_code").alias("label"))
+
+
+@register("freshness", [], lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select location_id, retrieved_at, epoch(timestamp '{NOW}') - epoch(retrieved_at) > 7200 as is_stale from lat"""))
+def q_freshness(spark, sf_dir):
+    """stale when strictly older than two hours at a fixed ``now``."""
+    from hindcast.operators.derived import is_stale
+    _, latest = _latest(spark, sf_dir)
+    return latest.select("location_id", "retrieved_at", is_stale("retrieved_at", _now()).alias("is_stale"))
+
+
+@register("daylight", [], lambda: O.with_ctes(O.latest_ctes(), CITY_SQL, body=f"""
+select c.location_id,
+  case when t.sunrise is not null and t.sunset is not null
+       then timestamp '{NOW}' >= t.sunrise and timestamp '{NOW}' < t.sunset
+       else hour(c.city_now) >= 6 and hour(c.city_now) < 18 end as is_daylight
+from city c left join today t on c.location_id = t.location_id"""))
+def q_daylight(spark, sf_dir):
+    """Daylight from today's sun times in the city's zone, else clock hours."""
+    from hindcast.operators.derived import is_daylight, todays_daily, with_city_clock
+    _, latest = _latest(spark, sf_dir)
+    c = with_city_clock(latest, _now())
+    t = todays_daily("daily", "city_now")
+    return c.select("location_id", is_daylight(_now(), "city_now", t, "current.is_day").alias("is_daylight"))
+
+
+@register("day_period", [], lambda: O.with_ctes(O.latest_ctes(), CITY_SQL, body=f"""
+select c.location_id,
+  case when t.sunrise is not null and t.sunset is not null then
+    case when timestamp '{NOW}' >= t.sunrise - interval 90 minute and timestamp '{NOW}' < t.sunrise + interval 2 hour
+           then 'morning'
+         when timestamp '{NOW}' >= t.sunset - interval 2 hour and timestamp '{NOW}' < t.sunset + interval 90 minute
+           then 'evening'
+         when timestamp '{NOW}' >= t.sunrise + interval 2 hour and timestamp '{NOW}' < t.sunset - interval 2 hour
+           then 'day'
+         else 'night' end
+  else case when hour(c.city_now) >= 5 and hour(c.city_now) < 9 then 'morning'
+            when hour(c.city_now) >= 9 and hour(c.city_now) < 17 then 'day'
+            when hour(c.city_now) >= 17 and hour(c.city_now) < 20 then 'evening' else 'night' end
+  end as period
+from city c left join today t on c.location_id = t.location_id"""))
+def q_day_period(spark, sf_dir):
+    """morning/day/evening/night from sun windows, else clock hours."""
+    from hindcast.operators.derived import day_period, todays_daily, with_city_clock
+    _, latest = _latest(spark, sf_dir)
+    c = with_city_clock(latest, _now())
+    t = todays_daily("daily", "city_now")
+    return c.select("location_id", day_period(_now(), "city_now", t, "current.is_day").alias("period"))

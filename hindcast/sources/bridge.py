@@ -229,7 +229,7 @@ def operational_snapshots(events: DataFrame, locations: DataFrame) -> DataFrame:
                  F.max("wind_speed_10m").alias("ws_max"), F.max("wind_gusts_10m").alias("wg_max"),
                  F.max("weather_code").alias("wc_max")))
     days = with_timezones(days, locations)
-    first = F.element_at("hourly", 1)
+    first = F.try_element_at("hourly", F.lit(1))
     current = F.struct(
         first["valid_at"].alias("valid_at"),
         F.lit(900).alias("interval_seconds"),
