@@ -643,3 +643,82 @@ def q_day_period(spark, sf_dir):
     c = with_city_clock(latest, _now())
     t = todays_daily("daily", "city_now")
     return c.select("location_id", day_period(_now(), "city_now", t, "current.is_day").alias("period"))
+
+
+# --------------------------------------------------------------------------- cold-path ingest
+def _log(spark, sf_dir, table):
+    from hindcast.sources.landing import read_landed
+    from hindcast.sources.logs import log_records
+    return log_records(read_landed(spark, sf_dir, table))
+
+
+def _ingested():
+    # The load time of a batch is a parameter: here one minute after the record time.
+    return F.col("timestamp") + F.expr("INTERVAL 1 MINUTE")
+
+
+RAW_LOG_SQL = ("kafka_topic, kafka_partition, kafka_offset, kafka_key, kafka_timestamp, "
+               "kafka_timestamp + interval 1 minute as ingested_at")
+
+
+@register("raw_model_run", [], lambda: O.with_ctes(body=f"""
+select event_id, 'forecast.model_run.snapshot' as event_type, cast(1 as bigint) as schema_version, location_id,
+  model_id, provider, forecast_run_at, retrieved_at, {RAW_LOG_SQL} from mr_raw"""))
+def q_raw_model_run(spark, sf_dir):
+    """Model-run log records -> raw rows (strict: any violation fails the batch)."""
+    from hindcast.sources import raw
+    return raw.strict(raw.model_run_rows(_log(spark, sf_dir, "model_run_events"), _ingested())).drop("payload")
+
+
+@register("raw_operational", [], lambda: O.with_ctes(body=f"""
+select event_id, 'forecast.latest.snapshot' as event_type, cast(1 as bigint) as schema_version, location_id,
+  source, retrieved_at, {RAW_LOG_SQL} from op_raw"""))
+def q_raw_operational(spark, sf_dir):
+    """Operational snapshot records -> raw rows."""
+    from hindcast.sources import raw
+    return raw.strict(raw.operational_rows(_log(spark, sf_dir, "operational_forecast_events"),
+                                           _ingested())).drop("payload")
+
+
+@register("raw_verification", [], lambda: O.with_ctes(body=f"""
+select event_id, 'weather.verification.snapshot' as event_type, cast(1 as bigint) as schema_version, location_id,
+  '{O.fx.VERIFICATION_SOURCE}' as source, 'reanalysis' as reference_kind, period_start, period_end, retrieved_at,
+  {RAW_LOG_SQL} from vev_raw"""))
+def q_raw_verification(spark, sf_dir):
+    """Verification records -> raw rows (period and ordering rules)."""
+    from hindcast.sources import raw
+    return raw.strict(raw.verification_rows(_log(spark, sf_dir, "verification_weather_events"),
+                                            _ingested())).drop("payload")
+
+
+def _broken_log(spark, sf_dir):
+    """All three topics with deterministic defects on a few locations' records."""
+    mr = _log(spark, sf_dir, "model_run_events")
+    mr = mr.withColumn("__loc", F.split("key", ":").getItem(0).try_cast("bigint"))
+    loc = F.col("__loc")
+    mr = (mr.withColumn("key", F.when(loc % 97 == 3, F.lit("wrong-key")).otherwise(F.col("key")))
+          .withColumn("value", F.when(loc % 89 == 5, F.lit("not-json"))
+                      .when(loc % 79 == 11, F.regexp_replace("value", r'"lead_time_hours":\d+',
+                                                              '"lead_time_hours":999'))
+                      .otherwise(F.col("value")))).drop("__loc")
+    vr = _log(spark, sf_dir, "verification_weather_events")
+    vr = vr.withColumn("topic", F.when(F.col("key").try_cast("bigint") % 83 == 7, F.lit("forecast.unknown"))
+                       .otherwise(F.col("topic")))
+    op = _log(spark, sf_dir, "operational_forecast_events")
+    return mr.unionByName(vr).unionByName(op)
+
+
+@register("ingest_violations", [], lambda: O.with_ctes(body="""
+select kafka_topic, kafka_partition, kafka_offset, 'invalid_json' as violation from mr_raw where location_id % 89 = 5
+union all
+select kafka_topic, kafka_partition, kafka_offset, 'key_mismatch' from mr_raw
+  where location_id % 97 = 3 and location_id % 89 <> 5
+union all
+select kafka_topic, kafka_partition, kafka_offset, 'lead_time_mismatch' from mr_raw
+  where location_id % 79 = 11 and location_id % 89 <> 5
+union all
+select 'forecast.unknown', kafka_partition, kafka_offset, 'unknown_topic' from vev_raw where location_id % 83 = 7"""))
+def q_ingest_violations(spark, sf_dir):
+    """Every (record, rule) failing in a log with defective records."""
+    from hindcast.sources import raw
+    return raw.violation_rows(_broken_log(spark, sf_dir), _ingested())
