@@ -722,3 +722,62 @@ def q_ingest_violations(spark, sf_dir):
     """Every (record, rule) failing in a log with defective records."""
     from hindcast.sources import raw
     return raw.violation_rows(_broken_log(spark, sf_dir), _ingested())
+
+
+# --------------------------------------------------------------------------- provider responses
+def _responses(spark, sf_dir, optional):
+    from hindcast.sources import response as R
+    parsed = R.with_violations(R.parse_responses(_bridge(spark, sf_dir).responses()), optional)
+    return R, parsed
+
+
+@register("response_hourly", FLOAT_METRICS, lambda: O.with_ctes(body=f"""
+select location_id, day as run_at, valid_at, datesub('hour', day, valid_at) as lead_time_hours,
+  {', '.join(('case when location_id % 37 = 0 then null else ' + m + ' end as ' + m) if m == 'precipitation_probability' else m for m in METRICS)}
+from ohm where location_id % 31 <> 0 and location_id % 41 <> 0"""))
+def q_response_hourly(spark, sf_dir):
+    """Landed responses -> hourly rows (optional probability; bad responses rejected)."""
+    R, parsed = _responses(spark, sf_dir, ["precipitation_probability"])
+    ok = parsed.filter(F.size("violations") == 0)
+    return R.hourly_rows(ok, ["location_id", "run_at"], run_at=F.col("run_at"))
+
+
+@register("response_violations", [], lambda: O.with_ctes(body="""
+select distinct location_id, day as run_at, 'series_length:wind_gusts_10m' as violation from ohm
+  where location_id % 31 = 0
+union all
+select distinct location_id, day, 'invalid_is_day' from ohm where location_id % 41 = 0
+union all
+select distinct location_id, day, 'missing_series:precipitation_probability' from ohm where location_id % 37 = 0"""))
+def q_response_violations(spark, sf_dir):
+    """F17 F18 (strict operational flavour): every rule a response breaks; all 17 series required."""
+    R, parsed = _responses(spark, sf_dir, [])
+    return parsed.select("location_id", "run_at", F.explode("violations").alias("violation"))
+
+
+@register("response_daily", ["temperature_2m_max", "temperature_2m_min", "precipitation_sum"],
+          lambda: O.with_ctes(body="""
+select location_id, day as run_at, cast(day as date) as forecast_date, max(temperature_2m) as temperature_2m_max,
+  min(temperature_2m) as temperature_2m_min, sum(precipitation) as precipitation_sum,
+  case when location_id % 4 <> 0 then day + interval 5 hour + interval 45 minute end as sunrise
+from ohm where location_id % 31 <> 0 and location_id % 41 <> 0 group by location_id, day"""))
+def q_response_daily(spark, sf_dir):
+    """Daily block -> rows with ISO dates and UTC sunrise."""
+    R, parsed = _responses(spark, sf_dir, ["precipitation_probability"])
+    ok = parsed.filter(F.size("violations") == 0)
+    return R.daily_rows(ok, ["location_id", "run_at"]).select(
+        "location_id", "run_at", "forecast_date", "temperature_2m_max", "temperature_2m_min", "precipitation_sum",
+        "sunrise")
+
+
+@register("response_current", [m for m in FLOAT_METRICS if m not in ("precipitation_probability", "visibility",
+                                                                     "uv_index")], lambda: O.with_ctes(body=f"""
+select location_id, day as run_at, valid_at, cast(900 as bigint) as interval_seconds,
+  {', '.join(m for m in METRICS if m not in ('precipitation_probability', 'visibility', 'uv_index'))}
+from ohm where location_id % 31 <> 0 and location_id % 41 <> 0
+qualify row_number() over (partition by location_id, day order by valid_at) = 1"""))
+def q_response_current(spark, sf_dir):
+    """Current conditions (14 metrics) from valid responses."""
+    R, parsed = _responses(spark, sf_dir, ["precipitation_probability"])
+    ok = parsed.filter(F.size("violations") == 0)
+    return R.current_row(ok, ["location_id", "run_at"])

@@ -360,6 +360,9 @@ class Bridge:
     def geocoding(self) -> DataFrame:
         return geocoding_responses(self.customer, self.nation, self.region)
 
+    def responses(self) -> DataFrame:
+        return provider_responses(self.events, self.current_locations())
+
 
 def geocoding_responses(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """Landed geocoding responses, one per customer (a search that returned it);
@@ -377,3 +380,48 @@ def geocoding_responses(customer: DataFrame, nation: DataFrame, region: DataFram
     )
     return loc.select(F.col("location_id").alias("request_id"),
                       F.to_json(F.struct(F.array(result).alias("results"))).alias("body"))
+
+
+def provider_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
+    """Landed provider responses, one per (location, UTC day): parallel arrays in
+    the location's local wall time.  Defects on purpose: locations divisible by
+    31 send a short ``wind_gusts_10m`` series, by 37 omit
+    ``precipitation_probability``, by 41 send ``is_day = 2`` first."""
+    base = location_hours(events, verified_only=False).withColumn("s", F.lit(0))
+    base = base.withColumn("h", F.hour("valid_at"))
+    hours = base.select("location_id", "valid_at", *_metrics(fx.FORECAST_FORMULAS))
+    rec = F.struct("valid_at", *METRICS)
+    days = (hours.withColumn("day", F.date_trunc("day", "valid_at"))
+            .groupBy("location_id", "day")
+            .agg(F.array_sort(F.collect_list(rec)).alias("rows"),
+                 F.max("temperature_2m").alias("t_max"), F.min("temperature_2m").alias("t_min"),
+                 F.sum("precipitation").alias("p_sum")))
+    days = with_timezones(days, locations)
+    loc = F.col("location_id")
+    local = lambda c: F.date_format(F.from_utc_timestamp(c, F.col("timezone")), "yyyy-MM-dd'T'HH:mm")
+
+    def series(m):
+        s = F.transform("rows", lambda r: r[m].cast("bigint") if m == "is_day" else r[m])
+        if m == "is_day":
+            s = F.when(loc % 41 == 0, F.concat(F.array(F.lit(2).cast("bigint")), F.slice(s, 2, 10_000))).otherwise(s)
+        if m == "wind_gusts_10m":
+            s = F.when(loc % 31 == 0, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
+        if m == "precipitation_probability":
+            s = F.when(loc % 37 != 0, s)
+        return s.alias(m)
+
+    first = F.try_element_at("rows", F.lit(1))
+    sunrise = F.when(loc % 4 != 0, F.col("day") + F.expr("make_dt_interval(0, 5, 45, 0)"))
+    body = F.struct(
+        F.col("timezone"),
+        F.struct(local(first["valid_at"]).alias("time"), F.lit(900).alias("interval"),
+                 *[(first[m].cast("bigint") if m == "is_day" else first[m]).alias(m) for m in CURRENT_METRICS]
+                 ).alias("current"),
+        F.struct(F.transform("rows", lambda r: local(r["valid_at"])).alias("time"),
+                 *[series(m) for m in METRICS]).alias("hourly"),
+        F.struct(F.array(F.date_format("day", "yyyy-MM-dd")).alias("time"),
+                 F.array("t_max").alias("temperature_2m_max"), F.array("t_min").alias("temperature_2m_min"),
+                 F.array("p_sum").alias("precipitation_sum"),
+                 F.array(local(sunrise)).alias("sunrise")).alias("daily"),
+    )
+    return days.select("location_id", F.col("day").alias("run_at"), F.to_json(body).alias("body"))
