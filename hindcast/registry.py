@@ -781,3 +781,43 @@ def q_response_current(spark, sf_dir):
     R, parsed = _responses(spark, sf_dir, ["precipitation_probability"])
     ok = parsed.filter(F.size("violations") == 0)
     return R.current_row(ok, ["location_id", "run_at"])
+
+
+# --------------------------------------------------------------------------- event identity and records
+@register("event_identity", [], lambda: O.with_ctes(body="""
+select event_id, event_id as recomputed_event_id, kafka_key as partition_key, period_start, period_end
+from vev_raw"""))
+def q_event_identity(spark, sf_dir):
+    """Verification identities recomputed from the payload (period = first/last hour)."""
+    from hindcast.functions import identity as I
+    from hindcast.functions.json import parse_text_fields, safe_cast
+    stg = _models(spark, sf_dir).stg_verification_weather_events
+    hourly = F.from_json("hourly_weather_json", "array<struct<valid_at string>>")
+    first, last = I.period_bounds(hourly)
+    d = stg.select("event_id", "source", "reference_kind", "location_id", "retrieved_at",
+                   safe_cast(first, "timestamp").alias("first_valid"), safe_cast(last, "timestamp").alias("last_valid"))
+    return d.select(
+        "event_id",
+        I.verification_event_id("source", "reference_kind", "location_id", "retrieved_at", "first_valid",
+                                "last_valid").alias("recomputed_event_id"),
+        I.location_key("location_id").alias("partition_key"),
+        F.col("first_valid").alias("period_start"), F.col("last_valid").alias("period_end"))
+
+
+@register("event_records", [], lambda: O.with_ctes(body="""
+select 'forecast.runs' as topic, cast(location_id as varchar) || ':' || model_id as key, event_id,
+  hour_count as hourly_count, first_valid_at, last_valid_at from runs"""))
+def q_event_records(spark, sf_dir):
+    """Typed hours -> one event per run -> Kafka records (value text not compared)."""
+    from hindcast.operators.events import assemble_model_run_events, kafka_records
+    hours = _marts(spark, sf_dir).int_model_run_hourly_forecasts
+    ev = assemble_model_run_events(hours)
+    rec = kafka_records(ev)
+    parsed = F.from_json("value", "struct<data struct<hourly array<struct<valid_at string>>>>")
+    h = parsed["data"]["hourly"]
+    return rec.select(
+        "topic", "key",
+        F.col("headers")[0]["value"].cast("string").alias("event_id"),
+        F.size(h).cast("bigint").alias("hourly_count"),
+        F.try_element_at(h, F.lit(1))["valid_at"].try_cast("timestamp").alias("first_valid_at"),
+        F.try_element_at(h, F.lit(-1))["valid_at"].try_cast("timestamp").alias("last_valid_at"))
