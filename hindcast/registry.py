@@ -821,3 +821,89 @@ def q_event_records(spark, sf_dir):
         F.size(h).cast("bigint").alias("hourly_count"),
         F.try_element_at(h, F.lit(1))["valid_at"].try_cast("timestamp").alias("first_valid_at"),
         F.try_element_at(h, F.lit(-1))["valid_at"].try_cast("timestamp").alias("last_valid_at"))
+
+
+# --------------------------------------------------------------------------- streaming
+STREAM_FILES = 6
+
+
+def _all_logs(spark, sf_dir):
+    return (_log(spark, sf_dir, "model_run_events").unionByName(_log(spark, sf_dir, "verification_weather_events"))
+            .unionByName(_log(spark, sf_dir, "operational_forecast_events")))
+
+
+@register("stream_ingest", [], lambda: O.with_ctes(body=f"""
+select event_id, 'forecast.model_run.snapshot' as event_type, cast(1 as bigint) as schema_version, location_id,
+  model_id, provider, forecast_run_at, retrieved_at, {RAW_LOG_SQL} from mr_raw"""))
+def q_stream_ingest(spark, sf_dir):
+    """S1 S2 S4 S5 S6 ST1 ST2: per-topic streaming cold path (availableNow) into replay-safe raw tables."""
+    from hindcast.streaming import cold_path, io
+    root = io.scratch_root(spark, "cold-path")
+    io.land_ordered_files(_all_logs(spark, sf_dir), f"{root}/log", STREAM_FILES, "timestamp")
+    cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 2), f"{root}/raw", f"{root}/checkpoints")
+    out = spark.read.parquet(f"{root}/raw/model_run_events")
+    return out.drop("payload", "batch_id", "run_date")
+
+
+@register("stream_latest", [f"current_{m}" for m in FLOAT_METRICS], lambda: O.with_ctes(O.latest_ctes(), body=f"""
+select l.location_id, l.event_id, cast(1 as bigint) as schema_version, l.source, l.retrieved_at, l.timezone,
+  f.valid_at as current_valid_at, cast(900 as bigint) as current_interval_seconds,
+  {', '.join((('cast(null as double) as current_' + m) if m in CURRENT_ABSENT_SQL else ('f.' + m + ' as current_' + m)) for m in METRICS)},
+  l.kafka_timestamp as updated_at
+from lat l join lat_first f on l.location_id = f.location_id"""))
+def q_stream_latest(spark, sf_dir):
+    """ST3 ST4 ST5 streaming: latest state folded per micro-batch into versioned tables."""
+    from hindcast.operators import latest as L
+    from hindcast.streaming import io, state
+    root = io.scratch_root(spark, "latest-state")
+    io.land_ordered_files(_log(spark, sf_dir, "operational_forecast_events"), f"{root}/log", STREAM_FILES,
+                          "timestamp")
+    table = state.run_latest_state(spark, io.log_stream(spark, f"{root}/log", 1), f"{root}/state",
+                                   f"{root}/checkpoint")
+    return L.current_table(table.read())
+
+
+@register("stream_dedup", [], lambda: O.with_ctes(body="""
+select distinct event_id, kafka_key as key, kafka_timestamp as timestamp from mr_raw"""))
+def q_stream_dedup(spark, sf_dir):
+    """ST8: replays removed incrementally (dropDuplicatesWithinWatermark on event_id)."""
+    from hindcast.schemas import LOG_RECORD_SCHEMA  # noqa: F401
+    from hindcast.streaming import dedup, io
+    root = io.scratch_root(spark, "dedup")
+    io.land_ordered_files(_log(spark, sf_dir, "model_run_events"), f"{root}/log", STREAM_FILES, "timestamp")
+    s = io.log_stream(spark, f"{root}/log", 1).withColumn("event_id", F.get_json_object("value", "$.event_id"))
+    out = dedup.dedupe_stream(s).select("event_id", "key", "timestamp")
+    io.run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out")
+                         .option("checkpointLocation", f"{root}/checkpoint").outputMode("append"))
+    return spark.read.parquet(f"{root}/out")
+
+
+@register("stream_late_verification", ["temperature_error"], lambda: O.with_ctes(O.accuracy_sql(), body="""
+select forecast_event_id, verification_event_id, location_id, valid_at, temperature_error from acc"""))
+def q_stream_late_verification(spark, sf_dir):
+    """ST7 (+W4 in batch): stream-stream join of forecasts with late, re-issued verification."""
+    from hindcast.operators.dedup import latest_per_key
+    from hindcast.streaming import io, late
+    m = _marts(spark, sf_dir)
+    root = io.scratch_root(spark, "late-verification")
+    fc = m.int_model_run_hourly_forecasts.select(
+        F.col("event_id").alias("forecast_event_id"), "location_id", "valid_at",
+        F.col("temperature_2m").alias("forecast_temperature_2m"))
+    vr = m.int_verification_hourly_weather.select(
+        F.col("event_id").alias("verification_event_id"), "location_id", "valid_at", "retrieved_at", "ingested_at",
+        F.col("temperature_2m").alias("reference_temperature_2m"))
+    io.land_ordered_files(fc, f"{root}/forecasts", STREAM_FILES, "valid_at")
+    io.land_ordered_files(vr, f"{root}/verification", STREAM_FILES, "valid_at")
+    fs = io.file_stream(spark, f"{root}/forecasts", fc.schema, 2)
+    vs = io.file_stream(spark, f"{root}/verification", vr.schema, 2)
+    j = late.match_late_verification(fs, vs).select(
+        "f.forecast_event_id", "v.verification_event_id", "f.location_id", "f.valid_at", "v.retrieved_at",
+        "v.ingested_at", (F.col("f.forecast_temperature_2m") - F.col("v.reference_temperature_2m"))
+        .alias("temperature_error"))
+    io.run_available_now(j.writeStream.format("parquet").option("path", f"{root}/matches")
+                         .option("checkpointLocation", f"{root}/checkpoint").outputMode("append"))
+    matches = spark.read.parquet(f"{root}/matches")
+    # W4 in batch: one match per forecast hour, from the newest verification version.
+    best = latest_per_key(matches, ["forecast_event_id", "valid_at"],
+                          ["retrieved_at", "ingested_at", "verification_event_id"])
+    return best.select("forecast_event_id", "verification_event_id", "location_id", "valid_at", "temperature_error")
