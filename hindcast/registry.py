@@ -907,3 +907,30 @@ def q_stream_late_verification(spark, sf_dir):
     best = latest_per_key(matches, ["forecast_event_id", "valid_at"],
                           ["retrieved_at", "ingested_at", "verification_event_id"])
     return best.select("forecast_event_id", "verification_event_id", "location_id", "valid_at", "temperature_error")
+
+
+# --------------------------------------------------------------------------- scans and views
+@register("raw_scan_by_date", [], lambda: O.with_ctes(body="""
+select event_id, location_id, model_id, forecast_run_at, kafka_offset from mr_raw
+where cast(forecast_run_at as date) between date '2024-01-08' and date '2024-01-14'"""))
+def q_raw_scan_by_date(spark, sf_dir):
+    """One week of the date-partitioned raw table (directory pruning on run_date)."""
+    from hindcast.sources.landing import read_landed
+    raw = read_landed(spark, sf_dir, "model_run_events", keep_date=True)
+    week = raw.filter(F.col("run_date").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-14").cast("date")))
+    return week.select("event_id", "location_id", "model_id", "forecast_run_at", "kafka_offset")
+
+
+@register("mart_views", ["mean_temperature_mae"], lambda: O.with_ctes(O.accuracy_sql(), body=f"""
+select model_id, lead_time_bucket, sum(matched_hour_count) as matched_hours,
+  count(distinct location_id) as locations, avg(temperature_mae) as mean_temperature_mae
+from ({O.agg_sql()}) a group by model_id, lead_time_bucket"""))
+def q_mart_views(spark, sf_dir):
+    """Every model registered as a temp view; SQL over the accuracy rollup view."""
+    m = _marts(spark, sf_dir)
+    prefix = f"v{abs(hash(sf_dir)) % 10_000_000}_"
+    m.register_views(prefix)
+    return spark.sql(f"""
+        select model_id, lead_time_bucket, sum(matched_hour_count) as matched_hours,
+               count(distinct location_id) as locations, avg(temperature_mae) as mean_temperature_mae
+        from {prefix}agg_model_accuracy group by model_id, lead_time_bucket""")
