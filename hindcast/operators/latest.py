@@ -35,25 +35,52 @@ LATEST_EVENT_TEXT_SCHEMA = (
     "data struct<location_id string, source string, retrieved_at string, timezone string, "
     f"current struct<valid_at string, interval_seconds string, {_TEXT_METRICS}>, "
     f"hourly array<struct<valid_at string, {_TEXT_METRICS}>>, "
-    f"daily array<struct<date string, {_TEXT_DAILY}>>>>"
+    f"daily array<struct<date string, {_TEXT_DAILY}>>>, _corrupt_record string>"
 )
+# Only what the rules and the newest-wins choice need: the parser still reads
+# every token but builds no metric values.
+LATEST_EVENT_SCREEN_SCHEMA = (
+    "struct<event_id string, event_type string, schema_version string, "
+    "data struct<location_id string, source string, retrieved_at string, timezone string, "
+    "current struct<valid_at string, interval_seconds string>, "
+    "hourly array<struct<valid_at string>>, daily array<struct<date string>>>, _corrupt_record string>"
+)
+_CORRUPT = {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}
 
 
 def _typed_metrics(prefix: str) -> list[Column]:
     return [safe_cast(F.col(f"{prefix}.{m}"), metric_sql_type(m)).alias(m) for m in METRICS]
 
 
-def decode_latest_events(log: DataFrame) -> DataFrame:
+def decode_latest_events(log: DataFrame, full: bool = True) -> DataFrame:
     """ST5: log records ``(topic, partition, offset, key, timestamp, value)`` ->
-    typed snapshot rows; keeps the record coordinates for ordering and checks."""
-    e = log.withColumn("__e", F.from_json("value", LATEST_EVENT_TEXT_SCHEMA))
-    hourly = F.transform(F.col("__e.data.hourly"), lambda h: F.struct(
-        safe_cast(h["valid_at"], "timestamp").alias("valid_at"),
-        *[safe_cast(h[m], metric_sql_type(m)).alias(m) for m in METRICS]))
-    daily = F.transform(F.col("__e.data.daily"), lambda d: F.struct(
-        d["date"].alias("date"),
-        *[safe_cast(d[f], "bigint" if f == "weather_code" else
-                    ("timestamp" if f in ("sunrise", "sunset") else "double")).alias(f) for f in DAILY_FIELDS]))
+    typed snapshot rows; keeps the record coordinates for ordering and checks.
+
+    ``full=False`` parses only the fields the rules and the newest-wins choice
+    need (and keeps the record ``value``), for screening every event before only
+    the winners are decoded in full.  Malformed JSON is caught by the parser's
+    corrupt-record column, so each record is parsed once."""
+    e = log.withColumn("__e", F.from_json("value", LATEST_EVENT_TEXT_SCHEMA if full else
+                                          LATEST_EVENT_SCREEN_SCHEMA, _CORRUPT))
+    if full:
+        hourly = F.transform(F.col("__e.data.hourly"), lambda h: F.struct(
+            safe_cast(h["valid_at"], "timestamp").alias("valid_at"),
+            *[safe_cast(h[m], metric_sql_type(m)).alias(m) for m in METRICS]))
+        daily = F.transform(F.col("__e.data.daily"), lambda d: F.struct(
+            d["date"].alias("date"),
+            *[safe_cast(d[f], "bigint" if f == "weather_code" else
+                        ("timestamp" if f in ("sunrise", "sunset") else "double")).alias(f) for f in DAILY_FIELDS]))
+        current = F.struct(safe_cast(F.col("__e.data.current.valid_at"), "timestamp").alias("valid_at"),
+                           safe_cast(F.col("__e.data.current.interval_seconds"), "int").alias("interval_seconds"),
+                           *_typed_metrics("__e.data.current"))
+        extra = []
+    else:
+        hourly = F.transform(F.col("__e.data.hourly"),
+                             lambda h: F.struct(safe_cast(h["valid_at"], "timestamp").alias("valid_at")))
+        daily = F.transform(F.col("__e.data.daily"), lambda d: F.struct(d["date"].alias("date")))
+        current = F.struct(safe_cast(F.col("__e.data.current.valid_at"), "timestamp").alias("valid_at"),
+                           safe_cast(F.col("__e.data.current.interval_seconds"), "int").alias("interval_seconds"))
+        extra = [F.col("value")]
     return e.select(
         F.col("topic"), F.col("partition"), F.col("offset"), F.col("key"), F.col("timestamp"),
         F.col("__e.event_id").alias("event_id"),
@@ -63,15 +90,25 @@ def decode_latest_events(log: DataFrame) -> DataFrame:
         F.col("__e.data.source").alias("source"),
         safe_cast(F.col("__e.data.retrieved_at"), "timestamp").alias("retrieved_at"),
         F.col("__e.data.timezone").alias("timezone"),
-        F.struct(safe_cast(F.col("__e.data.current.valid_at"), "timestamp").alias("valid_at"),
-                 safe_cast(F.col("__e.data.current.interval_seconds"), "int").alias("interval_seconds"),
-                 *_typed_metrics("__e.data.current")).alias("current"),
+        current.alias("current"),
         hourly.alias("hourly"),
         daily.alias("daily"),
-        F.try_parse_json("value").isNull().alias("bad_json"),
+        (F.col("value").isNull() | F.col("__e._corrupt_record").isNotNull()).alias("bad_json"),
+        *extra,
     )
 
 
+def latest_from_log(log: DataFrame) -> DataFrame:
+    """ST5 + P21 + ST3 end to end: screen every record with the light parse and
+    the rules, pick the newest valid snapshot per location (carrying its raw
+    record through the partial aggregate), then decode only the winners."""
+    screened = hot_state_violations(decode_latest_events(log, full=False))
+    valid = screened.filter(F.size("violations") == 0).select(
+        "location_id", "retrieved_at", "topic", "partition", "offset", "key", "timestamp", "value")
+    winners = latest_snapshots(valid)
+    return decode_latest_events(winners.select("topic", "partition", "offset", "key", "timestamp", "value"))
+
+
 def hot_state_violations(events: DataFrame) -> DataFrame:
     """P21 + ST5: rule codes per event (empty array = valid)."""
     checks = [

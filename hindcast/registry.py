@@ -278,10 +278,8 @@ def _latest(spark, sf_dir):
     from hindcast.sources.landing import read_landed
     from hindcast.sources.logs import log_records
 
-    events = L.hot_state_violations(L.decode_latest_events(
-        log_records(read_landed(spark, sf_dir, "operational_forecast_events"))))
-    valid = events.filter(F.size("violations") == 0).drop("violations")
-    return L, L.latest_snapshots(valid)
+    log = log_records(read_landed(spark, sf_dir, "operational_forecast_events"))
+    return L, L.latest_from_log(log)
 
 
 CURRENT_ABSENT_SQL = {"precipitation_probability", "visibility", "uv_index"}

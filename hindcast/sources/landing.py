@@ -6,9 +6,11 @@ and runs its models as views over them.  Here the bridge output is written to
 Parquet under the shared checkpoint folder (``spark.checkpoint.dir``):
 
 * ``partitionBy(<date column>)`` so filters on the date prune directories,
-* ``repartitionByRange(n, date, location_id)`` so every task writes a
-  contiguous slice (a large day is split across tasks, files stay few),
-* ``sortWithinPartitions(location_id, ...)`` for min/max statistics per row group.
+* a ``REBALANCE(<date>)`` hint: rows are hashed by date and AQE splits a large
+  day into advisory-sized tasks and merges small ones, so files stay few and
+  even without a sampling pass over the input (a range shuffle would run the
+  upstream plan once more to sample it),
+* ``sortWithinPartitions(date, location_id, ...)`` for row-group statistics.
 
 A folder is reused only when it holds Spark's ``_SUCCESS`` marker and the
 inputs' sizes and times match (the key is derived from them).
@@ -71,14 +73,12 @@ def _input_key(spark: SparkSession, sf_dir: str) -> str:
 
 def land(df: DataFrame, path: str, table: str) -> None:
     date_col, instant, cluster = LAYOUT[table]
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if date_col is None:
-        out = df.repartitionByRange(n, *cluster).sortWithinPartitions(*cluster)
+        out = df.hint("rebalance", cluster[0]).sortWithinPartitions(*cluster)
         out.write.mode("overwrite").parquet(path)
         return
     out = df.withColumn(date_col, F.to_date(instant))
-    out = out.repartitionByRange(n, date_col, cluster[0]).sortWithinPartitions(date_col, *cluster)
+    out = out.hint("rebalance", date_col).sortWithinPartitions(date_col, *cluster)
     out.write.mode("overwrite").partitionBy(date_col).parquet(path)
 
 
@@ -144,10 +144,8 @@ INTERMEDIATE_LAYOUT = {
 
 
 def materialize(df: DataFrame, path: str, date_col: str, instant: str, cluster: list[str]) -> None:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = df.withColumn(date_col, F.to_date(instant))
-    out = out.repartitionByRange(n, date_col, cluster[0]).sortWithinPartitions(date_col, *cluster)
+    out = out.hint("rebalance", date_col).sortWithinPartitions(date_col, *cluster)
     out.write.mode("overwrite").partitionBy(date_col).parquet(path)
 
 

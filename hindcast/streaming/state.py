@@ -17,10 +17,9 @@ from hindcast.streaming.io import VersionedTable, run_available_now
 
 def latest_state_writer(table: VersionedTable):
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = L.hot_state_violations(L.decode_latest_events(batch))
-        valid = events.filter(F.size("violations") == 0).drop("violations", "bad_json")
+        winners = L.latest_from_log(batch)
         current = table.read()
-        merged = L.latest_snapshots(valid) if current is None else L.merge_latest(current, valid)
+        merged = winners if current is None else L.merge_latest(current, winners)
         table.publish(merged, batch_id)
     return write
 
