@@ -200,3 +200,8 @@ def verification_targets(locations: DataFrame, reference_time: Column, lag_days:
 def cycle_report(outcomes: DataFrame, status_col: str = "status") -> DataFrame:
     """Due / published / failed counts of one ingestion cycle."""
     return outcomes.groupBy(status_col).agg(F.count(F.lit(1)).alias("locations"))
+
+
+def list_locations(locations: DataFrame) -> DataFrame:
+    """K3: every location ordered by id (a global sort: range-partitioned by Spark)."""
+    return locations.orderBy("location_id")

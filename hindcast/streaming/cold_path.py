@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.sources import raw
+from hindcast.sources.sinks import replay_safe_load
 from hindcast.streaming.io import run_available_now
 
 
@@ -30,10 +31,7 @@ def batch_writer(table: str, out_path: str, date_col: str, instant: str, ingeste
 
     def write(batch: DataFrame, batch_id: int) -> None:
         mapped = raw.strict(table_mapper(batch, ingested_at()))
-        out = (mapped.withColumn(date_col, F.to_date(instant))
-               .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id", date_col).parquet(out_path))
+        replay_safe_load(mapped.withColumn(date_col, F.to_date(instant)), out_path, batch_id, [date_col])
     return write
 
 
