@@ -120,7 +120,10 @@ class Models:
 
     @cached_property
     def agg_model_accuracy(self) -> DataFrame:
-        return accuracy.agg_model_accuracy(self.fct_model_forecast_accuracy, self.dim_locations)
+        # Size bound for the dimension broadcast: the raw reference table's row
+        # count (a Parquet metadata count) bounds the de-duplicated dimension.
+        return accuracy.agg_model_accuracy(self.fct_model_forecast_accuracy, self.dim_locations,
+                                           dim_rows=self.raw_locations.count())
 
     MODEL_NAMES = [
         "stg_locations", "stg_model_run_events", "stg_verification_weather_events",

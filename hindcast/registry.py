@@ -838,7 +838,10 @@ def q_stream_ingest(spark, sf_dir):
     from hindcast.streaming import cold_path, io
     root = io.scratch_root(spark, "cold-path")
     io.land_ordered_files(_all_logs(spark, sf_dir), f"{root}/log", STREAM_FILES, "timestamp")
-    cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 2), f"{root}/raw", f"{root}/checkpoints")
+    status = cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 2), f"{root}/raw",
+                                       f"{root}/checkpoints")
+    if status["model_run_events"] != "ok":
+        raise RuntimeError(status["model_run_events"])
     out = spark.read.parquet(f"{root}/raw/model_run_events")
     return out.drop("payload", "batch_id", "run_date")
 

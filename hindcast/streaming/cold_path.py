@@ -43,10 +43,13 @@ LAYOUT = {
 
 
 def start_cold_path(spark: SparkSession, log: DataFrame, out_root: str, checkpoint_root: str,
-                    available_now: bool = True, interval: str = "1 hour") -> list:
-    """One query per topic; returns the started queries (or runs them to the
-    end of the available input when ``available_now``)."""
-    queries = []
+                    available_now: bool = True, interval: str = "1 hour") -> dict:
+    """One query per topic.  With ``available_now`` each runs to the end of the
+    available input and the result maps table -> ``"ok"`` or the error that
+    stopped it (a failing topic does not stop the others, and its checkpoint
+    stays at the last committed batch).  Otherwise the started queries are
+    returned, triggered every ``interval``."""
+    results: dict = {}
     for topic, (table, _) in raw.MAPPERS.items():
         date_col, instant = LAYOUT[table]
         w = (log.filter(F.col("topic") == topic).writeStream
@@ -54,7 +57,11 @@ def start_cold_path(spark: SparkSession, log: DataFrame, out_root: str, checkpoi
              .option("checkpointLocation", f"{checkpoint_root}/{table}")
              .queryName(f"cold_path_{table}"))
         if available_now:
-            run_available_now(w)
+            try:
+                run_available_now(w)
+                results[table] = "ok"
+            except Exception as exc:  # isolate the topic; the caller sees the error
+                results[table] = f"failed: {str(exc).splitlines()[0][:200]}"
         else:
-            queries.append(w.trigger(processingTime=interval).start())
-    return queries
+            results[table] = w.trigger(processingTime=interval).start()
+    return results

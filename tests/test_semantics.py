@@ -271,3 +271,27 @@ def test_replay_safe_load_replaces_its_batch(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     export_json_lines(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_cold_path_topics_fail_independently(spark, tmp_path):
+    from hindcast.streaming import cold_path, io
+    good = ("forecast.runs", 0, 1, "3:ecmwf_ifs", dt.datetime(2026, 9, 19, 0, 30), _mr_value())
+    bad = ("weather.verification", 0, 1, "3", dt.datetime(2026, 9, 19, 0, 30), "not-json")
+    log = spark.createDataFrame([good, bad], "topic string, partition int, offset long, key string, "
+                                             "timestamp timestamp, value string")
+    root = str(tmp_path)
+    io.land_ordered_files(log, f"{root}/log", 1, "timestamp")
+    status = cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 1), f"{root}/raw", f"{root}/ck")
+    assert status["model_run_events"] == "ok"
+    assert status["verification_weather_events"].startswith("failed")
+    assert spark.read.parquet(f"{root}/raw/model_run_events").count() == 1
+
+
+def test_skew_safe_plans(spark):
+    from hindcast.operators.dedup import latest_per_key
+    from hindcast.operators.sequence import previous_in_sequence
+    df = spark.range(100).selectExpr("id % 3 as k", "id as o", "cast(id as double) as v")
+    plan = latest_per_key(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan  # combined map-side before the shuffle
+    plan = previous_in_sequence(df, ["k"], ["o"], {"v": "pv"})._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Window" in plan
