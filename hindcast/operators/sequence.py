@@ -40,6 +40,10 @@ def previous_in_sequence(df: DataFrame, partition_by: Sequence[str], order_by: S
                          num_partitions: int | None = None) -> DataFrame:
     """Add ``carry[src]`` = value of ``src`` in the previous row of the same
     ``partition_by`` group ordered by ``order_by`` (ascending, NULLs first)."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        # Slice ids are only consistent when the range exchange is shared.
+        method = "window"
     if method == "window":
         w = Window.partitionBy(*partition_by).orderBy(*order_by)
         out = df
@@ -47,7 +51,6 @@ def previous_in_sequence(df: DataFrame, partition_by: Sequence[str], order_by: S
             out = out.withColumn(dst, F.lag(src).over(w))
         return out
 
-    spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition_by) + list(order_by)
     ranged = df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id())
@@ -92,6 +95,8 @@ def dense_index(df: DataFrame, order_by: Sequence[str], as_col: str = "idx",
     count of all rows in earlier slices (a table of at most ``n`` rows,
     broadcast)."""
     spark = df.sparkSession
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        raise ValueError("dense_index needs spark.sql.exchange.reuse=true (slice ids must agree)")
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order_by).withColumn("__pid", F.spark_partition_id())
     w = Window.partitionBy("__pid").orderBy(*order_by)

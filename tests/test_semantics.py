@@ -295,3 +295,18 @@ def test_skew_safe_plans(spark):
     assert "partial_max_by" in plan  # combined map-side before the shuffle
     plan = previous_in_sequence(df, ["k"], ["o"], {"v": "pv"})._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "Window" in plan
+
+
+def test_stateful_latest_update_mode(spark, tmp_path):
+    from hindcast.streaming import io, state
+    rows = [(0, _event("a", "2026-09-18T07:00:00Z", 30.0)), (1, _event("b", "2026-09-18T06:00:00Z", 1.0)),
+            (2, _event("c", "2026-09-18T08:00:00Z", 31.5)), (3, _event("c2", "2026-09-18T08:00:00Z", 2.0))]
+    io.land_ordered_files(_log(spark, rows), str(tmp_path / "log"), 2, "timestamp")
+    ev = L.decode_latest_events(io.log_stream(spark, str(tmp_path / "log"), 1)).select(
+        "location_id", "retrieved_at", "timestamp", "partition", "offset", "event_id")
+    q = (state.stateful_latest(ev).writeStream.outputMode("update").format("memory")
+         .queryName("latest_update_mode_test").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.sql("select latest.event_id as e from latest_update_mode_test").collect()
+    assert got[-1]["e"] == "c"   # newest retrieval wins; the equal one that arrived later does not
