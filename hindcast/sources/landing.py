@@ -109,16 +109,37 @@ def land_all(spark: SparkSession, sf_dir: str, force: bool = False) -> dict[str,
         "verification_weather_events": b.verification_raw,
         "operational_forecast_events": b.operational_raw,
     }
-    paths = {}
+    paths, writes = {}, []
     for table, build in builders.items():
         path = f"{root}/{table}"
         if force or not _exists(spark, f"{path}/_SUCCESS"):
-            land(build(), path, table)
+            df = build()  # built on this thread; only the write runs concurrently
+            writes.append((lambda d=df, p=path, t=table: land(d, p, t)))
         paths[table] = path
+    run_concurrently(writes)
     _PATHS[memo] = paths
     return paths
 
 
+def run_concurrently(writes: list, max_jobs: int = 4) -> None:
+    """Run independent table writes as concurrent Spark jobs.
+
+    Each write is its own job; submitting them from a few driver threads lets
+    the scheduler fill cores that one job's last, straggling tasks leave idle
+    (and overlaps the driver-side planning of the jobs).  The first error is
+    raised after every write has finished."""
+    if len(writes) <= 1:
+        for w in writes:
+            w()
+        return
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=min(max_jobs, len(writes))) as pool:
+        futures = [pool.submit(w) for w in writes]
+    for f in futures:
+        f.result()
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
     memo = _session_key(spark, "read", path)
     if memo not in _READS:
@@ -158,12 +179,14 @@ def build_intermediate(spark: SparkSession, sf_dir: str, force: bool = False) ->
         return _PATHS[memo]
     root = landed_root(spark, sf_dir)
     m = Models.from_landed(spark, sf_dir)
-    paths = {}
+    paths, writes = {}, []
     for table, (date_col, instant, cluster) in INTERMEDIATE_LAYOUT.items():
         path = f"{root}/{table}"
         if force or not _exists(spark, f"{path}/_SUCCESS"):
-            materialize(getattr(m, table), path, date_col, instant, cluster)
+            df = getattr(m, table)  # built on this thread; only the write runs concurrently
+            writes.append((lambda d=df, p=path, dc=date_col, i=instant, c=cluster: materialize(d, p, dc, i, c)))
         paths[table] = path
+    run_concurrently(writes)
     _PATHS[memo] = paths
     return paths
 
