@@ -34,3 +34,27 @@ def test_previous_in_sequence_hot_group_spans_partitions(spark):
     key = ["g", "t", "v", "pv", "pt"]
     assert sorted(map(tuple, a.select(*key).collect()), key=str) == \
         sorted(map(tuple, b.select(*key).collect()), key=str)
+
+
+def test_join_dimension_broadcasts_only_under_byte_bound(spark):
+    from hindcast.operators.joins import estimated_row_bytes, join_dimension
+
+    fact = spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    dim = spark.range(50).select(F.col("id").alias("k"), F.concat(F.lit("name-"), F.col("id")).alias("name"))
+    assert estimated_row_bytes(dim.schema) == 8 + 8 + 48
+
+    def plan(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    # Only the explicit hint may broadcast here (no statistics-based choice).
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = join_dimension(fact, dim, "k", dim_rows=50)
+        assert "BroadcastHashJoin" in plan(small)
+        # Same rows, but a bound the estimate exceeds: no broadcast hint.
+        big = join_dimension(fact, dim, "k", dim_rows=50, max_broadcast_bytes=100)
+        assert "BroadcastHashJoin" not in plan(big)
+        assert sorted(small.collect()) == sorted(big.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
