@@ -44,16 +44,27 @@ def _is_time(name: str) -> bool:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence,
-                   count_as: str | None = None) -> DataFrame:
+                   count_as: str | None = None, where: str | None = None) -> DataFrame:
     """Keep one row per ``keys``: the greatest by ``order``.
 
     ``count_as`` adds the number of rows the key had (W5's
-    ``count(*) over (partition by keys)``) from the same aggregate."""
-    cols = df.columns
-    aggs = [F.max_by(F.struct(*[F.col(c) for c in cols]), _order_struct(order)).alias(_ROW)]
+    ``count(*) over (partition by keys)``) from the same aggregate.
+
+    ``where`` names a boolean column: only rows where it is true compete (and
+    are counted), keys without such a row are dropped, and the column itself is
+    not returned.  Same rows as filtering first, but the predicate is evaluated
+    inside the aggregate, so Catalyst cannot push it below an expensive
+    projection (such as a JSON parse) and evaluate that projection twice."""
+    cols = [c for c in df.columns if c != where]
+    ordering = _order_struct(order)
+    if where:
+        ordering = F.when(F.col(where), ordering)  # NULL orderings never win in max_by
+    aggs = [F.max_by(F.struct(*[F.col(c) for c in cols]), ordering).alias(_ROW)]
     if count_as:
-        aggs.append(F.count(F.lit(1)).alias(count_as))
+        aggs.append((F.count_if(F.col(where)) if where else F.count(F.lit(1))).alias(count_as))
     out = df.groupBy(*keys).agg(*aggs)
+    if where:
+        out = out.filter(F.col(_ROW).isNotNull())
     select = [F.col(f"{_ROW}.{c}").alias(c) for c in cols]
     if count_as:
         select.append(F.col(count_as))

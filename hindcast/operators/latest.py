@@ -103,9 +103,10 @@ def latest_from_log(log: DataFrame) -> DataFrame:
     the rules, pick the newest valid snapshot per location (carrying its raw
     record through the partial aggregate), then decode only the winners."""
     screened = hot_state_violations(decode_latest_events(log, full=False))
-    valid = screened.filter(F.size("violations") == 0).select(
-        "location_id", "retrieved_at", "topic", "partition", "offset", "key", "timestamp", "value")
-    winners = latest_snapshots(valid)
+    candidates = screened.select(
+        "location_id", "retrieved_at", "topic", "partition", "offset", "key", "timestamp", "value",
+        (F.size("violations") == 0).alias("__valid"))
+    winners = latest_snapshots(candidates, valid="__valid")
     return decode_latest_events(winners.select("topic", "partition", "offset", "key", "timestamp", "value"))
 
 
@@ -136,11 +137,12 @@ def hot_state_violations(events: DataFrame) -> DataFrame:
 ARRIVAL = ["timestamp", "partition", "offset"]
 
 
-def latest_snapshots(events: DataFrame) -> DataFrame:
+def latest_snapshots(events: DataFrame, valid: str | None = None) -> DataFrame:
     """ST3: per location the strictly-newest ``retrieved_at``; among equal
-    ones the first arrival (an equal event later is a no-op)."""
+    ones the first arrival (an equal event later is a no-op).  ``valid`` names
+    a boolean column: only those events are applied."""
     order = ["retrieved_at"] + [(c, "asc") for c in ARRIVAL]
-    return latest_per_key(events, ["location_id"], order)
+    return latest_per_key(events, ["location_id"], order, where=valid)
 
 
 def merge_latest(state: DataFrame, batch: DataFrame) -> DataFrame:

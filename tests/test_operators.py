@@ -58,3 +58,17 @@ def test_join_dimension_broadcasts_only_under_byte_bound(spark):
         assert sorted(small.collect()) == sorted(big.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_latest_per_key_where_equals_filter_first(spark):
+    random.seed(11)
+    # key 0 is hot; key 99 has no valid row and must disappear
+    rows = [(0 if i % 3 else random.randint(1, 9), random.randint(0, 4), i, random.random() < 0.6)
+            for i in range(500)]
+    rows += [(99, 1, 1000, False), (99, 2, 1001, False), (None, 3, 1002, True)]
+    df = spark.createDataFrame(rows, "k int, a int, c int, ok boolean")
+    got = latest_per_key(df, ["k"], ["a", "c"], count_as="n", where="ok")
+    assert "ok" not in got.columns
+    ref = latest_per_key(df.filter("ok").drop("ok"), ["k"], ["a", "c"], count_as="n")
+    assert sorted(map(tuple, got.select("k", "a", "c", "n").collect()), key=str) == \
+        sorted(map(tuple, ref.select("k", "a", "c", "n").collect()), key=str)
