@@ -201,6 +201,11 @@ def test_raw_rules_and_strict_batch(spark):
     assert good.count() == 1 and bad.count() == 3
     with pytest.raises(Exception):
         RAW.strict(mapped).collect()
+    # A consumer that reads no column still runs the checks (nothing pruned away).
+    with pytest.raises(Exception):
+        RAW.strict(mapped).count()
+    with pytest.raises(Exception):
+        RAW.strict(mapped).select("kafka_offset").collect()
     assert RAW.strict(mapped.filter("kafka_offset = 1")).count() == 1
 
 
