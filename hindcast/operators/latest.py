@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from hindcast.functions.json import safe_cast
 from hindcast.functions.time import is_iso_date
 from hindcast.operators.dedup import latest_per_key
+from hindcast.operators.unnest import inline_rows
 from hindcast.schemas import DAILY_FIELDS, METRICS, TOPIC_OPERATIONAL, TYPE_OPERATIONAL, metric_sql_type
 
 _TEXT_METRICS = ", ".join(f"`{m}` string" for m in METRICS)
@@ -52,14 +53,15 @@ def _typed_metrics(prefix: str) -> list[Column]:
     return [safe_cast(F.col(f"{prefix}.{m}"), metric_sql_type(m)).alias(m) for m in METRICS]
 
 
-def decode_latest_events(log: DataFrame, full: bool = True) -> DataFrame:
+def decode_latest_events(log: DataFrame, full: bool = True, carry: list[str] | tuple = ()) -> DataFrame:
     """ST5: log records ``(topic, partition, offset, key, timestamp, value)`` ->
     typed snapshot rows; keeps the record coordinates for ordering and checks.
 
     ``full=False`` parses only the fields the rules and the newest-wins choice
     need (and keeps the record ``value``), for screening every event before only
     the winners are decoded in full.  Malformed JSON is caught by the parser's
-    corrupt-record column, so each record is parsed once."""
+    corrupt-record column, so each record is parsed once.  ``carry`` names
+    further input columns passed through unchanged."""
     e = log.withColumn("__e", F.from_json("value", LATEST_EVENT_TEXT_SCHEMA if full else
                                           LATEST_EVENT_SCREEN_SCHEMA, _CORRUPT))
     if full:
@@ -95,6 +97,7 @@ def decode_latest_events(log: DataFrame, full: bool = True) -> DataFrame:
         daily.alias("daily"),
         (F.col("value").isNull() | F.col("__e._corrupt_record").isNotNull()).alias("bad_json"),
         *extra,
+        *[F.col(c) for c in carry],
     )
 
 
@@ -107,7 +110,11 @@ def latest_from_log(log: DataFrame) -> DataFrame:
         "location_id", "retrieved_at", "topic", "partition", "offset", "key", "timestamp", "value",
         (F.size("violations") == 0).alias("__valid"))
     winners = latest_snapshots(candidates, valid="__valid")
-    return decode_latest_events(winners.select("topic", "partition", "offset", "key", "timestamp", "value"))
+    decoded = decode_latest_events(winners.select("topic", "partition", "offset", "key", "timestamp", "value",
+                                                  F.col("location_id").alias("__loc")), carry=["__loc"])
+    # The group key is the same text decoded by the same cast; reusing it keeps
+    # join-inferred key checks (``location_id IS NOT NULL``) off the JSON parse.
+    return decoded.withColumn("location_id", F.col("__loc")).drop("__loc")
 
 
 def hot_state_violations(events: DataFrame) -> DataFrame:
@@ -168,12 +175,12 @@ def current_table(latest: DataFrame) -> DataFrame:
 
 def latest_hourly(latest: DataFrame) -> DataFrame:
     """ST4: hourly children of the winning event, one per valid hour."""
-    return latest.select("location_id", F.inline("hourly"))
+    return inline_rows(latest, ["location_id"], "hourly")
 
 
 def latest_daily(latest: DataFrame) -> DataFrame:
     """ST4: daily children; the ISO date becomes the key ``forecast_date``."""
-    d = latest.select("location_id", F.inline("daily"))
+    d = inline_rows(latest, ["location_id"], "daily")
     return d.select("location_id", F.to_date(F.col("date")).alias("forecast_date"),
                     *[c for c in DAILY_FIELDS])
 

@@ -27,3 +27,16 @@ def typed_hourly(df: DataFrame, keep: list[str], record_col: str = "hourly",
     if with_lead:
         cols.append(safe_cast(scalar_only(F.col("__rec.lead_time_hours")), "bigint").alias("lead_time_hours"))
     return parsed.select(*cols, *metric_columns("__rec"))
+
+
+def inline_rows(df: DataFrame, keep: list[str], array_col: str) -> DataFrame:
+    """``select(*keep, inline(array_col))``: one row per struct element, none for
+    a NULL or empty array.
+
+    Written with ``posexplode_outer`` and a filter on the position (NULL only
+    for the padding row of an empty array): plain ``inline``/``explode`` makes
+    Catalyst infer ``size(array) > 0`` and push it below the projection that
+    builds the array, which re-runs that projection (e.g. a JSON decode) inside
+    the filter."""
+    out = df.select(*keep, F.posexplode_outer(array_col).alias("__pos", "__el"))
+    return out.filter(F.col("__pos").isNotNull()).select(*keep, "__el.*")

@@ -589,8 +589,9 @@ select location_id, valid_at, weather_code, {_cond_sql('weather_code', 0)} as co
 def q_condition_labels(spark, sf_dir):
     """WMO code -> condition and label for every latest hourly row."""
     from hindcast.operators.derived import condition, condition_label
+    from hindcast.operators.unnest import inline_rows
     _, latest = _latest(spark, sf_dir)
-    h = latest.select("location_id", F.inline("hourly"))
+    h = inline_rows(latest, ["location_id"], "hourly")
     return h.select("location_id", "valid_at", "weather_code", condition("weather_code").alias("condition"),
                     condition_label("weather_code").alias("label"))
 

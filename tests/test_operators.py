@@ -72,3 +72,15 @@ def test_latest_per_key_where_equals_filter_first(spark):
     ref = latest_per_key(df.filter("ok").drop("ok"), ["k"], ["a", "c"], count_as="n")
     assert sorted(map(tuple, got.select("k", "a", "c", "n").collect()), key=str) == \
         sorted(map(tuple, ref.select("k", "a", "c", "n").collect()), key=str)
+
+
+def test_inline_rows_equals_inline(spark):
+    from hindcast.operators.unnest import inline_rows
+
+    df = spark.createDataFrame(
+        [(1, [(1, "a"), (2, "b")]), (2, []), (3, None), (4, [None, (5, "e")]), (5, [(6, None)])],
+        "k int, arr array<struct<x int, y string>>")
+    got = inline_rows(df, ["k"], "arr")
+    ref = df.select("k", F.inline("arr"))
+    assert got.columns == ref.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
