@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from hindcast.llm.neardup import op6_near_duplicates
 from hindcast.llm.packing import op9_packing
 from hindcast.llm.tokens import op8_bpe
 
-QUERIES = {"op8_bpe": op8_bpe, "op9_packing": op9_packing}
+QUERIES = {"op6_near_duplicates": op6_near_duplicates, "op8_bpe": op8_bpe, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}
