@@ -6,9 +6,10 @@ from hindcast.llm.html import op7_main_text
 from hindcast.llm.neardup import op6_near_duplicates
 from hindcast.llm.packing import op9_packing
 from hindcast.llm.rules import op3_quality_rules
+from hindcast.llm.secrets import op4_secrets
 from hindcast.llm.sharding import ORACLE as SHARDING_SQL, op10_sharding
 from hindcast.llm.simhash import op5_simhash
 from hindcast.llm.tokens import op8_bpe
 
-QUERIES = {"op7_main_text": op7_main_text, "op5_simhash": op5_simhash, "op3_quality_rules": op3_quality_rules, "op6_near_duplicates": op6_near_duplicates, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+QUERIES = {"op4_secrets": op4_secrets, "op7_main_text": op7_main_text, "op5_simhash": op5_simhash, "op3_quality_rules": op3_quality_rules, "op6_near_duplicates": op6_near_duplicates, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 ORACLES = {"op10_sharding": SHARDING_SQL}
