@@ -5,7 +5,8 @@
    low 4 bits of every minimum, packed into ten 64-bit numbers.  Documents with equal
    sets are one class from here on, so copies cost nothing further.
 2. Classes with a band key in common are candidates.  Inside such a bucket each class
-   is first compared with the bucket's least and greatest class only, not with all.
+   is first compared with two others only: the one that shares most bands with other
+   classes, as the original of a group of edited copies does, and the least.
    A candidate stays if the sizes allow the threshold and the similarity estimated
    from the packed bits (equal 4-bit values, corrected for those equal by chance) is
    not five standard errors below it.  What stays is confirmed on the full sets.
@@ -240,12 +241,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         salt += 1  # two sets with one 64-bit digest: begin again with other hashes
 
     keys = classes.select("node", F.explode(F.array(*BAND_COLUMNS)).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                      F.count(F.lit(1)).alias("n")).where("lo < hi")
-    members = stored(spark, keys.join(buckets, "key"), "neardup-buckets")
-    star = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")),
-                                            F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("e"))
-    star = stored(spark, likely(star.select("e.*").where("a < b").distinct(), classes, percent), "neardup-star")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(spark, keys.join(sizes, "key"), "neardup-buckets")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    members = stored(spark, members.join(company, "node"), "neardup-members")
+    hubs = members.groupBy("key").agg(F.max_by("node", "company").alias("hub"), F.min("node").alias("first"))
+    star = members.join(hubs, "key").select("node", F.explode(F.array("hub", "first")).alias("to")).where("node <> to")
+    star = star.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    star = stored(spark, likely(star, classes, percent), "neardup-star")
     links = stored(spark, confirmed(spark, star, docs, classes, width, salt, percent), "neardup-links")
     roots = components(spark, links)
 
