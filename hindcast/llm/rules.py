@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hindcast.llm.common import stored
+from hindcast.llm.common import kept, stored
 from hindcast.sources.tables import read_table
 
 LEAST_ROWS = 50
@@ -131,32 +131,32 @@ def _pooled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 def fitted(spark: SparkSession, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(group sizes, parameters): medians m*, centre t* and factor f** of each group
     that is large enough.  ``numbers`` is a written table of ``measured`` columns."""
-    sizes = stored(spark, numbers.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")), "rules-sizes")
+    sizes = kept(numbers.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
     rows = _pooled(numbers.where("n_words > 0").select(*GROUP, "n_words", *VECTOR), sizes)
     medians = rows.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(VECTOR)))
-    medians = stored(spark, medians.where(F.col("n") >= LEAST_ROWS).drop("n"), "rules-medians")
+    medians = kept(medians.where(F.col("n") >= LEAST_ROWS).drop("n"))
     rows = stored(spark, _shrunk(rows.join(medians, GROUP)).select(*GROUP, *VECTOR, *(f"m{i}" for i in range(len(VECTOR)))), "rules-vectors")
     spread = rows.groupBy(*GROUP).agg(*(
         F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(VECTOR)))
-    spread = stored(spark, spread, "rules-spread")
+    spread = kept(spread)
     start = sum((((F.col(x) - F.col(f"m{i}")) / (1.4826 * F.col(f"d{i}") + FLOORS[i])) ** 2 for i, x in enumerate(VECTOR)), F.lit(0.0))
     ranked = rows.join(spread, GROUP).withColumn("distance", start)
     for step in range(STEPS + 1):
         ranked = ranked.select(*GROUP, *VECTOR, "distance")
         edge = ranked.groupBy(*GROUP).agg(F.percentile_approx("distance", KEPT_SHARE, 1000).alias("edge"),
                                           F.percentile_approx("distance", 0.5, 1000).alias("middle"))
-        edge = stored(spark, edge, "rules-edge")
+        edge = kept(edge)
         if step == STEPS:
             scale = F.greatest(F.col("middle") / MEDIAN_CHI2_4, F.lit(1e-6))
             final = _factored(moments.join(edge.drop("edge"), GROUP), scale, floors=True)
-            kept = [c for c in final.columns if c[0] in "tf" and c[1:].isdigit()]
-            return sizes, stored(spark, medians.join(final.select(*GROUP, *kept), GROUP), "rules-parameters")
+            names = [c for c in final.columns if c[0] in "tf" and c[1:].isdigit()]
+            return sizes, kept(medians.join(final.select(*GROUP, *names), GROUP))
         chosen = ranked.join(edge, GROUP).where("distance <= edge")
         moments = chosen.groupBy(*GROUP).agg(
             *(F.avg(x).alias(f"t{i}") for i, x in enumerate(VECTOR)),
             *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(len(VECTOR)) for j in range(i + 1)))
-        moments = stored(spark, _factored(moments, F.lit(1.0), floors=False), "rules-moments")
+        moments = kept(_factored(moments, F.lit(1.0), floors=False))
         ranked = rows.join(moments, GROUP).withColumn("distance", _distance("t", "f"))
         moments = moments.drop(*(c for c in moments.columns if c[0] == "f"))
 
