@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hindcast.llm.common import stored
+from hindcast.llm.common import kept, stored
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -14,29 +14,30 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Each round points every node to its smallest neighbour if that is smaller, follows
     the pointers to their ends by doubling, and replaces the edges by those between
     ends.  A component at least halves its nodes in a round, so rounds grow with the
-    logarithm of its size.  Every step is a written table; nothing is kept by lineage.
+    logarithm of its size.  The components so far are a written table after each round,
+    and only the steps of a round are kept by lineage.
     """
     edges = stored(spark, edges.select("a", "b").where("a <> b").distinct(), "graph-edges")
     total: DataFrame | None = None
     while True:
         ends = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "next")
-        up = ends.groupBy("node").agg(F.least("node", F.min("next")).alias("root"))
+        up = kept(ends.groupBy("node").agg(F.least("node", F.min("next")).alias("root")))
         while True:
             far = up.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-            up = stored(spark, up.join(far, "root").select(
-                "node", F.col("beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("moved")), "graph-roots")
+            up = kept(up.join(far, "root").select(
+                "node", F.col("beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("moved")))
             moved = not up.where("moved").isEmpty()
             up = up.drop("moved")
             if not moved:
                 break
         if total is None:
-            total = up
+            total = stored(spark, up, "graph-components")
         else:
             step = up.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
             total = stored(spark, total.join(step, "root", "left").select(
                 "node", F.coalesce("beyond", "root").alias("root")), "graph-components")
         edges = relabelled(edges, up)
-        edges = stored(spark, edges.distinct(), "graph-edges")
+        edges = kept(edges.distinct())
         if edges.isEmpty():
             return total
 

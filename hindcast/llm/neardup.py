@@ -11,9 +11,10 @@
    from the packed bits (equal 4-bit values, corrected for those equal by chance) is
    not five standard errors below it.  What stays is confirmed on the full sets.
 3. Buckets whose classes are by then in different components are searched again: all
-   pairs across components, compared bit by bit in blocks of bounded size; pairs that
-   pass the estimate are confirmed too.  So no link that matters for a component is
-   skipped, and a large group of near copies costs few comparisons for each member.
+   pairs across components, compared bit by bit in blocks of bounded size, and those
+   that pass the estimate confirmed on full sets in the same task.  So no link that
+   matters for a component is skipped, and neither a large group of near copies nor
+   many classes just below the threshold give more rows than links.
 
 A pair of similarity 0.8 has a band in common but for 3e-6 of cases, and passes the
 estimate but for 3e-7.
@@ -187,41 +188,80 @@ def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, classes: D
     return both.where(shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * percent).select("a", "b").distinct()
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members in different components that pass the size
-    and bit tests, found block against block.
-
-    ``members``: (key, node, root, n_shingles, s*, blocks); a member's block is its
-    node modulo the bucket's number of blocks, so no group holds more than about two
-    blocks of ``BLOCK`` rows.
-    """
+def dealt(members: DataFrame) -> DataFrame:
+    """Rows of split buckets, dealt to pairs of blocks (i, j) of their bucket: a row's
+    block is its node modulo the bucket's number of blocks, so that no pair holds more
+    than about two blocks of ``BLOCK`` rows."""
     own = F.pmod("node", "blocks")
     paired = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = paired.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                          "node", "root", "n_shingles", *BIT_COLUMNS)
-    floor, chance = floor_of(percent / 100), 1 / 2**BITS
-    ones = np.uint64(int("1" * 16, 16))
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        i, j = block["i"].iat[0], block["j"].iat[0]
-        left, right = block[block["own"] == i], block[block["own"] == j]
-        bits = right[BIT_COLUMNS].to_numpy(np.int64).view(np.uint64)
-        size, root, node = (right[x].to_numpy(np.int64) for x in ("n_shingles", "root", "node"))
+    return paired.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+                         "node", "root", "n_shingles", *BAND_COLUMNS, *BIT_COLUMNS)
+
+
+def _candidates(block: pd.DataFrame, percent: int):
+    """(row, rows) numbers of a pair of blocks that may be linked across components:
+    each of the rows passes the size and bit tests with the row, and the two agree in
+    no band before that of this bucket, where they would meet too."""
+    floor, chance, ones = floor_of(percent / 100), 1 / 2**BITS, np.uint64(int("1" * 16, 16))
+    i, j = block["i"].iat[0], block["j"].iat[0]
+    own, root, size = (block[x].to_numpy(np.int64) for x in ("own", "root", "n_shingles"))
+    bits = block[BIT_COLUMNS].to_numpy(np.int64).view(np.uint64)
+    bands = block[BAND_COLUMNS].to_numpy(np.int64)
+    before = np.arange(BANDS) < int(np.argmax(bands[0] == block["key"].iat[0]))
+    roots, counts = np.unique(root, return_counts=True)
+    most = roots[counts.argmax()]
+    for k in np.flatnonzero(root != most):
+        # rows outside the largest component meet all; among themselves, each pair once
+        meets = (root != root[k]) & ((root == most) | (np.arange(len(root)) > k))
+        if i != j:
+            meets &= own != own[k]
+        meets &= np.minimum(size, size[k]) * 100 >= np.maximum(size, size[k]) * percent
+        at = np.flatnonzero(meets)
+        if not len(at):
+            continue
+        x = bits[at] ^ bits[k]
+        any_bit = x.copy()
+        for n in range(1, BITS):
+            any_bit |= x >> np.uint64(n)
+        unequal = np.bitwise_count(any_bit & ones).sum(axis=1)
+        at = at[(1 - unequal / HASHES - chance) / (1 - chance) >= floor]
+        at = at[~((bands[at] == bands[k]) & before).any(axis=1)]
+        if len(at):
+            yield int(k), at
+
+
+def across(spark: SparkSession, members: DataFrame, docs: DataFrame, classes: DataFrame, width: int, salt: int,
+           percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket in different components, found block
+    against block.  A first pass marks the rows that have a candidate; they get their
+    full sets, and a second pass confirms in place, so that no pair but a link leaves a
+    task however many come near the threshold."""
+    parts = stored(spark, dealt(members), "neardup-blocks")
+
+    def mark(block: pd.DataFrame) -> pd.DataFrame:
+        found: set[int] = set()
+        for k, at in _candidates(block, percent):
+            found.add(k)
+            found.update(at.tolist())
+        return block.iloc[sorted(found)][["key", "i", "j", "node"]]
+
+    marked = stored(spark, parts.groupBy("key", "i", "j").applyInPandas(mark, "key long, i long, j long, node long"), "neardup-marked")
+    nodes = marked.select("node").distinct()
+    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least_id").alias("doc_id")).distinct()
+    sets = stored(spark, full_sets(docs.join(wanted, "doc_id", "left_semi"), width, salt), "neardup-sets")
+    rows = parts.join(marked, ["key", "i", "j", "node"]).join(sets, "node")
+
+    def confirm(block: pd.DataFrame) -> pd.DataFrame:
+        node, sets = block["node"].to_numpy(np.int64), [np.asarray(x) for x in block["shingles"]]
         out = []
-        for row in left.itertuples(index=False):
-            mine = np.array([getattr(row, s) for s in BIT_COLUMNS], np.int64).view(np.uint64)
-            x = bits ^ mine
-            for k in range(1, BITS):
-                x = x | ((bits ^ mine) >> np.uint64(k))
-            unequal = np.bitwise_count(x & ones).sum(axis=1)
-            likeness = (1 - unequal / HASHES - chance) / (1 - chance)
-            fits = (root != row.root) & (np.minimum(size, row.n_shingles) * 100 >= np.maximum(size, row.n_shingles) * percent)
-            for other in node[fits & (likeness >= floor)].tolist():
-                if i != j or row.node < other:
-                    out.append((min(row.node, other), max(row.node, other)))
+        for k, at in _candidates(block, percent):
+            for n in at.tolist():
+                shared = len(np.intersect1d(sets[k], sets[n], assume_unique=True))
+                if shared * 100 >= (len(sets[k]) + len(sets[n]) - shared) * percent:
+                    out.append((min(node[k], node[n]), max(node[k], node[n])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "i", "j").applyInPandas(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -255,12 +295,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     known = members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = known.groupBy("key").agg((F.min("root") != F.max("root")).alias("split"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     known = known.join(split.where("split").drop("split"), "key").select("key", "node", "root", "blocks")
-    rest = across(known.join(classes.select("node", "n_shingles", *BIT_COLUMNS), "node"), percent)
-    rest = stored(spark, rest.join(star, ["a", "b"], "left_anti"), "neardup-rest")
-    if not rest.isEmpty():
-        more = stored(spark, confirmed(spark, rest, docs, classes, width, salt, percent), "neardup-links")
-        if not more.isEmpty():
-            roots = components(spark, links.union(more))
+    known = known.join(classes.select("node", "n_shingles", *BAND_COLUMNS, *BIT_COLUMNS), "node")
+    more = stored(spark, across(spark, known, docs, classes, width, salt, percent), "neardup-links")
+    if not more.isEmpty():
+        roots = components(spark, links.union(more))
 
     named = classes.select("node", "least_id").join(roots, "node")
     names = named.groupBy("root").agg(F.min("least_id").alias("first_id"))
