@@ -2,10 +2,10 @@
 automata over its trie, with hits weighed by the window around them.
 
 Learning, on at most ``FIT_ROWS`` labelled rows outside the held-out fold:
-1. Words and word stems (prefixes) that at least ``SUPPORT`` toxic texts hold get
-   their log odds.  A term must be frequent in toxic texts, rare in others, and stand
-   in many different contexts, so that words of one text with many near copies don't
-   count.  From a family of prefixes the longest stays that loses no support.
+1. Words and word stems (prefixes) get their log odds in toxic texts.  A term must be
+   more frequent there than chance gives any of the sample's terms, rare in others, and
+   stand in many different contexts, so that words of one text with many near copies
+   don't count.  From a family of prefixes the longest stays that loses no support.
 2. Spellings near a term that clean texts hold are words of their own and are set
    aside.  A logistic function of a text's hits is then fitted on another fold.
 
@@ -35,7 +35,9 @@ from hindcast.llm.common import held_out, labelled, map_texts, ship_code, stored
 from hindcast.sources.tables import read_table
 
 FIT_ROWS = 16_000
-SUPPORT, LEAST_LOG_ODDS, CONTEXT_SHARE = 3, 2.5, 0.5
+SUPPORT, LEAST_LOG_ODDS, CONTEXT_SHARE = 3, 3.8, 0.5
+#: Chance that any term of the sample is learned though texts hold it at random.
+FALSE_TERM = 0.01
 STEM_LENGTHS = range(4, 9)
 #: Share of a stem's support that a longer one must keep.
 SAME_SUPPORT = 0.9
@@ -190,6 +192,16 @@ def features(hits: list[tuple[str, str, int, float]]) -> list[float]:
     return [1.0, exact, near, log1p(sum(w for *_, w in hits))]
 
 
+def surprise(toxic: int, clean: int, rate: float) -> float:
+    """A lower bound of -log of the chance that at least ``toxic`` of the texts that hold
+    a term are toxic if each is so at ``rate`` (Chernoff)."""
+    n = toxic + clean
+    share = toxic / n
+    if share <= rate or rate >= 1:
+        return 0.0
+    return toxic * log(share / rate) + (clean * log((1 - share) / (1 - rate)) if clean else 0.0)
+
+
 def terms_of(text: str) -> set[str]:
     """The words of a text and their stems."""
     words = {w for w in set(words_of(text)) if 3 <= len(w) <= 24 and w.isalpha()}
@@ -287,10 +299,10 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int =
         return Model(Lexicon({}), np.array([log(0.5 / (n_clean + 1)), 0, 0, 0]))
     frequent = _counts(sample.where("label = 1"), None).where(F.col("toxic") >= SUPPORT)
     wanted = frozenset(r.term for r in frequent.select("term").collect())
-    odds, support = {}, {}
+    odds, support, rate = {}, {}, n_toxic / max(n_toxic + n_clean, 1)
     for r in _counts(sample, wanted).collect():
         o = log((r.toxic + 0.5) / (n_toxic + 1)) - log((r.clean + 0.5) / (n_clean + 1))
-        if o >= LEAST_LOG_ODDS and r.toxic >= SUPPORT:
+        if o >= LEAST_LOG_ODDS and surprise(r.toxic, r.clean, rate) >= log(len(wanted) / FALSE_TERM):
             odds[r.term], support[r.term] = o, r.toxic
     varied = {r.term for r in _contexts(sample, frozenset(odds)).collect() if r.contexts >= max(SUPPORT, CONTEXT_SHARE * support[r.term])}
     weights = chosen_terms({t: odds[t] for t in varied}, support)
