@@ -312,6 +312,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def first_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of documents that are not the
+    first of their component.  Rows of one ``doc_id`` count as one document, which stays
+    if any of them does."""
+    found = near_duplicates(spark, docs, width, percent)
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents on two-word shingles."""
     return near_duplicates(spark, read_table(spark, sf_dir, "documents"), width=2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from hindcast.llm.main_text import op7_main_text
 from hindcast.llm.neardup import op6_near_duplicates
 from hindcast.llm.packing import op9_packing
+from hindcast.llm.quality import op2_quality
 from hindcast.llm.rules import op3_quality_rules
 from hindcast.llm.secret_scan import op4_secrets
 from hindcast.llm.sharding import ORACLE as SHARDING_SQL, op10_sharding
@@ -12,5 +13,9 @@ from hindcast.llm.simhash import op5_simhash
 from hindcast.llm.tokens import op8_bpe
 from hindcast.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_secrets": op4_secrets, "op7_main_text": op7_main_text, "op5_simhash": op5_simhash, "op3_quality_rules": op3_quality_rules, "op6_near_duplicates": op6_near_duplicates, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_quality_rules": op3_quality_rules,
+    "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_near_duplicates": op6_near_duplicates,
+    "op7_main_text": op7_main_text, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_sharding": op10_sharding,
+}
 ORACLES = {"op10_sharding": SHARDING_SQL}
