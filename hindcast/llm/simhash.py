@@ -7,14 +7,15 @@ of the weight votes for it.  Words are exploded and combined inside the scan's t
 a sum packs the votes for two bits into the halves of one number, so a text reaches
 the shuffle as 64 sums whatever its length (a half holds a weight of 2**31).
 
-For search, the 128 bits are cut into 8 blocks.  Two fingerprints within 6 bits agree
+For search, the 128 bits are cut into 6 blocks.  Two fingerprints within 4 bits agree
 in at least two whole blocks, so there is one table for each pair of blocks, keyed by
-their 32 bits.  A pair of fingerprints counts in the first table in which it agrees.
+their 42 bits or so.  A pair of fingerprints counts in the first table in which it agrees.
 Equal fingerprints are one entry with a count, so copies cost nothing there.
 
 The following document, whose text the query needs, is found without a global order:
-ids are cut at quantiles that are ids themselves, so a bucket's last row is followed
-by the row that begins the next one.
+ids are cut at quantiles that are ids themselves, and the rows that begin a bucket are
+also put behind the last row of the one before.  One shuffle of the texts by bucket
+serves the order, the edited texts and the sums of votes.
 
 Rows: null text counts as empty, an empty text has the fingerprint of zeros; equal
 texts have equal fingerprints; repeated ids follow one another in the order of a hash
@@ -31,7 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from hindcast.llm.common import stored, texts
 from hindcast.sources.tables import read_table
 
-BITS, BLOCKS, RADIUS = 128, 8, 6
+BITS, BLOCKS, RADIUS = 128, 6, 4
+#: First bit and width of a half's blocks.
+PARTS = [(0, 21), (21, 21), (42, 22)]
 LONG_WORD = 4
 LAST_KEY = 2**63 - 1
 #: Buckets of following ids for each shuffle partition.
@@ -75,8 +78,8 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
 
 
 def _block(hi: Column, lo: Column, n: int) -> Column:
-    part, at = (hi, n) if n < BLOCKS // 2 else (lo, n - BLOCKS // 2)
-    return F.shiftrightunsigned(part, 16 * at).bitwiseAND(F.lit(0xFFFF))
+    at, width = PARTS[n % len(PARTS)]
+    return F.shiftrightunsigned(hi if n < len(PARTS) else lo, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
 def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -88,7 +91,7 @@ def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> D
 
     def tables(df: DataFrame) -> DataFrame:
         hi, lo = F.col("hi"), F.col("lo")
-        keys = [F.struct(F.lit(n).alias("table"), F.shiftleft(_block(hi, lo, a), 16).bitwiseOR(_block(hi, lo, b)).alias("key"))
+        keys = [F.struct(F.lit(n).alias("table"), F.shiftleft(_block(hi, lo, a), 22).bitwiseOR(_block(hi, lo, b)).alias("key"))
                 for n, (a, b) in enumerate(pairs)]
         return df.withColumn("at", F.explode(F.array(*keys))).select("*", "at.table", "at.key").drop("at")
 
@@ -115,35 +118,25 @@ def with_buckets(rows: DataFrame) -> tuple[DataFrame, list[int]]:
     return rows.withColumn("bucket", bucket), cuts
 
 
-def heads_of(rows: DataFrame, cuts: list[int]) -> DataFrame:
+def with_next(rows: DataFrame, cuts: list[int], columns: list[str]) -> DataFrame:
+    """``rows`` of ``with_buckets`` and next_<column> of the following row by (key,
+    tie), after the last of all the first."""
     firsts = rows.sparkSession.createDataFrame([(c,) for c in cuts], "first_key long")
-    return rows.join(F.broadcast(firsts), F.col("key") == F.col("first_key"), "left_semi")
-
-
-def with_next(rows: DataFrame, buckets: int, heads: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next_<column>: of the following row by (key, tie), after the last the first.
-    ``heads`` holds those of ``rows`` whose key begins one of the ``buckets``."""
-    order = Window.partitionBy("bucket").orderBy("key", "tie")
-    value = F.struct(*columns)
-    first = heads.groupBy(F.col("bucket").alias("begun")).agg(
-        F.min(F.struct("key", "tie", value.alias("value"))).alias("m"))
-    before = F.when(F.col("begun") == 1, F.lit(buckets)).otherwise(F.col("begun") - 1)
-    first = first.select(before.alias("ended"), F.col("m.value").alias("head"))
-    # not a plain equality: from one, Spark infers the bucket's own expression for the
-    # other side, where the key inside its lambda can't be found
-    led = rows.withColumn("led", F.lead(value).over(order)).join(
-        first, F.col("bucket").eqNullSafe(F.col("ended")), "left").drop("ended")
-    following = F.coalesce("led", "head")
-    return led.withColumns({f"next_{c}": following[c] for c in columns}).drop("led", "head")
+    begin = rows.join(F.broadcast(firsts), F.col("key") == F.col("first_key"), "left_semi")
+    before = F.when(F.col("bucket") == 1, F.lit(len(cuts))).otherwise(F.col("bucket") - 1)
+    both = rows.withColumn("guest", F.lit(False)).unionByName(begin.withColumn("bucket", before).withColumn("guest", F.lit(True)))
+    order = Window.partitionBy("bucket").orderBy("guest", "key", "tie")
+    led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    return led.where(~F.col("guest")).drop("guest")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, their likeness and that
     to the next document, and for ids divisible by 20 ``n_near``: how many other rows
-    lie within 6 bits."""
+    lie within 4 bits."""
     docs = texts(read_table(spark, sf_dir, "documents"))
     rows, cuts = with_buckets(docs.withColumn("tie", F.xxhash64("text")))
-    led = with_next(rows, len(cuts), heads_of(rows, cuts), ["text"])
+    led = with_next(rows, cuts, ["text"])
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     led = led.withColumn("row", F.monotonically_increasing_id())
@@ -157,7 +150,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = stored(spark, fingerprints(two, [*own, "is_edit", "edited_sha256"]), "simhash-prints")
     plain = halves.where(~F.col("is_edit")).select(*own, "hi", "lo")
     edits = halves.where("is_edit").select("row", "edited_sha256", F.col("hi").alias("edited_hi"), F.col("lo").alias("edited_lo"))
-    led = with_next(plain, len(cuts), heads_of(plain, cuts), ["hi", "lo"])
+    led = with_next(plain, cuts, ["hi", "lo"])
     asked = plain.where(F.col("doc_id") % QUERY_EVERY == 0)
     near = neighbours(asked, plain)
     out = led.join(edits, "row").join(near, ["hi", "lo"], "left")
