@@ -49,12 +49,6 @@ def lead_micros(valid_at, run_at) -> Column:
     return F.unix_micros(_col(valid_at)) - F.unix_micros(_col(run_at))
 
 
-def lead_hours_exact(valid_at, run_at) -> Column:
-    """lead in hours when whole and non-negative, else NULL."""
-    d = lead_micros(valid_at, run_at)
-    return F.when((d >= 0) & (d % MICROS_PER_HOUR == 0), (d / MICROS_PER_HOUR).cast("bigint"))
-
-
 def wall_time_to_utc(text, zone, fmt: str = "yyyy-MM-dd'T'HH:mm") -> Column:
     """local wall-clock text in ``zone`` -> UTC instant (NULL if unparseable)."""
     local = F.try_to_timestamp(_col(text), F.lit(fmt))

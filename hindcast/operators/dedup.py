@@ -71,10 +71,3 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence,
     return out.select(*select)
 
 
-def rank_first_window(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The window form (``row_number() = 1``), kept for small, bounded groups
-    where a sort-based window is cheaper than an aggregate over a wide struct."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")

@@ -121,6 +121,7 @@ def hot_state_violations(events: DataFrame) -> DataFrame:
     """P21 + ST5: rule codes per event (empty array = valid)."""
     checks = [
         (F.col("bad_json"), "invalid_json"),
+        (F.coalesce(F.trim("event_id"), F.lit("")) == "", "blank_event_id"),
         (F.col("topic") != TOPIC_OPERATIONAL, "unexpected_topic"),
         (F.col("key").isNull() | (F.col("key") != F.col("location_id").cast("string")), "key_mismatch"),
         (F.col("event_type").isNull() | (F.col("event_type") != TYPE_OPERATIONAL), "unexpected_event_type"),

@@ -151,18 +151,20 @@ def write_snapshot(snapshot: DataFrame, path: str, synced_at: Column) -> None:
     validated_snapshot(snapshot, synced_at).write.mode("overwrite").parquet(path)
 
 
-def merge_locations(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+def merge_locations(existing: DataFrame, incoming: DataFrame, now: Column, arrival: str) -> DataFrame:
     """ST6: upsert by provider id.  Matched rows keep ``location_id`` and
     ``created_at`` and take the incoming attributes with ``updated_at = now``;
     new provider ids get ids after the current maximum, in provider-id order.
+    Of several incoming rows of one provider id the one with the greatest
+    ``arrival`` column counts.
 
     One full outer join on the provider id; new ids come from
-    :func:`hindcast.operators.sequence.dense_index` (range-partitioned, no
-    single-task window) plus the existing maximum (a one-row aggregate)."""
+    :func:`hindcast.operators.sequence.dense_index` (range-partitioned and written
+    once, no single-task window) plus the existing maximum (a one-row aggregate)."""
     attrs = ["city", "country", "country_code", "latitude", "longitude", "timezone", "elevation",
              "population", "administrative_area"]
     inc = latest_per_key(incoming.select("open_meteo_location_id", *attrs,
-                                         F.monotonically_increasing_id().alias("__arrival")),
+                                         F.col(arrival).alias("__arrival")),
                          ["open_meteo_location_id"], [("__arrival", "desc")]).drop("__arrival")
     e = existing.alias("e")
     i = inc.alias("i")

@@ -1,112 +1,45 @@
-"""Previous-row lookups in an ordered sequence (W6) that survive a hot key.
-
-``lag(x) over (partition by k order by o)`` puts all rows of one ``k`` in one
-task.  :func:`previous_in_sequence` instead range-partitions on ``(k, o)``, so
-a key holding a third of the data is split across many tasks along ``o``:
-
-1. ``repartitionByRange(n, k..., o...)``: partition ``p`` holds a contiguous,
-   globally ordered slice; ``spark_partition_id()`` is its rank.
-2. A window over ``(partition by p order by k, o)`` takes the previous row in
-   the slice; it counts only when it has the same ``k`` (null-safe).
-3. Rows first in their slice look up the slice tail of the nearest non-empty
-   preceding partition: one row per partition, so that table is bounded by
-   ``n`` and is broadcast.
-
-Shuffles: the range exchange, one balanced exchange by slice id, and two
-exchanges of at most ``n`` rows.  Slice ids must agree between the rows and the
-tail table; both are derived from the same range exchange over identical input,
-which Spark executes once (exchange reuse) and whose bounds are a deterministic
-function of that input.
-"""
+"""Previous-row lookups in an ordered sequence (W6) and dense numbering (ST6)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _same_key(a_prefix: str, b_prefix: str, keys: Sequence[str]):
-    cond = None
-    for k in keys:
-        c = F.col(f"{a_prefix}{k}").eqNullSafe(F.col(f"{b_prefix}{k}"))
-        cond = c if cond is None else (cond & c)
-    return cond
+from hindcast.session import ensure_checkpoint_dir
 
 
 def previous_in_sequence(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
-                         carry: Mapping[str, str], method: str = "range",
-                         num_partitions: int | None = None) -> DataFrame:
+                         carry: Mapping[str, str]) -> DataFrame:
     """Add ``carry[src]`` = value of ``src`` in the previous row of the same
-    ``partition_by`` group ordered by ``order_by`` (ascending, NULLs first)."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        # Slice ids are only consistent when the range exchange is shared.
-        method = "window"
-    if method == "window":
-        w = Window.partitionBy(*partition_by).orderBy(*order_by)
-        out = df
-        for src, dst in carry.items():
-            out = out.withColumn(dst, F.lag(src).over(w))
-        return out
-
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = list(partition_by) + list(order_by)
-    ranged = df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id())
-
-    w = Window.partitionBy("__pid").orderBy(*keys)
-    prev = {k: F.lag(k).over(w) for k in partition_by}
-    same = None
-    for k in partition_by:
-        c = prev[k].eqNullSafe(F.col(k))
-        same = c if same is None else (same & c)
-    local = ranged.withColumn("__has_prev", F.lag(F.lit(True)).over(w).isNotNull() & same)
-    for src, dst in carry.items():
-        local = local.withColumn(dst, F.when(F.col("__has_prev"), F.lag(src).over(w)))
-
-    # Slice tails: the last row of each non-empty partition (<= n rows).  The
-    # tail struct references every input column on purpose: both consumers of
-    # the range exchange then need identical inputs, so the exchange (and the
-    # range bounds it samples) is one shared stage and slice ids agree.
-    tail_fields = list(partition_by) + list(carry.keys())
-    all_cols = list(dict.fromkeys(df.columns))
-    tails = ranged.groupBy("__pid").agg(
-        F.max_by(F.struct(*[F.col(c).alias(c) for c in all_cols]),
-                 F.struct(*[F.col(c) for c in keys])).alias("t"))
-    tw = Window.orderBy("__pid")  # over <= n rows
-    prev_tail = tails.select(F.col("__pid").alias("__tp"), F.lag("t").over(tw).alias("pt"))
-    prev_tail = prev_tail.select("__tp", *[F.col(f"pt.{c}").alias(f"__pt_{c}") for c in tail_fields])
+    ``partition_by`` group ordered by ``order_by`` (ascending, NULLs first).
 
-    joined = local.join(F.broadcast(prev_tail), local["__pid"] == prev_tail["__tp"], "left")
-    fill = (~F.col("__has_prev")) & _same_key("", "__pt_", partition_by)
-    for src, dst in carry.items():
-        joined = joined.withColumn(dst, F.when(fill, F.col(f"__pt_{src}")).otherwise(F.col(dst)))
-    drop = ["__pid", "__has_prev", "__tp"] + [f"__pt_{c}" for c in tail_fields]
-    return joined.drop(*drop)
+    For groups of bounded size: W6 groups hold the runs that forecast one hour
+    of one location and model, at most the runs of the forecast horizon."""
+    w = Window.partitionBy(*partition_by).orderBy(*order_by)
+    return df.withColumns({dst: F.lag(src).over(w) for src, dst in carry.items()})
 
 
 def dense_index(df: DataFrame, order_by: Sequence[str], as_col: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
-    """1-based dense positions of rows in ``order_by`` order (ties broken by the
-    full row order given), without a single-partition window.
+    """1-based dense positions of rows in ``order_by`` order, without a
+    single-partition window.
 
-    Range-partition on ``order_by``; number rows inside each slice; add the
-    count of all rows in earlier slices (a table of at most ``n`` rows,
-    broadcast)."""
+    The rows are range-partitioned and written once with their slice, into the
+    shared checkpoint folder; every later step reads those files, so slices
+    can't differ between the numbering inside a slice and the counts of earlier
+    slices (a table of at most ``num_partitions`` rows, broadcast)."""
     spark = df.sparkSession
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        raise ValueError("dense_index needs spark.sql.exchange.reuse=true (slice ids must agree)")
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_by).withColumn("__pid", F.spark_partition_id())
-    w = Window.partitionBy("__pid").orderBy(*order_by)
-    local = ranged.withColumn("__pos", F.row_number().over(w))
-    all_cols = list(dict.fromkeys(df.columns))
-    # References every column so both consumers share one range exchange (see above).
-    counts = ranged.groupBy("__pid").agg(F.count(F.struct(*all_cols)).alias("__cnt"))
-    cw = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # over <= n rows
-    offsets = counts.select(F.col("__pid").alias("__op"),
-                            F.coalesce(F.sum("__cnt").over(cw), F.lit(0)).alias("__off"))
-    out = local.join(F.broadcast(offsets), local["__pid"] == offsets["__op"], "inner")
-    return out.withColumn(as_col, (F.col("__off") + F.col("__pos")).cast("bigint")).drop(
-        "__pid", "__pos", "__op", "__off")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/dense-{uuid.uuid4().hex}"
+    df.repartitionByRange(n, *order_by).withColumn("__slice", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # over <= n rows
+    offsets = rows.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__slice").orderBy(*order_by))
+    numbered = rows.withColumn("__nth", inside).join(F.broadcast(offsets), "__slice")
+    return numbered.withColumn(as_col, (F.col("__before") + F.col("__nth")).cast("bigint")).drop(
+        "__slice", "__nth", "__before")

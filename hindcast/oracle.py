@@ -59,8 +59,8 @@ ev as (
   from events
 ),
 base as (
-  select * from ev
-  qualify row_number() over (partition by location_id, model_id, valid_at order by e) = 1
+  select location_id, model_id, valid_at, min(e) as e, max(x) as x, max(k) as k from ev
+  group by location_id, model_id, valid_at
 ),
 fh as (
   select *, hour(valid_at) as h,
@@ -87,11 +87,10 @@ fc as (
 vev as (
   select event_id as e, user_id + 1 as location_id, date_trunc('hour', ts) as valid_at, value as x,
          cast(json_extract_string(props, '$.k') as bigint) as k
-  from events where event_id % 5 <> 0
+  from events where date_trunc('hour', ts) <= (select max(ts) from events) - interval {fx.VERIFICATION_LAG_DAYS} day
 ),
 vbase as (
-  select * from vev
-  qualify row_number() over (partition by location_id, valid_at order by e) = 1
+  select location_id, valid_at, min(e) as e, max(x) as x, max(k) as k from vev group by location_id, valid_at
 ),
 vver as (
   select *, hour(valid_at) as h, date_trunc('day', valid_at) as day
@@ -143,7 +142,7 @@ vev_raw as (
 ),
 oh as (
   select *, hour(valid_at) as h, 0 as s, date_trunc('day', valid_at) as day
-  from ev qualify row_number() over (partition by location_id, valid_at order by e) = 1
+  from (select location_id, valid_at, min(e) as e, max(x) as x, max(k) as k from ev group by location_id, valid_at)
 ),
 ohm as (
   select location_id, day, valid_at, e, {_metric_select(fx.FORECAST_FORMULAS)} from oh

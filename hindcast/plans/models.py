@@ -134,18 +134,6 @@ class Models:
         "agg_model_accuracy",
     ]
 
-    def checkpointed(self) -> dict[str, DataFrame]:
-        """Every model computed once and cut from its lineage with a reliable
-        ``checkpoint()`` in the shared checkpoint folder, in dependency order
-        (later models read the checkpointed earlier ones).  For a run of many
-        checks over all models - like testing built tables - this replaces
-        one big plan that recomputes shared models per check."""
-        for name in self.MODEL_NAMES:
-            if name in self._intermediate:
-                continue  # already materialized Parquet
-            self.__dict__[name] = getattr(self, name).checkpoint(eager=True)
-        return {name: getattr(self, name) for name in self.MODEL_NAMES}
-
     def register_views(self, prefix: str = "") -> list[str]:
         """Register every model as a temp view (``createOrReplaceTempView``)."""
         names = []

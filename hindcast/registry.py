@@ -6,6 +6,7 @@ the full driver tables; each oracle returns SQL over the driver's views.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -252,10 +253,21 @@ select event_id, location_id, model_id, model_name, provider, forecast_run_at, v
 from fc
 window w as (partition by location_id, model_id, valid_at order by forecast_run_at, retrieved_at, event_id)"""))
 def q_fct_forecast_revisions(spark, sf_dir):
-    """Revision of each forecast against the previous run (skew-safe lag)."""
+    """Revision of each forecast against the previous run (lag in small groups)."""
     return _marts(spark, sf_dir).fct_forecast_revisions
 
 
+@register("revisions_by_model", ["sum_revision"], lambda: O.with_ctes(body="""
+select model_id, count(previous_temperature_2m) as revised, sum(temperature_2m - previous_temperature_2m) as sum_revision
+from (select model_id, temperature_2m, lag(temperature_2m) over
+  (partition by location_id, model_id, valid_at order by forecast_run_at, retrieved_at, event_id)
+  as previous_temperature_2m from fc) t group by model_id"""))
+def q_revisions_by_model(spark, sf_dir):
+    """An aggregate that reads few of the revision mart's columns."""
+    return _marts(spark, sf_dir).fct_forecast_revisions.groupBy("model_id").agg(
+        F.count("previous_temperature_2m").alias("revised"), F.sum("temperature_revision").alias("sum_revision"))
+
+
 # --------------------------------------------------------------------------- quality
 def _suite():
     from hindcast.plans.quality_suite import warehouse_checks
@@ -447,7 +459,20 @@ def q_location_merge(spark, sf_dir):
         "timezone", "elevation", "population", "administrative_area",
         F.col("source_created_at").alias("created_at"), F.col("source_updated_at").alias("updated_at"))
     cand, _ = geocode_candidates(_bridge(spark, sf_dir).geocoding())
-    return merge_locations(existing, cand.drop("request_id"), F.lit(MERGE_NOW).cast("timestamp"))
+    return merge_locations(existing, cand, F.lit(MERGE_NOW).cast("timestamp"), arrival="request_id")
+
+
+@register("location_merge_ids", [], lambda: O.with_ctes(body="""
+select count(*) as n, count(distinct location_id) as distinct_ids, min(location_id) as least, max(location_id) as greatest
+from (select (select max(location_id) from loc where location_id % 2 = 0)
+    + row_number() over (order by open_meteo_location_id) as location_id
+  from loc where location_id % 2 = 1 and location_id % 13 <> 1) t"""))
+def q_location_merge_ids(spark, sf_dir):
+    """ST6: ids given to new locations are distinct and without gaps after the maximum."""
+    merged = q_location_merge(spark, sf_dir)
+    fresh = merged.filter(F.col("created_at") == F.lit(MERGE_NOW).cast("timestamp"))
+    return fresh.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("location_id").alias("distinct_ids"),
+                     F.min("location_id").alias("least"), F.max("location_id").alias("greatest"))
 
 
 SYNC_AT = "2024-01-02 00:00:00"
@@ -823,7 +848,10 @@ def q_event_records(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- streaming
-STREAM_FILES = 6
+def _every_topic_ok(status: dict) -> None:
+    failed = {k: v for k, v in status.items() if v != "ok"}
+    if failed:
+        raise RuntimeError(str(failed))
 
 
 def _all_logs(spark, sf_dir):
@@ -838,11 +866,10 @@ def q_stream_ingest(spark, sf_dir):
     """S1 S2 S4 S5 S6 ST1 ST2: per-topic streaming cold path (availableNow) into replay-safe raw tables."""
     from hindcast.streaming import cold_path, io
     root = io.scratch_root(spark, "cold-path")
-    io.land_ordered_files(_all_logs(spark, sf_dir), f"{root}/log", STREAM_FILES, "timestamp")
+    io.land_ordered_files(_all_logs(spark, sf_dir), f"{root}/log", "timestamp")
     status = cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 2), f"{root}/raw",
                                        f"{root}/checkpoints")
-    if status["model_run_events"] != "ok":
-        raise RuntimeError(status["model_run_events"])
+    _every_topic_ok(status)
     out = spark.read.parquet(f"{root}/raw/model_run_events")
     return out.drop("payload", "batch_id", "run_date")
 
@@ -858,7 +885,7 @@ def q_stream_latest(spark, sf_dir):
     from hindcast.operators import latest as L
     from hindcast.streaming import io, state
     root = io.scratch_root(spark, "latest-state")
-    io.land_ordered_files(_log(spark, sf_dir, "operational_forecast_events"), f"{root}/log", STREAM_FILES,
+    io.land_ordered_files(_log(spark, sf_dir, "operational_forecast_events"), f"{root}/log",
                           "timestamp")
     table = state.run_latest_state(spark, io.log_stream(spark, f"{root}/log", 1), f"{root}/state",
                                    f"{root}/checkpoint")
@@ -872,7 +899,7 @@ def q_stream_dedup(spark, sf_dir):
     from hindcast.schemas import LOG_RECORD_SCHEMA  # noqa: F401
     from hindcast.streaming import dedup, io
     root = io.scratch_root(spark, "dedup")
-    io.land_ordered_files(_log(spark, sf_dir, "model_run_events"), f"{root}/log", STREAM_FILES, "timestamp")
+    io.land_ordered_files(_log(spark, sf_dir, "model_run_events"), f"{root}/log", "timestamp")
     s = io.log_stream(spark, f"{root}/log", 1).withColumn("event_id", F.get_json_object("value", "$.event_id"))
     out = dedup.dedupe_stream(s).select("event_id", "key", "timestamp")
     io.run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out")
@@ -894,8 +921,8 @@ def q_stream_late_verification(spark, sf_dir):
     vr = m.int_verification_hourly_weather.select(
         F.col("event_id").alias("verification_event_id"), "location_id", "valid_at", "retrieved_at", "ingested_at",
         F.col("temperature_2m").alias("reference_temperature_2m"))
-    io.land_ordered_files(fc, f"{root}/forecasts", STREAM_FILES, "valid_at")
-    io.land_ordered_files(vr, f"{root}/verification", STREAM_FILES, "valid_at")
+    io.land_ordered_files(fc, f"{root}/forecasts", "valid_at")
+    io.land_ordered_files(vr, f"{root}/verification", "valid_at")
     fs = io.file_stream(spark, f"{root}/forecasts", fc.schema, 2)
     vs = io.file_stream(spark, f"{root}/verification", vr.schema, 2)
     j = late.match_late_verification(fs, vs).select(
@@ -930,7 +957,7 @@ from ({O.agg_sql()}) a group by model_id, lead_time_bucket"""))
 def q_mart_views(spark, sf_dir):
     """Every model registered as a temp view; SQL over the accuracy rollup view."""
     m = _marts(spark, sf_dir)
-    prefix = f"v{abs(hash(sf_dir)) % 10_000_000}_"
+    prefix = f"v{zlib.crc32(sf_dir.encode())}_"
     m.register_views(prefix)
     return spark.sql(f"""
         select model_id, lead_time_bucket, sum(matched_hour_count) as matched_hours,

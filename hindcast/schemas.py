@@ -92,17 +92,6 @@ VERIFICATION_SERIES = [
     "is_day",
 ]
 
-# Kafka-style log columns carried by every raw event table.
-LOG_COLUMNS = [
-    "kafka_topic",
-    "kafka_partition",
-    "kafka_offset",
-    "kafka_key",
-    "kafka_timestamp",
-    "ingested_at",
-    "payload",
-]
-
 # Topics and event types of the three streams.
 TOPIC_OPERATIONAL = "forecast.latest"
 TOPIC_MODEL_RUN = "forecast.runs"
@@ -113,58 +102,6 @@ TYPE_VERIFICATION = "weather.verification.snapshot"
 SCHEMA_VERSION = 1
 REFERENCE_KIND = "reanalysis"
 
-# The hourly record as it sits inside the event JSON.
-HOURLY_RECORD = T.StructType(
-    [T.StructField("valid_at", T.TimestampType())]
-    + [T.StructField(m, metric_type(m)) for m in METRICS]
-)
-MODEL_RUN_HOURLY_RECORD = T.StructType(
-    [T.StructField("valid_at", T.TimestampType()),
-     T.StructField("lead_time_hours", T.LongType())]
-    + [T.StructField(m, metric_type(m)) for m in METRICS]
-)
-
-RAW_OPERATIONAL_COLUMNS = [
-    "event_id", "event_type", "schema_version", "location_id", "source", "retrieved_at",
-    "kafka_topic", "kafka_partition", "kafka_offset", "kafka_key", "kafka_timestamp",
-    "payload", "ingested_at",
-]
-RAW_MODEL_RUN_COLUMNS = [
-    "event_id", "event_type", "schema_version", "location_id", "model_id", "provider",
-    "forecast_run_at", "retrieved_at",
-    "kafka_topic", "kafka_partition", "kafka_offset", "kafka_key", "kafka_timestamp",
-    "payload", "ingested_at",
-]
-RAW_VERIFICATION_COLUMNS = [
-    "event_id", "event_type", "schema_version", "location_id", "source", "reference_kind",
-    "period_start", "period_end", "retrieved_at",
-    "kafka_topic", "kafka_partition", "kafka_offset", "kafka_key", "kafka_timestamp",
-    "payload", "ingested_at",
-]
-
-LOCATION_COLUMNS = [
-    "location_id", "open_meteo_location_id", "city", "country", "country_code",
-    "latitude", "longitude", "timezone", "elevation", "population",
-    "administrative_area", "source_created_at", "source_updated_at", "synced_at",
-]
-
-LOCATIONS_SCHEMA = T.StructType([
-    T.StructField("location_id", T.LongType(), False),
-    T.StructField("open_meteo_location_id", T.LongType(), False),
-    T.StructField("city", T.StringType(), False),
-    T.StructField("country", T.StringType(), False),
-    T.StructField("country_code", T.StringType(), False),
-    T.StructField("latitude", T.DoubleType(), False),
-    T.StructField("longitude", T.DoubleType(), False),
-    T.StructField("timezone", T.StringType(), False),
-    T.StructField("elevation", T.DoubleType(), True),
-    T.StructField("population", T.LongType(), True),
-    T.StructField("administrative_area", T.StringType(), True),
-    T.StructField("source_created_at", T.TimestampType(), False),
-    T.StructField("source_updated_at", T.TimestampType(), False),
-    T.StructField("synced_at", T.TimestampType(), False),
-])
-
 # Kafka source schema (what readStream.format("kafka") yields, value as string).
 LOG_RECORD_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()),

@@ -45,38 +45,34 @@ def _metrics(formulas: dict[str, str]) -> list[Column]:
 
 
 def event_hours(events: DataFrame) -> DataFrame:
-    """One row per (location, model, valid hour); the least source event wins."""
-    e = events.select(
-        (F.col("user_id") + 1).alias("location_id"),
-        F.col("event_type").alias("model_id"),
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("valid_at"),
-        F.col("event_id").alias("e"),
-        F.col("value").alias("x"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-    )
-    return _least_event(e, ["location_id", "model_id", "valid_at"])
+    """One row per (location, model, valid hour): the least event id, the greatest
+    value and the greatest ``k`` of all the hour's events."""
+    return _hours(events, F.col("event_type").alias("model_id"))
 
 
 def location_hours(events: DataFrame, verified_only: bool) -> DataFrame:
-    """One row per (location, valid hour) over all event types; least event wins.
-    Verification hours skip source events with ``event_id % 5 = 0``."""
-    src = events.filter(F.col("event_id") % 5 != 0) if verified_only else events
-    e = src.select(
-        (F.col("user_id") + 1).alias("location_id"),
+    """One row per (location, valid hour) over all event types, as ``event_hours``.
+    Verification arrives ``VERIFICATION_LAG_DAYS`` late: hours newer than that,
+    counted from the newest event, are not verified yet."""
+    if verified_only:
+        newest = events.agg(F.max(F.col("ts").cast("timestamp")))
+        events = events.filter(F.date_trunc("hour", F.col("ts").cast("timestamp"))
+                               <= newest.scalar() - F.expr(f"make_dt_interval({fx.VERIFICATION_LAG_DAYS}, 0, 0, 0)"))
+    return _hours(events)
+
+
+def _hours(events: DataFrame, *keys: Column) -> DataFrame:
+    """Order-independent aggregates with fixed-width buffers: a hot key is combined in
+    each task before the shuffle, and every event of an hour counts."""
+    e = events.select(
+        (F.col("user_id") + 1).alias("location_id"), *keys,
         F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("valid_at"),
         F.col("event_id").alias("e"),
         F.col("value").alias("x"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    return _least_event(e, ["location_id", "valid_at"])
-
-
-def _least_event(e: DataFrame, keys: list[str]) -> DataFrame:
-    """Values of the least event id per key.  ``min_by`` with primitive value
-    and ordering keeps a fixed-width buffer, so Spark uses a partial
-    HashAggregate: a hot key is combined in each task before the shuffle."""
-    return e.groupBy(*keys).agg(F.min("e").alias("e"), F.min_by("x", "e").alias("x"),
-                                F.min_by("k", "e").alias("k"))
+    by = [c for c in e.columns if c not in ("e", "x", "k")]
+    return e.groupBy(*by).agg(F.min("e").alias("e"), F.max("x").alias("x"), F.max("k").alias("k"))
 
 
 def forecast_hours(events: DataFrame) -> DataFrame:
@@ -403,7 +399,7 @@ def provider_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
     def series(m):
         s = F.transform("rows", lambda r: r[m].cast("bigint") if m == "is_day" else r[m])
         if m == "is_day":
-            s = F.when(loc % 41 == 0, F.concat(F.array(F.lit(2).cast("bigint")), F.slice(s, 2, 10_000))).otherwise(s)
+            s = F.when(loc % 41 == 0, F.concat(F.array(F.lit(2).cast("bigint")), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))))).otherwise(s)
         if m == "wind_gusts_10m":
             s = F.when(loc % 31 == 0, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
         if m == "precipitation_probability":

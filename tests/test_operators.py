@@ -23,17 +23,36 @@ def test_latest_per_key_matches_row_number(spark):
         sorted(map(tuple, ref.select("k", "a", "b", "c", "n").collect()))
 
 
-def test_previous_in_sequence_hot_group_spans_partitions(spark):
+def test_previous_in_sequence_with_few_columns_read(spark):
     random.seed(3)
-    # one group holds most rows so range partitioning splits it across slices
-    rows = [(0 if i % 4 else i % 9, i, float(i)) for i in random.sample(range(3000), 3000)]
-    rows += [(None, 5000, 1.0), (None, 5001, 2.0)]
-    df = spark.createDataFrame(rows, "g int, t int, v double")
-    a = previous_in_sequence(df, ["g"], ["t"], {"v": "pv", "t": "pt"}, method="range", num_partitions=7)
-    b = previous_in_sequence(df, ["g"], ["t"], {"v": "pv", "t": "pt"}, method="window")
-    key = ["g", "t", "v", "pv", "pt"]
-    assert sorted(map(tuple, a.select(*key).collect()), key=str) == \
-        sorted(map(tuple, b.select(*key).collect()), key=str)
+    rows = [(i % 300, i, float(i), "x" * (i % 7)) for i in random.sample(range(3000), 3000)]
+    rows += [(None, 5000, 1.0, "a"), (None, 5001, 2.0, "b")]
+    df = spark.createDataFrame(rows, "g int, t int, v double, other string")
+    last = {}
+    want = set()
+    for g, t, v, _ in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        want.add((g, t, last.get(g)))
+        last[g] = v
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (16, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = previous_in_sequence(df.repartition(9), ["g"], ["t"], {"v": "pv"}).select("g", "t", "pv")
+            assert {tuple(r) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_dense_index_has_no_gap_or_duplicate(spark):
+    from hindcast.operators.sequence import dense_index
+
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.col("id").cast("string").alias("text")).repartition(11)
+    out = dense_index(df, ["k"], "i", num_partitions=16)
+    row = out.agg(F.countDistinct("i").alias("d"), F.min("i").alias("a"), F.max("i").alias("b"),
+                  F.count_if(F.col("i") != F.col("k") + 1).alias("wrong")).first()
+    assert (row.d, row.a, row.b, row.wrong) == (n, 1, n, 0)
+    assert dense_index(df.limit(0), ["k"], "i").count() == 0
 
 
 def test_join_dimension_broadcasts_only_under_byte_bound(spark):
