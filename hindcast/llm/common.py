@@ -9,7 +9,6 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hindcast.session import ensure_checkpoint_dir
@@ -28,12 +27,6 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Keep a small table (a row for each group, or the like) for the steps that follow
-    without writing files; what is lost with an executor is made again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, once in an application: Spark serves the
     archive from the driver, so nothing need be installed or shared for it."""

@@ -28,11 +28,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hindcast.llm.common import kept, stored
+from hindcast.llm.common import stored
 from hindcast.sources.tables import read_table
 
 LEAST_ROWS = 50
-BROADCAST_GROUPS = 20_000
+FEW_GROUPS = 20_000
 KEPT_SHARE = 0.75
 STEPS = 3
 SHRINK_WORDS = 100
@@ -122,16 +122,19 @@ def _shrunk(rows: DataFrame) -> DataFrame:
     return rows.withColumns({x: F.col(f"m{i}") + (F.col(x) - F.col(f"m{i}")) * weight for i, x in enumerate(VECTOR)})
 
 
-def _small(groups: DataFrame) -> DataFrame:
-    """A kept table of one row for each group, broadcast if its rows are few enough to
-    be proven small (20,000 of at most 30 numbers: 5 MB), else left to a shuffled join
-    whose partitions can split."""
-    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+def _settled(spark: SparkSession, groups: DataFrame, name: str) -> DataFrame:
+    """A table of one row for each group, computed now.  Up to ``FEW_GROUPS`` rows of at
+    most 30 numbers (5 MB) come to the driver and are broadcast from there; more are
+    written, and joined by a shuffle whose partitions can split."""
+    rows = groups.limit(FEW_GROUPS + 1).collect()
+    if len(rows) > FEW_GROUPS:
+        return stored(spark, groups, name)
+    return F.broadcast(spark.createDataFrame(rows, groups.schema))
 
 
 def _pooled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows whose group is small get their language's pool as a group."""
-    small = _small(sizes.where(F.col("n") < LEAST_ROWS).select(*GROUP, F.lit(True).alias("small")))
+    small = sizes.where(F.col("n") < LEAST_ROWS).select(*GROUP, F.lit(True).alias("small"))
     return rows.join(small, GROUP, "left").withColumn(
         "source_key", F.when(F.col("small"), F.lit("\u0000pool")).otherwise(F.col("source_key"))).drop("small")
 
@@ -139,40 +142,40 @@ def _pooled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 def fitted(spark: SparkSession, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(group sizes, parameters): medians m*, centre t* and factor f** of each group
     that is large enough.  ``numbers`` is a written table of ``measured`` columns."""
-    sizes = kept(numbers.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
+    sizes = _settled(spark, numbers.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")), "rules-sizes")
     rows = _pooled(numbers.where("n_words > 0").select(*GROUP, "n_words", *VECTOR), sizes)
     medians = rows.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(VECTOR)))
-    medians = kept(medians.where(F.col("n") >= LEAST_ROWS).drop("n"))
-    rows = stored(spark, _shrunk(rows.join(_small(medians), GROUP)).select(*GROUP, *VECTOR, *(f"m{i}" for i in range(len(VECTOR)))), "rules-vectors")
+    medians = _settled(spark, medians.where(F.col("n") >= LEAST_ROWS).drop("n"), "rules-medians")
+    rows = stored(spark, _shrunk(rows.join(medians, GROUP)).select(*GROUP, *VECTOR, *(f"m{i}" for i in range(len(VECTOR)))), "rules-vectors")
     spread = rows.groupBy(*GROUP).agg(*(
         F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(VECTOR)))
-    spread = kept(spread)
+    spread = _settled(spark, spread, "rules-spread")
     start = sum((((F.col(x) - F.col(f"m{i}")) / (1.4826 * F.col(f"d{i}") + FLOORS[i])) ** 2 for i, x in enumerate(VECTOR)), F.lit(0.0))
-    ranked = rows.join(_small(spread), GROUP).withColumn("distance", start)
+    ranked = rows.join(spread, GROUP).withColumn("distance", start)
     for step in range(STEPS + 1):
         ranked = ranked.select(*GROUP, *VECTOR, "distance")
         edge = ranked.groupBy(*GROUP).agg(F.percentile_approx("distance", KEPT_SHARE, 1000).alias("edge"),
                                           F.percentile_approx("distance", 0.5, 1000).alias("middle"))
-        edge = kept(edge)
+        edge = _settled(spark, edge, "rules-edge")
         if step == STEPS:
             scale = F.greatest(F.col("middle") / MEDIAN_CHI2_4, F.lit(1e-6))
             final = _factored(moments.join(edge.drop("edge"), GROUP), scale, floors=True)
             names = [c for c in final.columns if c[0] in "tf" and c[1:].isdigit()]
-            return sizes, kept(medians.join(final.select(*GROUP, *names), GROUP))
-        chosen = ranked.join(_small(edge), GROUP).where("distance <= edge")
+            return sizes, _settled(spark, medians.join(final.select(*GROUP, *names), GROUP), "rules-parameters")
+        chosen = ranked.join(edge, GROUP).where("distance <= edge")
         moments = chosen.groupBy(*GROUP).agg(
             *(F.avg(x).alias(f"t{i}") for i, x in enumerate(VECTOR)),
             *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(len(VECTOR)) for j in range(i + 1)))
-        moments = kept(_factored(moments, F.lit(1.0), floors=False))
-        ranked = rows.join(_small(moments), GROUP).withColumn("distance", _distance("t", "f"))
+        moments = _settled(spark, _factored(moments, F.lit(1.0), floors=False), "rules-moments")
+        ranked = rows.join(moments, GROUP).withColumn("distance", _distance("t", "f"))
         moments = moments.drop(*(c for c in moments.columns if c[0] == "f"))
 
 
 def judged(rows: DataFrame, sizes: DataFrame, parameters: DataFrame) -> DataFrame:
     """``rows`` of ``measured`` with distance (null without a verdict) and kept."""
     names = [c for c in parameters.columns if c not in GROUP]
-    found = _shrunk(_pooled(rows, sizes).join(_small(parameters), GROUP, "left")).withColumn("distance", _distance("t", "f"))
+    found = _shrunk(_pooled(rows, sizes).join(parameters, GROUP, "left")).withColumn("distance", _distance("t", "f"))
     found = found.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT_OFF))
     return found.drop(*names)
 
