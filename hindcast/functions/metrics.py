@@ -49,17 +49,13 @@ PRECIPITATION_OCCURRED_MM = 0.1
 
 def precipitation_occurred(reference_precipitation) -> Column:
     """Reference >= 0.1 mm, NULL-preserving."""
-    r = _col(reference_precipitation)
-    return F.when(r.isNull(), F.lit(None).cast("boolean")).otherwise(r >= PRECIPITATION_OCCURRED_MM)
+    return _col(reference_precipitation) >= PRECIPITATION_OCCURRED_MM
 
 
 def brier_score(probability_pct, reference_precipitation) -> Column:
-    """(p/100 - o)^2 with o = precipitation occurred; NULL if either is NULL."""
-    p = _col(probability_pct)
-    r = _col(reference_precipitation)
-    return (F.when(p.isNull() | r.isNull(), F.lit(None).cast("double"))
-            .when(r >= PRECIPITATION_OCCURRED_MM, F.pow(p / 100.0 - 1.0, 2))
-            .otherwise(F.pow(p / 100.0, 2)))
+    """(p/100 - o)^2 with o = 1 where precipitation occurred, else 0; NULL if
+    either is NULL."""
+    return F.pow(_col(probability_pct) / 100.0 - precipitation_occurred(reference_precipitation).cast("int"), 2)
 
 
 def match_rate(flag) -> Column:

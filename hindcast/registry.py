@@ -779,11 +779,13 @@ def q_response_violations(spark, sf_dir):
     return parsed.select("location_id", "run_at", F.explode("violations").alias("violation"))
 
 
-@register("response_daily", ["temperature_2m_max", "temperature_2m_min", "precipitation_sum"],
+@register("response_daily", ["temperature_2m_max", "temperature_2m_min", "precipitation_sum",
+                              "daylight_duration_seconds"],
           lambda: O.with_ctes(body="""
 select location_id, day as run_at, cast(day as date) as forecast_date, max(temperature_2m) as temperature_2m_max,
   min(temperature_2m) as temperature_2m_min, sum(precipitation) as precipitation_sum,
-  case when location_id % 4 <> 0 then day + interval 5 hour + interval 45 minute end as sunrise
+  case when location_id % 4 <> 0 then day + interval 5 hour + interval 45 minute end as sunrise,
+  case when location_id % 4 <> 0 then 44100e0 end as daylight_duration_seconds
 from ohm where location_id % 31 <> 0 and location_id % 41 <> 0 group by location_id, day"""))
 def q_response_daily(spark, sf_dir):
     """Daily block -> rows with ISO dates and UTC sunrise."""
@@ -791,7 +793,7 @@ def q_response_daily(spark, sf_dir):
     ok = parsed.filter(F.size("violations") == 0)
     return R.daily_rows(ok, ["location_id", "run_at"]).select(
         "location_id", "run_at", "forecast_date", "temperature_2m_max", "temperature_2m_min", "precipitation_sum",
-        "sunrise")
+        "sunrise", "daylight_duration_seconds")
 
 
 @register("response_current", [m for m in FLOAT_METRICS if m not in ("precipitation_probability", "visibility",

@@ -418,6 +418,7 @@ def provider_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
         F.struct(F.array(F.date_format("day", "yyyy-MM-dd")).alias("time"),
                  F.array("t_max").alias("temperature_2m_max"), F.array("t_min").alias("temperature_2m_min"),
                  F.array("p_sum").alias("precipitation_sum"),
-                 F.array(local(sunrise)).alias("sunrise")).alias("daily"),
+                 F.array(local(sunrise)).alias("sunrise"),
+                 F.array(F.when(sunrise.isNotNull(), F.lit(44100.0))).alias("daylight_duration")).alias("daily"),
     )
     return days.select("location_id", F.col("day").alias("run_at"), F.to_json(body).alias("body"))

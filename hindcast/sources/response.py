@@ -25,6 +25,14 @@ DAILY_SERIES = ["weather_code", "temperature_2m_max", "temperature_2m_min", "app
 _DAILY_TYPE = {d: ("bigint" if d == "weather_code" else "string" if d in ("sunrise", "sunset") else "double")
                for d in DAILY_SERIES}
 
+# Fixed value: the one daily series that the provider names otherwise.
+_PROVIDER_KEY = {"daylight_duration_seconds": "daylight_duration"}
+
+
+def _daily_key(series: str) -> str:
+    return _PROVIDER_KEY.get(series, series)
+
+
 RESPONSE_SCHEMA = (
     "struct<timezone string, "
     "current struct<time string, `interval` bigint, "
@@ -32,7 +40,7 @@ RESPONSE_SCHEMA = (
     "hourly struct<time array<string>, "
     + ", ".join(f"`{m}` array<{_SERIES_TYPE[m]}>" for m in METRICS) + ">, "
     "daily struct<time array<string>, "
-    + ", ".join(f"`{d}` array<{_DAILY_TYPE[d]}>" for d in DAILY_SERIES) + ">>"
+    + ", ".join(f"`{_daily_key(d)}` array<{_DAILY_TYPE[d]}>" for d in DAILY_SERIES) + ">>"
 )
 
 LOCAL_MINUTE = "yyyy-MM-dd'T'HH:mm"
@@ -63,18 +71,33 @@ def hourly_violations(optional: list[str]) -> Column:
 
 
 def daily_violations() -> Column:
-    """F11 + F18 for the daily block: ISO dates, equal lengths."""
+    """F11 + F18 for the daily block, where a response has one: at least one date, ISO dates, equal lengths,
+    times of sunrise and sunset that can be read."""
     n = F.size(F.coalesce(F.col("r.daily.time"), F.array()))
-    checks = [(F.exists(F.coalesce(F.col("r.daily.time"), F.array()), lambda d: ~is_iso_date(d)),
+    checks = [(F.col("r.daily").isNotNull() & (n < 1), F.lit("empty_daily_time")), (F.exists(F.coalesce(F.col("r.daily.time"), F.array()), lambda d: ~is_iso_date(d)),
                F.lit("invalid_daily_date"))]
     for d in DAILY_SERIES:
-        s = F.col(f"r.daily.{d}")
+        s = F.col(f"r.daily.{_daily_key(d)}")
         checks.append((s.isNotNull() & (F.size(s) != n), F.lit(f"series_length:{d}")))
+        if d in ("sunrise", "sunset"):
+            checks.append((F.exists(s, _unreadable), F.lit(f"invalid_daily_time:{d}")))
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), code) for c, code in checks]))
+
+
+def _unreadable(time: Column) -> Column:
+    return time.isNotNull() & F.try_to_timestamp(time, F.lit(LOCAL_MINUTE)).isNull()
+
+
+def current_violations() -> Column:
+    """F17 + F19 for the current block, where a response has one: a time that can be read, ``is_day`` in {0, 1, NULL}."""
+    time, is_day = F.col("r.current.time"), F.col("r.current.is_day")
+    checks = [(F.col("r.current").isNotNull() & (time.isNull() | _unreadable(time)), F.lit("invalid_current_time")),
+              (is_day.isNotNull() & ~is_day.isin(0, 1), F.lit("invalid_current_is_day"))]
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), code) for c, code in checks]))
 
 
 def with_violations(parsed: DataFrame, optional: list[str]) -> DataFrame:
-    return parsed.withColumn("violations", F.concat(hourly_violations(optional), daily_violations()))
+    return parsed.withColumn("violations", F.concat(hourly_violations(optional), daily_violations(), current_violations()))
 
 
 def _filled(col: str, n: Column, sql_type: str) -> Column:
@@ -103,7 +126,7 @@ def daily_rows(valid: DataFrame, keep: list[str]) -> DataFrame:
     """Daily block -> rows: DateType date, UTC sunrise/sunset."""
     n = F.size("r.daily.time")
     zipped = F.arrays_zip(F.col("r.daily.time").alias("date"),
-                          *[_filled(f"r.daily.{d}", n, _DAILY_TYPE[d]).alias(d) for d in DAILY_SERIES])
+                          *[_filled(f"r.daily.{_daily_key(d)}", n, _DAILY_TYPE[d]).alias(d) for d in DAILY_SERIES])
     rows = valid.select(*keep, "timezone", F.inline(zipped))
     out = []
     for d in DAILY_SERIES:

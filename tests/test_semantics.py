@@ -255,6 +255,15 @@ def test_response_rejections(spark):
     assert codes(absent, []) == ["missing_series:precipitation_probability"]
     assert codes(partial, opt) == ["series_length:precipitation_probability"]
     assert codes(bad_day, opt) == ["invalid_is_day"]
+    def codes_of(**blocks):
+        body = json.dumps({"timezone": "Asia/Jakarta", "hourly": _full_hourly(), **blocks})
+        df = spark.createDataFrame([(1, body)], "location_id int, body string")
+        return R.with_violations(R.parse_responses(df), opt).first()["violations"]
+    assert codes_of() == []
+    assert codes_of(daily={"time": []}) == ["empty_daily_time"]
+    assert codes_of(daily={"time": ["2026-09-17"], "sunset": ["late"]}) == ["invalid_daily_time:sunset"]
+    assert codes_of(current={"interval": 900, "is_day": 3}) == ["invalid_current_time", "invalid_current_is_day"]
+    assert codes_of(current={"time": "2026-09-17T13:15", "is_day": 1}) == []
     p = R.with_violations(R.parse_responses(_resp(spark, absent)), opt)
     assert R.hourly_rows(p, ["location_id"]).first()["precipitation_probability"] is None
 
