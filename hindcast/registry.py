@@ -866,14 +866,30 @@ select event_id, 'forecast.model_run.snapshot' as event_type, cast(1 as bigint)
   model_id, provider, forecast_run_at, retrieved_at, {RAW_LOG_SQL} from mr_raw"""))
 def q_stream_ingest(spark, sf_dir):
     """S1 S2 S4 S5 S6 ST1 ST2: per-topic streaming cold path (availableNow) into replay-safe raw tables."""
+    out = spark.read.parquet(f"{_cold_path(spark, sf_dir)}/raw/model_run_events")
+    return out.drop("payload", "batch_id", "run_date")
+
+
+def _cold_path(spark, sf_dir):
     from hindcast.streaming import cold_path, io
     root = io.scratch_root(spark, "cold-path")
     io.land_ordered_files(_all_logs(spark, sf_dir), f"{root}/log", "timestamp")
-    status = cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 2), f"{root}/raw",
-                                       f"{root}/checkpoints")
-    _every_topic_ok(status)
-    out = spark.read.parquet(f"{root}/raw/model_run_events")
-    return out.drop("payload", "batch_id", "run_date")
+    _every_topic_ok(cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 2), f"{root}/raw",
+                                              f"{root}/checkpoints", ingested_at=cold_path.minute_after_record))
+    return root
+
+
+@register("stream_ingest_tables", [], lambda: O.with_ctes(body=" union all ".join(
+    f"select '{table}' as raw_table, event_id, kafka_topic, kafka_partition, kafka_offset, kafka_key from {cte}"
+    for table, cte in (("model_run_events", "mr_raw"), ("verification_weather_events", "vev_raw"),
+                       ("operational_forecast_events", "op_raw")))))
+def q_stream_ingest_tables(spark, sf_dir):
+    """ST1 ST2: the log coordinates in all three raw tables that the streams have loaded."""
+    root = _cold_path(spark, sf_dir)
+    parts = [spark.read.parquet(f"{root}/raw/{t}").select(
+        F.lit(t).alias("raw_table"), "event_id", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_key")
+        for t in ("model_run_events", "verification_weather_events", "operational_forecast_events")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("stream_latest", [f"current_{m}" for m in FLOAT_METRICS], lambda: O.with_ctes(O.latest_ctes(), body=f"""

@@ -20,13 +20,13 @@ from hindcast.sources.sinks import replay_safe_load
 from hindcast.streaming.io import run_available_now
 
 
-def _ingested_at() -> Column:
-    # Load time is a parameter of the batch; one minute after the record time
-    # keeps replays deterministic in tests.
+def minute_after_record() -> Column:
+    """A clock for checks: one minute after the record's own time, so that a replay
+    of the same records loads the same rows."""
     return F.col("timestamp") + F.expr("INTERVAL 1 MINUTE")
 
 
-def batch_writer(table: str, out_path: str, date_col: str, instant: str, ingested_at=_ingested_at):
+def batch_writer(table: str, out_path: str, date_col: str, instant: str, ingested_at=F.current_timestamp):
     table_mapper = {t: fn for _, (t, fn) in raw.MAPPERS.items()}[table]
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -42,18 +42,27 @@ LAYOUT = {
 }
 
 
+def _refuse_unknown(batch: DataFrame, batch_id: int) -> None:
+    found = batch.limit(1).collect()
+    if found:
+        raise ValueError(f"record on a topic that no table owns: {found[0]['topic']}")
+
+
 def start_cold_path(spark: SparkSession, log: DataFrame, out_root: str, checkpoint_root: str,
-                    available_now: bool = True, interval: str = "1 hour") -> dict:
-    """One query per topic.  With ``available_now`` each runs to the end of the
+                    available_now: bool = True, interval: str = "1 hour", ingested_at=F.current_timestamp) -> dict:
+    """One query per topic, and one that fails on records of unknown topics.
+    ``ingested_at`` makes the load time of a batch.  With ``available_now`` each runs to the end of the
     available input and the result maps table -> ``"ok"`` or the error that
     stopped it (a failing topic does not stop the others, and its checkpoint
     stays at the last committed batch).  Otherwise the started queries are
     returned, triggered every ``interval``."""
     results: dict = {}
-    for topic, (table, _) in raw.MAPPERS.items():
-        date_col, instant = LAYOUT[table]
-        w = (log.filter(F.col("topic") == topic).writeStream
-             .foreachBatch(batch_writer(table, f"{out_root}/{table}", date_col, instant))
+    parts = {table: (F.col("topic") == topic, batch_writer(table, f"{out_root}/{table}", *LAYOUT[table], ingested_at))
+             for topic, (table, _) in raw.MAPPERS.items()}
+    known = F.coalesce(F.col("topic").isin(list(raw.MAPPERS)), F.lit(False))
+    parts["unknown_topics"] = (~known, _refuse_unknown)
+    for table, (mine, write) in parts.items():
+        w = (log.filter(mine).writeStream.foreachBatch(write)
              .option("checkpointLocation", f"{checkpoint_root}/{table}")
              .queryName(f"cold_path_{table}"))
         if available_now:
