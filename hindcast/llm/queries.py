@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hindcast.llm.main_text import op7_main_text
-from hindcast.llm.neardup import op6_near_duplicates
+from hindcast.llm.neardup import ORACLE as NEARDUP_SQL, op6_near_duplicates
 from hindcast.llm.packing import op9_packing
 from hindcast.llm.quality import op2_quality
 from hindcast.llm.rules import op3_quality_rules
@@ -18,4 +18,4 @@ QUERIES = {
     "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_near_duplicates": op6_near_duplicates,
     "op7_main_text": op7_main_text, "op8_bpe": op8_bpe, "op9_packing": op9_packing, "op10_sharding": op10_sharding,
 }
-ORACLES = {"op10_sharding": SHARDING_SQL}
+ORACLES = {"op6_near_duplicates": NEARDUP_SQL, "op10_sharding": SHARDING_SQL}
