@@ -7,10 +7,11 @@ of the weight votes for it.  Words are exploded and combined inside the scan's t
 a sum packs the votes for two bits into the halves of one number, so a text reaches
 the shuffle as 64 sums whatever its length (a half holds a weight of 2**31).
 
-For search, the 128 bits are cut into 6 blocks.  Two fingerprints within 4 bits agree
+For search, the 128 bits are cut into 8 blocks.  Two fingerprints within 6 bits agree
 in at least two whole blocks, so there is one table for each pair of blocks, keyed by
-their 42 bits or so.  A pair of fingerprints counts in the first table in which it agrees.
-Equal fingerprints are one entry with a count, so copies cost nothing there.
+their 32 bits.  A pair of fingerprints counts in the first table in which it agrees.
+Equal fingerprints are one entry, so copies cost nothing there; an entry is a
+fingerprint and one number of table and key, and counts join what was found.
 
 The following document, whose text the query needs, is found without a global order:
 ids are cut at quantiles that are ids themselves, and the rows that begin a bucket are
@@ -32,9 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from hindcast.llm.common import stored, texts
 from hindcast.sources.tables import read_table
 
-BITS, BLOCKS, RADIUS = 128, 6, 4
-#: First bit and width of a half's blocks.
-PARTS = [(0, 21), (21, 21), (42, 22)]
+BITS, BLOCKS, RADIUS = 128, 8, 6
 LONG_WORD = 4
 LAST_KEY = 2**63 - 1
 #: Buckets of following ids for each shuffle partition.
@@ -78,8 +77,8 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
 
 
 def _block(hi: Column, lo: Column, n: int) -> Column:
-    at, width = PARTS[n % len(PARTS)]
-    return F.shiftrightunsigned(hi if n < len(PARTS) else lo, at).bitwiseAND(F.lit((1 << width) - 1))
+    part, at = (hi, n) if n < BLOCKS // 2 else (lo, n - BLOCKS // 2)
+    return F.shiftrightunsigned(part, 16 * at).bitwiseAND(F.lit(0xFFFF))
 
 
 def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -91,18 +90,20 @@ def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> D
 
     def tables(df: DataFrame) -> DataFrame:
         hi, lo = F.col("hi"), F.col("lo")
-        keys = [F.struct(F.lit(n).alias("table"), F.shiftleft(_block(hi, lo, a), 22).bitwiseOR(_block(hi, lo, b)).alias("key"))
+        keys = [F.shiftleft(_block(hi, lo, a), 16).bitwiseOR(_block(hi, lo, b)).bitwiseOR(F.lit(n << 32))
                 for n, (a, b) in enumerate(pairs)]
-        return df.withColumn("at", F.explode(F.array(*keys))).select("*", "at.table", "at.key").drop("at")
+        return df.select("hi", "lo", F.explode(F.array(*keys)).alias("key"))
 
-    every = tables(prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))).alias("x")
+    every = tables(prints.select("hi", "lo").distinct()).alias("x")
     asked = tables(queries.select("hi", "lo").distinct()).alias("q")
     a, b = (F.col("x.hi"), F.col("x.lo")), (F.col("q.hi"), F.col("q.lo"))
     agree = [_block(*a, n) == _block(*b, n) for n in range(BLOCKS)]
     first = F.coalesce(*(F.when(agree[i] & agree[j], F.lit(n)) for n, (i, j) in enumerate(pairs)))
-    found = asked.join(every, (F.col("x.table") == F.col("q.table")) & (F.col("x.key") == F.col("q.key"))
-                       & (distance(a, b) <= radius) & (first == F.col("q.table")))
-    return found.groupBy(b[0].alias("hi"), b[1].alias("lo")).agg(F.sum("x.n").alias("near"))
+    found = asked.join(every, (F.col("x.key") == F.col("q.key")) & (distance(a, b) <= radius)
+                       & (first == F.shiftrightunsigned("q.key", 32)))
+    found = found.select(b[0].alias("q_hi"), b[1].alias("q_lo"), a[0].alias("hi"), a[1].alias("lo"))
+    counted = found.join(prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")), ["hi", "lo"])
+    return counted.groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("n").alias("near"))
 
 
 def with_buckets(rows: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -133,7 +134,7 @@ def with_next(rows: DataFrame, cuts: list[int], columns: list[str]) -> DataFrame
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, their likeness and that
     to the next document, and for ids divisible by 20 ``n_near``: how many other rows
-    lie within 4 bits."""
+    lie within 6 bits."""
     docs = texts(read_table(spark, sf_dir, "documents"))
     rows, cuts = with_buckets(docs.withColumn("tie", F.xxhash64("text")))
     led = with_next(rows, cuts, ["text"])

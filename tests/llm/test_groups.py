@@ -227,6 +227,17 @@ def test_simhash_rows_without_order(spark, tmp_path, corpus):
         M.neighbours(corpus, corpus, 99)
 
 
+def test_simhash_search_reaches_six_bits(spark):
+    r = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda x: (signed(x >> 64), signed(x & (1 << 64) - 1))
+    base = [r.getrandbits(128) for _ in range(40)]
+    prints = [halves(x ^ sum(1 << k for k in r.sample(range(128), bits))) for x in base for bits in range(8) for _ in range(3)]
+    asked = spark.createDataFrame([halves(x) for x in base], "hi long, lo long")
+    found = M.neighbours(asked, spark.createDataFrame(prints, "hi long, lo long")).collect()
+    assert sorted((f.hi, f.lo, f.near) for f in found) == sorted((*halves(x), 21) for x in base)
+
+
 def test_shards_fit_and_split_only_when_too_large(spark, corpus):
     rows = corpus.count()
     for limit in (1, 200, 3000, 10**8):
