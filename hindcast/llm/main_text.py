@@ -4,9 +4,12 @@ A page becomes a tree of its tags.  Every node has the characters and tags below
 and how many of them belong to links; its composite density is characters per tag,
 lowered the more of them are links, relative to the share of links in the body.  A
 node's density sum adds the densities of its children (its own text counts as one).
-The node with the greatest sum is the article's subtree; the least density on the
-path from the body to it is the threshold, and where an ``article`` or ``main`` node
-on that path reaches it, the subtree grows to that node.
+The least density on the path from the body to the node with the greatest sum is the
+threshold.  From the body down, every node that reaches it gives the subtree of the
+greatest sum within it; these subtrees together, in page order, are the main text.
+Where the greatest of all stands in an ``article`` or ``main``, the page itself says
+where its text is: only subtrees in such nodes count, each grown to the outermost one
+that reaches the threshold.
 
 Nodes that are no article by their tag, role or class (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) leave the tree
@@ -147,8 +150,8 @@ class Page:
             node = self.parent[node]
         return node == top
 
-    def chosen(self) -> int:
-        """The node of the main text."""
+    def chosen(self) -> set[int]:
+        """The nodes of the main text."""
         size = len(self.tag)
         chars, link_chars, tags, link_tags, own = ([0] * size for _ in range(5))
         in_link = [False] * size
@@ -181,19 +184,36 @@ class Page:
         for n in range(size - 1, 0, -1):
             if not self.dropped[n]:
                 total[self.parent[n]] += each[n]
-        best = max((n for n in range(size) if not self.dropped[n]), key=total.__getitem__)
-        path = [best]
+        top = list(range(size))  # of each subtree, the node of the greatest sum, the first of equal ones
+        rank = [(-1.0 if self.dropped[n] else total[n], -n) for n in range(size)]
+        for n in range(size - 1, 0, -1):
+            top[self.parent[n]] = max(top[self.parent[n]], top[n], key=rank.__getitem__)
+        path = [top[0]]
         while path[-1]:
             path.append(self.parent[path[-1]])
         threshold = min(each[n] for n in path)
-        wide = [n for n in path if self.tag[n] in _ARTICLE and each[n] >= threshold]
-        return wide[-1] if wide else best
-
-    def text(self, node: int) -> str:
-        inside = [False] * len(self.tag)
-        inside[node] = True
-        for n in range(node + 1, len(self.tag)):
-            inside[n] = inside[self.parent[n]]
+        wide = [n for n in path if self.tag[n] in _ARTICLE]
+        outer = [-1] * size  # the outermost article or main that reaches the threshold
+        found = set(wide[-1:])
+        inside = [False] * size
+        for n in range(size):
+            up = self.parent[n]
+            outer[n] = outer[up] if n and outer[up] >= 0 else n if self.tag[n] in _ARTICLE and each[n] >= threshold and not self.dropped[n] else -1
+            inside[n] = n in found or n > 0 and inside[up]
+            if inside[n] or self.dropped[n] or n and not each[n] or each[n] < threshold:
+                continue
+            if not wide:
+                found.add(top[n])
+                inside[n] = top[n] == n
+            elif outer[n] == n:
+                found.add(n)
+                inside[n] = True
+        return found
+
+    def text(self, nodes: set[int]) -> str:
+        inside = [n in nodes for n in range(len(self.tag))]
+        for n in range(1, len(self.tag)):
+            inside[n] = inside[n] or inside[self.parent[n]]
         return " ".join("".join(t for n, t in self.parts if inside[n] and not self.dropped[n]).split())
 
 

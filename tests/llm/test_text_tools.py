@@ -193,6 +193,18 @@ def test_main_text_by_hand():
     assert H.main_text("<article>" + "<p>word word</p>" * 3000 + "</article>") == " ".join(["word word"] * 3000)
 
 
+def test_main_text_in_sibling_blocks():
+    words = lambda tag, n: " ".join(f"{tag}{n}{k:03d}" for k in range(50))
+    part = lambda tag, n: "<section>" + "".join(f"<p>{words(tag, k)}</p>" for k in range(n)) + "</section>"
+    links = "<div><ul>" + "".join(f'<li><a href="/{k}">link {k}</a></li>' for k in range(40)) + "</ul></div>"
+    want = " ".join([words("one", k) for k in range(10)] + [words("two", k) for k in range(8)])
+    assert H.main_text(f"<body>{links}<div>{part('one', 10)}{part('two', 8)}</div>{links}</body>") == want
+    assert H.main_text(f"<body>{links}<div>{part('one', 10)}</div><div>{links}</div><div>{part('two', 8)}</div></body>") == want
+    article = f"<article>{part('one', 10)}</article>"
+    assert H.main_text(f"<body>{links}{article}{part('two', 8)}</body>") == " ".join(words("one", k) for k in range(10))
+    assert H.main_text(f"<body>{links}{article}<article>{part('two', 8)}</article></body>") == want
+
+
 def test_main_text_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "x"), (1, "u", "<p>a b</p>", "y"), (None, None, None, "z")],
                                   "page_id long, url string, html string, text string")
