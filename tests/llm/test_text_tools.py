@@ -161,6 +161,20 @@ def test_secret_spans_and_the_field(spark):
     assert none is None and S.scanned(spark, docs.limit(0), none or field).count() == 0
 
 
+def test_field_learns_from_rare_secrets_and_long_windows(spark):
+    r = random.Random(8)
+    code = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    numbers = " ".join(f"{r.randrange(10**9, 10**10)}" for _ in range(1500))
+    rows = [(n, f"thane ero {r.randrange(10**9, 10**10)} tihan {n}") for n in range(9000)] + [(n, numbers) for n in range(9000, 9010)]
+    rows += [(10_000 + n, f"{numbers[:5500]} password={code(18)} tihan") for n in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = S.fitted(spark, docs)
+    assert field is not None
+    assert any(name == "credential" for name in field.names)
+    tags = [0] * 399 + [1, 2, 2] + [0] * 500
+    assert S._pieces(tags) == [(0, 399), (399, 799), (799, 902)]
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = secret_docs(spark)
     out = S.without_secrets(spark, docs)
