@@ -11,7 +11,8 @@ For search, the 128 bits are cut into 8 blocks.  Two fingerprints within 6 bits
 in at least two whole blocks, so there is one table for each pair of blocks, keyed by
 their 32 bits.  A pair of fingerprints counts in the first table in which it agrees.
 Equal fingerprints are one entry, so copies cost nothing there; an entry is a
-fingerprint and one number of table and key, and counts join what was found.
+fingerprint and one number of table and key.  What is found are pairs of distinct
+fingerprints; ``members`` tells which documents have one, so copies aren't expanded.
 
 The following document, whose text the query needs, is found without a global order:
 ids are cut at quantiles that are ids themselves, and the rows that begin a bucket are
@@ -81,9 +82,9 @@ def _block(hi: Column, lo: Column, n: int) -> Column:
     return F.shiftrightunsigned(part, 16 * at).bitwiseAND(F.lit(0xFFFF))
 
 
-def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(hi, lo, near): for each distinct fingerprint of ``queries`` (hi, lo) the number
-    of rows of ``prints`` (hi, lo) within ``radius``, equal ones included."""
+def near_pairs(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(q_hi, q_lo, hi, lo, distance): each distinct fingerprint of ``queries`` (hi, lo)
+    with each of ``prints`` (hi, lo) within ``radius``, equal ones included."""
     if not 0 <= radius <= BLOCKS - 2:
         raise ValueError(f"the tables answer radius 0 to {BLOCKS - 2}")
     pairs = list(combinations(range(BLOCKS), 2))
@@ -101,11 +102,32 @@ def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> D
     first = F.coalesce(*(F.when(agree[i] & agree[j], F.lit(n)) for n, (i, j) in enumerate(pairs)))
     found = asked.join(every, (F.col("x.key") == F.col("q.key")) & (distance(a, b) <= radius)
                        & (first == F.shiftrightunsigned("q.key", 32)))
-    found = found.select(b[0].alias("q_hi"), b[1].alias("q_lo"), a[0].alias("hi"), a[1].alias("lo"))
+    return found.select(b[0].alias("q_hi"), b[1].alias("q_lo"), a[0].alias("hi"), a[1].alias("lo"), distance(a, b).alias("distance"))
+
+
+def members(prints: DataFrame) -> DataFrame:
+    """(hi, lo, doc_id): which documents have a fingerprint, a row for each of ``prints``."""
+    return prints.select("hi", "lo", "doc_id")
+
+
+def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(hi, lo, near): for each distinct fingerprint of ``queries`` (hi, lo) the number
+    of rows of ``prints`` (hi, lo) within ``radius``, equal ones included."""
+    found = near_pairs(queries, prints, radius)
     counted = found.join(prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")), ["hi", "lo"])
     return counted.groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("n").alias("near"))
 
 
+def near_classes(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(hi, lo, near, classes): as ``neighbours``, and the fingerprints found as
+    (distance, least doc_id, rows), nearest first; one for each, however many copies."""
+    named = members(prints).groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    found = near_pairs(queries, prints, radius).join(named, ["hi", "lo"])
+    lists = found.groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(
+        F.sort_array(F.collect_list(F.struct("distance", "doc_id", "n"))).alias("classes"))
+    return lists.withColumn("near", F.expr("aggregate(classes, 0L, (s, c) -> s + c.n)"))
+
+
 def with_buckets(rows: DataFrame) -> tuple[DataFrame, list[int]]:
     """``rows`` with ``key`` and a bucket of following keys, and the buckets' first keys: at most ``BUCKETS`` for each shuffle partition."""
     spark = rows.sparkSession
@@ -134,7 +156,8 @@ def with_next(rows: DataFrame, cuts: list[int], columns: list[str]) -> DataFrame
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, their likeness and that
     to the next document, and for ids divisible by 20 ``n_near``: how many other rows
-    lie within 6 bits."""
+    lie within 6 bits, derived from ``near_ids``: the fingerprints found, its own among
+    them, as distance:least doc_id:rows."""
     docs = texts(read_table(spark, sf_dir, "documents"))
     rows, cuts = with_buckets(docs.withColumn("tie", F.xxhash64("text")))
     led = with_next(rows, cuts, ["text"])
@@ -153,10 +176,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = halves.where("is_edit").select("row", "edited_sha256", F.col("hi").alias("edited_hi"), F.col("lo").alias("edited_lo"))
     led = with_next(plain, cuts, ["hi", "lo"])
     asked = plain.where(F.col("doc_id") % QUERY_EVERY == 0)
-    near = neighbours(asked, plain)
+    near = near_classes(asked, plain)
     out = led.join(edits, "row").join(near, ["hi", "lo"], "left")
     return out.select("doc_id", "n_chars", "edited_sha256", text_of("hi", "lo").alias("fingerprint"),
                       text_of("edited_hi", "edited_lo").alias("edited_fingerprint"),
                       likeness(("hi", "lo"), ("edited_hi", "edited_lo")).alias("near_edited"),
                       likeness(("hi", "lo"), ("next_hi", "next_lo")).alias("near_next"),
-                      F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("near") - 1).alias("n_near"))
+                      F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("near") - 1).alias("n_near"),
+                      F.when(F.col("doc_id") % QUERY_EVERY == 0, F.array_join(F.transform("classes", lambda c: F.concat(
+                          c["distance"], F.lit(":"), F.coalesce(c["doc_id"].cast("string"), F.lit("")), F.lit(":"), c["n"])), ",")).alias("near_ids"))

@@ -238,6 +238,17 @@ def test_simhash_search_reaches_six_bits(spark):
     assert sorted((f.hi, f.lo, f.near) for f in found) == sorted((*halves(x), 21) for x in base)
 
 
+def test_simhash_query_names_the_near_documents(spark, tmp_path):
+    words = [f"word{k}" for k in range(400)]
+    copy = " ".join([*words[:-1], "other"])
+    docs = [(0, " ".join(words)), (7, copy), (9, copy), (11, " ".join(f"far{k}" for k in range(300)))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in M.op5_simhash(spark, str(tmp_path)).collect()}
+    far = (int(got[0].fingerprint, 16) ^ int(got[7].fingerprint, 16)).bit_count()
+    assert 0 < far <= 6 and got[0].n_near == 2 and got[0].near_ids == f"0:0:1,{far}:7:2"
+    assert got[7].near_ids is None
+
+
 def test_shards_fit_and_split_only_when_too_large(spark, corpus):
     rows = corpus.count()
     for limit in (1, 200, 3000, 10**8):
