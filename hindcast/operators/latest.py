@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.json import safe_cast
 from hindcast.functions.time import is_iso_date
-from hindcast.operators.dedup import latest_per_key
+from hindcast.operators.dedup import latest_per_key, newest_only
 from hindcast.operators.unnest import inline_rows
 from hindcast.schemas import DAILY_FIELDS, METRICS, TOPIC_OPERATIONAL, TYPE_OPERATIONAL, metric_sql_type
 
@@ -101,15 +101,16 @@ def decode_latest_events(log: DataFrame, full: bool = True, carry: list[str] | t
     )
 
 
-def latest_from_log(log: DataFrame) -> DataFrame:
+def latest_from_log(log: DataFrame, in_files: bool = False) -> DataFrame:
     """ST5 + P21 + ST3 end to end: screen every record with the light parse and
-    the rules, pick the newest valid snapshot per location (carrying its raw
-    record through the partial aggregate), then decode only the winners."""
+    the rules, pick the newest valid snapshot per location, then decode only the
+    winners.  Records of a table in files (``in_files``) are chosen by coordinates and
+    the winners' values read afterwards; others go through the partial aggregate."""
     screened = hot_state_violations(decode_latest_events(log, full=False))
     candidates = screened.select(
         "location_id", "retrieved_at", "topic", "partition", "offset", "key", "timestamp", "value",
         (F.size("violations") == 0).alias("__valid"))
-    winners = latest_snapshots(candidates, valid="__valid")
+    winners = latest_snapshots(candidates, valid="__valid", in_files=in_files)
     decoded = decode_latest_events(winners.select("topic", "partition", "offset", "key", "timestamp", "value",
                                                   F.col("location_id").alias("__loc")), carry=["__loc"])
     # The group key is the same text decoded by the same cast; reusing it keeps
@@ -145,12 +146,12 @@ def hot_state_violations(events: DataFrame) -> DataFrame:
 ARRIVAL = ["timestamp", "partition", "offset"]
 
 
-def latest_snapshots(events: DataFrame, valid: str | None = None) -> DataFrame:
+def latest_snapshots(events: DataFrame, valid: str | None = None, in_files: bool = False) -> DataFrame:
     """ST3: per location the strictly-newest ``retrieved_at``; among equal
     ones the first arrival (an equal event later is a no-op).  ``valid`` names
     a boolean column: only those events are applied."""
     order = ["retrieved_at"] + [(c, "asc") for c in ARRIVAL]
-    return latest_per_key(events, ["location_id"], order, where=valid)
+    return (newest_only if in_files else latest_per_key)(events, ["location_id"], order, where=valid)
 
 
 def merge_latest(state: DataFrame, batch: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ accuracy rollup by location x model x lead bucket (J2, A1-A10)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions import metrics as m
@@ -94,46 +94,79 @@ GROUP_KEYS = ["location_id", "city", "administrative_area", "country", "country_
               "model_id", "model_name", "provider", "resolution_km", "lead_time_bucket"]
 
 
-def summary_aggregates():
-    return [
-        F.count(F.lit(1)).alias("matched_hour_count"),
-        F.count_distinct("forecast_event_id").alias("forecast_run_count"),
-        F.count_distinct("verification_event_id").alias("verification_event_count"),
-        F.min("forecast_run_at").alias("first_forecast_run_at"),
-        F.max("forecast_run_at").alias("latest_forecast_run_at"),
-        F.min("valid_at").alias("first_valid_at"),
-        F.max("valid_at").alias("latest_valid_at"),
-        F.max("verification_retrieved_at").alias("latest_verification_retrieved_at"),
-        F.count("temperature_absolute_error").alias("temperature_sample_count"),
-        F.avg("temperature_error").alias("temperature_mean_error"),
-        F.avg("temperature_absolute_error").alias("temperature_mae"),
-        m.rmse("temperature_squared_error").alias("temperature_rmse"),
-        F.avg("apparent_temperature_absolute_error").alias("apparent_temperature_mae"),
-        F.avg("relative_humidity_error").alias("relative_humidity_mean_error"),
-        F.avg("relative_humidity_absolute_error").alias("relative_humidity_mae"),
-        F.count("precipitation_absolute_error").alias("precipitation_sample_count"),
-        F.avg("precipitation_error").alias("precipitation_mean_error"),
-        F.avg("precipitation_absolute_error").alias("precipitation_mae"),
-        m.rmse("precipitation_squared_error").alias("precipitation_rmse"),
-        F.avg("rain_absolute_error").alias("rain_mae"),
-        F.avg("snowfall_absolute_error").alias("snowfall_mae"),
-        F.avg("cloud_cover_absolute_error").alias("cloud_cover_mae"),
-        F.avg("pressure_msl_absolute_error").alias("pressure_msl_mae"),
-        F.avg("visibility_absolute_error").alias("visibility_mae"),
-        F.avg("wind_speed_10m_absolute_error").alias("wind_speed_10m_mae"),
-        F.avg("wind_direction_10m_absolute_error").alias("wind_direction_10m_mae"),
-        F.avg("wind_gusts_10m_absolute_error").alias("wind_gusts_10m_mae"),
-        F.avg("uv_index_absolute_error").alias("uv_index_mae"),
-        m.match_rate("weather_code_exact_match").alias("weather_code_exact_match_rate"),
-        m.match_rate("day_night_match").alias("day_night_match_rate"),
-        F.avg("precipitation_probability_brier_score").alias("precipitation_probability_brier_score"),
-    ]
+# The rollup's columns in order.  Means and roots of means name the error
+# column, rates the match column.
+MEANS = {
+    "temperature_mean_error": "temperature_error", "temperature_mae": "temperature_absolute_error",
+    "apparent_temperature_mae": "apparent_temperature_absolute_error",
+    "relative_humidity_mean_error": "relative_humidity_error", "relative_humidity_mae": "relative_humidity_absolute_error",
+    "precipitation_mean_error": "precipitation_error", "precipitation_mae": "precipitation_absolute_error",
+    "rain_mae": "rain_absolute_error", "snowfall_mae": "snowfall_absolute_error",
+    "cloud_cover_mae": "cloud_cover_absolute_error", "pressure_msl_mae": "pressure_msl_absolute_error",
+    "visibility_mae": "visibility_absolute_error", "wind_speed_10m_mae": "wind_speed_10m_absolute_error",
+    "wind_direction_10m_mae": "wind_direction_10m_absolute_error", "wind_gusts_10m_mae": "wind_gusts_10m_absolute_error",
+    "uv_index_mae": "uv_index_absolute_error",
+    "precipitation_probability_brier_score": "precipitation_probability_brier_score",
+}
+ROOTS = {"temperature_rmse": "temperature_squared_error", "precipitation_rmse": "precipitation_squared_error"}
+RATES = {"weather_code_exact_match_rate": "weather_code_exact_match", "day_night_match_rate": "day_night_match"}
+SAMPLES = {"temperature_sample_count": "temperature_absolute_error", "precipitation_sample_count": "precipitation_absolute_error"}
+FIRSTS = {"first_forecast_run_at": "forecast_run_at", "first_valid_at": "valid_at"}
+LASTS = {"latest_forecast_run_at": "forecast_run_at", "latest_valid_at": "valid_at",
+         "latest_verification_retrieved_at": "verification_retrieved_at"}
+DISTINCTS = {"forecast_run_count": "forecast_event_id", "verification_event_count": "verification_event_id"}
+SUMMARY = [
+    "matched_hour_count", "forecast_run_count", "verification_event_count", "first_forecast_run_at",
+    "latest_forecast_run_at", "first_valid_at", "latest_valid_at", "latest_verification_retrieved_at",
+    "temperature_sample_count", "temperature_mean_error", "temperature_mae", "temperature_rmse",
+    "apparent_temperature_mae", "relative_humidity_mean_error", "relative_humidity_mae", "precipitation_sample_count",
+    "precipitation_mean_error", "precipitation_mae", "precipitation_rmse", "rain_mae", "snowfall_mae", "cloud_cover_mae",
+    "pressure_msl_mae", "visibility_mae", "wind_speed_10m_mae", "wind_direction_10m_mae", "wind_gusts_10m_mae",
+    "uv_index_mae", "weather_code_exact_match_rate", "day_night_match_rate", "precipitation_probability_brier_score",
+]
+
+
+def _partial_sums() -> list[Column]:
+    """What a pair of events adds to the rollup, in fixed-width columns: sums and counts
+    of each error, least and greatest instants."""
+    errors = dict.fromkeys([*MEANS.values(), *ROOTS.values()])
+    return [F.count(F.lit(1)).alias("hours"),
+            *(F.sum(c).alias(f"sum_{c}") for c in errors), *(F.count(c).alias(f"n_{c}") for c in [*errors, *RATES.values()]),
+            *(F.count_if(F.col(c)).alias(f"sum_{c}") for c in RATES.values()),
+            *(F.min(c).alias(f"least_{c}") for c in FIRSTS.values()), *(F.max(c).alias(f"most_{c}") for c in LASTS.values())]
+
+
+def _merged() -> list[Column]:
+    """The rollup's columns from the partial sums of a group's pairs."""
+    mean = lambda c: F.try_divide(F.sum(f"sum_{c}"), F.sum(f"n_{c}"))
+    made = {"matched_hour_count": F.sum("hours")}
+    made |= {name: mean(c) for name, c in (MEANS | RATES).items()} | {name: F.sqrt(mean(c)) for name, c in ROOTS.items()}
+    made |= {name: F.sum(f"n_{c}") for name, c in SAMPLES.items()}
+    made |= {name: F.min(f"least_{c}") for name, c in FIRSTS.items()} | {name: F.max(f"most_{c}") for name, c in LASTS.items()}
+    made |= {name: F.coalesce(F.max(F.when(F.col(c).isNotNull(), F.col(f"rank_{c}"))), F.lit(0)).cast("bigint")
+             for name, c in DISTINCTS.items()}
+    return [made[name].alias(name) for name in SUMMARY]
 
 
 FACT_KEYS = ["location_id", "model_id", "model_name", "provider", "resolution_km", "lead_time_bucket"]
 DIM_KEYS = ["city", "administrative_area", "country", "country_code", "timezone"]
 
 
+def rolled_up(accuracy: DataFrame) -> DataFrame:
+    """A1-A10 by the fact keys, with both distinct counts (A3) exact and no ``Expand``.
+
+    First the hours of each pair of events (a run and a verification event share at most
+    a day's hours) are combined, in the map tasks already, into one row of sums.  These
+    few rows are then brought together by the fact keys; there the greatest dense rank
+    of an id is the number of distinct ids, and the sums are merged.  Both ranks and the
+    last aggregate share the one shuffle."""
+    pairs = accuracy.groupBy(*FACT_KEYS, *DISTINCTS.values()).agg(*_partial_sums())
+    group = Window.partitionBy(*FACT_KEYS)
+    ranked = pairs.withColumns({f"rank_{c}": F.dense_rank().over(group.orderBy(F.col(c).asc_nulls_last()))
+                                for c in DISTINCTS.values()})
+    return ranked.groupBy(*FACT_KEYS).agg(*_merged())
+
+
 def agg_model_accuracy(accuracy: DataFrame, dim_locations: DataFrame, dim_rows: int | None = None) -> DataFrame:
     """J2 + A1-A10: the rollup by the 11 keys of the model.
 
@@ -142,7 +175,7 @@ def agg_model_accuracy(accuracy: DataFrame, dim_locations: DataFrame, dim_rows:
     first and joining the dimension afterwards gives the same rows, with the
     wide aggregate over six keys and the join over the (much smaller) rollup.
     The join is a size-checked broadcast."""
-    rolled = accuracy.groupBy(*FACT_KEYS).agg(*summary_aggregates())
+    rolled = rolled_up(accuracy)
     loc = dim_locations.select("location_id", *DIM_KEYS)
     enriched = join_dimension(rolled, loc, "location_id", "inner", dim_rows=dim_rows)
     names = [c for c in rolled.columns if c not in FACT_KEYS]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.time import lead_time_bucket, local_date, utc_date
-from hindcast.operators.dedup import latest_per_key
+from hindcast.operators.dedup import latest_per_key, latest_version
 from hindcast.operators.sequence import previous_in_sequence
 from hindcast.schemas import METRICS
 
@@ -95,12 +95,11 @@ def fct_forecast_revisions(int_model_run: DataFrame) -> DataFrame:
 
 def fct_verification_weather(int_verification: DataFrame) -> DataFrame:
     """W4 + W5: latest version per (location, valid hour) plus the number of
-    versions, from one partial aggregate (no window sort over a hot key)."""
+    versions; a group holds the re-issues of one hour."""
     cols = ["event_id", "location_id", "valid_at", "source", "reference_kind", "retrieved_at",
             "verification_timezone", "period_start", "period_end", *METRICS, "ingested_at"]
-    latest = latest_per_key(int_verification.select(*cols), ["location_id", "valid_at"],
-                            ["retrieved_at", "ingested_at", "event_id"],
-                            count_as="verification_version_count")
+    latest = latest_version(int_verification.select(*cols), ["location_id", "valid_at"],
+                            ["retrieved_at", "ingested_at", "event_id"], "verification_version_count")
     return latest.select(
         "event_id", "location_id", "valid_at",
         utc_date("valid_at").alias("verification_date_utc"),

@@ -19,7 +19,10 @@ from hindcast.sources.bridge import Bridge
 class Models:
     def __init__(self, raw_locations: DataFrame, raw_model_runs: DataFrame,
                  raw_verification: DataFrame, raw_operational: DataFrame,
-                 intermediate: dict[str, DataFrame] | None = None):
+                 intermediate: dict[str, DataFrame] | None = None, in_files: bool = False):
+        """``in_files``: the raw event tables are read from Parquet files as they stand,
+        so that their rows have coordinates (``operators.dedup``)."""
+        self.in_files = in_files
         self.raw_locations = raw_locations
         self.raw_model_runs = raw_model_runs
         self.raw_verification = raw_verification
@@ -41,7 +44,7 @@ class Models:
         return cls(read_landed(spark, sf_dir, "locations"),
                    read_landed(spark, sf_dir, "model_run_events"),
                    read_landed(spark, sf_dir, "verification_weather_events"),
-                   read_landed(spark, sf_dir, "operational_forecast_events"))
+                   read_landed(spark, sf_dir, "operational_forecast_events"), in_files=True)
 
     @classmethod
     def with_materialized_intermediate(cls, spark: SparkSession, sf_dir: str) -> "Models":
@@ -60,15 +63,15 @@ class Models:
 
     @cached_property
     def stg_model_run_events(self) -> DataFrame:
-        return staging.stg_model_run_events(self.raw_model_runs)
+        return staging.stg_model_run_events(self.raw_model_runs, self.in_files)
 
     @cached_property
     def stg_verification_weather_events(self) -> DataFrame:
-        return staging.stg_verification_weather_events(self.raw_verification)
+        return staging.stg_verification_weather_events(self.raw_verification, self.in_files)
 
     @cached_property
     def stg_operational_forecast_events(self) -> DataFrame:
-        return staging.stg_operational_forecast_events(self.raw_operational)
+        return staging.stg_operational_forecast_events(self.raw_operational, self.in_files)
 
     # intermediate
     @cached_property

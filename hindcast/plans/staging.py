@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.json import parse_text_fields, safe_cast, scalar_only
-from hindcast.operators.dedup import latest_per_key
+from hindcast.operators.dedup import latest_per_key, without_older
 
 LOG = ["kafka_topic", "kafka_partition", "kafka_offset", "kafka_key", "kafka_timestamp",
        "ingested_at", "payload"]
@@ -16,13 +16,15 @@ LOG = ["kafka_topic", "kafka_partition", "kafka_offset", "kafka_key", "kafka_tim
 EVENT_ORDER = ["ingested_at", "kafka_partition", "kafka_offset"]
 
 
-def dedupe_events(raw: DataFrame) -> DataFrame:
-    """One row per ``event_id`` (latest ingested, then partition, offset)."""
-    return latest_per_key(raw, ["event_id"], EVENT_ORDER)
+def dedupe_events(raw: DataFrame, in_files: bool = False) -> DataFrame:
+    """One row per ``event_id`` (latest ingested, then partition, offset).  A raw
+    table read from its files (``in_files``) is read minus its older deliveries; rows of
+    any other origin are aggregated."""
+    return (without_older if in_files else latest_per_key)(raw, ["event_id"], EVENT_ORDER)
 
 
-def stg_model_run_events(raw: DataFrame) -> DataFrame:
-    ev = dedupe_events(raw)
+def stg_model_run_events(raw: DataFrame, in_files: bool = False) -> DataFrame:
+    ev = dedupe_events(raw, in_files)
     p = parse_text_fields("payload", ["occurred_at", "data.model.model_name",
                                       "data.model.resolution_km", "data.hourly"])
     ev = ev.withColumn("__p", p)
@@ -38,8 +40,8 @@ def stg_model_run_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def stg_operational_forecast_events(raw: DataFrame) -> DataFrame:
-    ev = dedupe_events(raw)
+def stg_operational_forecast_events(raw: DataFrame, in_files: bool = False) -> DataFrame:
+    ev = dedupe_events(raw, in_files)
     p = parse_text_fields("payload", ["occurred_at", "data.timezone", "data.current",
                                       "data.hourly", "data.daily"])
     ev = ev.withColumn("__p", p)
@@ -54,8 +56,8 @@ def stg_operational_forecast_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def stg_verification_weather_events(raw: DataFrame) -> DataFrame:
-    ev = dedupe_events(raw)
+def stg_verification_weather_events(raw: DataFrame, in_files: bool = False) -> DataFrame:
+    ev = dedupe_events(raw, in_files)
     p = parse_text_fields("payload", ["occurred_at", "data.timezone", "data.hourly"])
     ev = ev.withColumn("__p", p)
     return ev.select(

@@ -291,7 +291,7 @@ def _latest(spark, sf_dir):
     from hindcast.sources.logs import log_records
 
     log = log_records(read_landed(spark, sf_dir, "operational_forecast_events"))
-    return L, L.latest_from_log(log)
+    return L, L.latest_from_log(log, in_files=True)
 
 
 CURRENT_ABSENT_SQL = {"precipitation_probability", "visibility", "uv_index"}
@@ -379,6 +379,35 @@ def q_location_search(spark, sf_dir):
     return search(_models(spark, sf_dir).dim_locations, SEARCH_TERM, "", 10)
 
 
+# Every location asks for a beginning of its own city, of 1 to 19 letters; some in their
+# country, some with a wildcard inside or in front.
+REQUESTS_SQL = """
+asked as (select location_id as request_id,
+    case when location_id % 11 = 0 then '_' || substr(city, 2, location_id % 19)
+         when location_id % 13 = 0 then substr(city, 1, 9) || '%' || (location_id % 100)
+         else substr(city, 1, 1 + location_id % 19) end as term,
+    case when location_id % 3 = 0 then ' ' || lower(country_code) end as country_code from loc)"""
+
+
+@register("bulk_location_search", [], lambda: O.with_ctes(REQUESTS_SQL, body="""
+select a.request_id, row_number() over (partition by a.request_id
+    order by l.population desc nulls last, l.city, l.location_id) as position, l.location_id, l.city, l.country_code, l.population
+from asked a join loc l on lower(l.city) like lower(a.term) || '%'
+  and (a.country_code is null or upper(trim(a.country_code)) = l.country_code)
+qualify position <= 10"""))
+def q_bulk_location_search(spark, sf_dir):
+    """P15 K1 for a table of terms: each request's ten best matches."""
+    from hindcast.operators.search import bulk_search
+    dim = _models(spark, sf_dir).dim_locations
+    i = F.col("location_id")
+    term = (F.when(i % 11 == 0, F.concat(F.lit("_"), F.substring("city", F.lit(2), i % 19)))
+            .when(i % 13 == 0, F.concat(F.substring("city", 1, 9), F.lit("%"), (i % 100).cast("string")))
+            .otherwise(F.substring("city", F.lit(1), 1 + i % 19)))
+    requests = dim.select(i.alias("request_id"), term.alias("term"),
+                          F.when(i % 3 == 0, F.concat(F.lit(" "), F.lower("country_code"))).alias("country_code"))
+    return bulk_search(dim, requests).select("request_id", "position", "location_id", "city", "country_code", "population")
+
+
 @register("location_lookup", [], lambda: O.with_ctes(body="""
 select r.location_id, l.city, case when l.location_id is null then 'missing' else 'found' end as status
 from (select distinct user_id + 1 as location_id from events
@@ -601,6 +630,21 @@ def q_nearest_hour_fill(spark, sf_dir):
                     F.col("nearest.valid_at").alias("nearest_valid_at"), *fill_current("current", "nearest"))
 
 
+@register("nearest_hour_join", ["nearest_temperature_2m"], lambda: O.with_ctes(body="""
+select r.event_id, r.location_id, r.retrieved_at, v.valid_at as nearest_valid_at, v.event_id as nearest_event_id,
+  v.temperature_2m as nearest_temperature_2m
+from op_raw r left join vc v on r.location_id = v.location_id
+qualify row_number() over (partition by r.event_id
+  order by abs(epoch(v.valid_at) - epoch(r.retrieved_at)), v.valid_at) = 1"""))
+def q_nearest_hour_join(spark, sf_dir):
+    """J8 between tables: every snapshot with its location's nearest verified hour."""
+    from hindcast.operators.asof import nearest_join
+    m = _marts(spark, sf_dir)
+    snapshots = m.stg_operational_forecast_events.select("event_id", "location_id", "retrieved_at")
+    return nearest_join(snapshots, m.fct_verification_weather, ["location_id"], "retrieved_at", "valid_at",
+                        ["event_id", "temperature_2m"])
+
+
 def _cond_sql(col: str, idx: int) -> str:
     from hindcast.operators.derived import CONDITIONS, UNKNOWN
     whens = " ".join(f"when {col} in ({', '.join(map(str, codes))}) then '{c[idx]}'"

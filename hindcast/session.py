@@ -22,6 +22,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # Wide marts are hundreds of column calls; their call sites need not be recorded.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
