@@ -13,8 +13,8 @@ Filters of ``measured``, a letter each: A under ``LEAST_WORDS`` words; B fewer t
 half of the words distinct; C more than two capitals A-Z in a hundred code points;
 D holds a sign of ``SIGNS``; E equals the text of any smaller doc_id.  E compares the
 sha256 of texts: one pass writes a row of some 50 bytes for each document, a combining
-aggregate gives the least id of every text that occurs twice, and a join brings it back,
-so copies move no text and a hot text meets one row, in a join whose partitions can split.
+aggregate gives the least id of every text, and a join on text and id finds the rows that
+have it.  So copies move no text, and as the ids of copies differ no key of it is hot.
 
 Rows: null texts are empty texts (and equal to each other); a null id is no smaller id
 than any other and has none below it; rows of one id and text are no copies of each
@@ -78,9 +78,10 @@ def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("is_good"),
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("is_toxic"))
     told = told.where("is_good or is_toxic")
-    firsts = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    found = rows.join(firsts.drop("last"), "same", "left").join(told, F.col("doc_id") == F.col("labelled"), "left")
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    firsts = rows.groupBy(F.col("same").alias("text_of")).agg(F.min("doc_id").alias("first"))
+    found = rows.join(firsts, (F.col("same") == F.col("text_of")) & (F.col("doc_id") == F.col("first")), "left")
+    found = found.join(told, F.col("doc_id") == F.col("labelled"), "left")
+    copy = F.col("doc_id").isNotNull() & F.col("first").isNull()
     return found.select(
         "part", (F.col("mask") + copy.cast("int") * (1 << FILTERS.index("E"))).alias("mask"), "n",
         F.when(F.col("is_good"), F.col("n")).otherwise(0).alias("good"),

@@ -9,6 +9,8 @@ both sides start from the same weather values.
 
 from __future__ import annotations
 
+import re
+
 from hindcast.schemas import METRICS
 from hindcast.sources import formulas as fx
 
@@ -17,6 +19,11 @@ def _metric_select(formulas: dict[str, str]) -> str:
     return ",\n    ".join(f"{formulas[m]} as {m}" for m in METRICS)
 
 
+def qualified(formula: str, table: str) -> str:
+    """A formula whose one-letter variables are columns of ``table``."""
+    return re.sub(r"(?<![\w.])([exksh])(?![\w(])", rf"{table}.\1", formula)
+
+
 def _rfc(col: str) -> str:
     # Instants here are whole seconds, so RFC 3339 has no fraction.
     return f"strftime({col}, '%Y-%m-%dT%H:%M:%SZ')"

@@ -17,6 +17,7 @@ from hindcast import oracle as O
 from hindcast.output import finalize, round_sql
 from hindcast.plans.models import Models
 from hindcast.schemas import METRICS
+from hindcast.sources.logs import Admission
 
 
 @dataclass
@@ -734,6 +735,10 @@ select event_id, 'forecast.model_run.snapshot' as event_type, cast(1 as bigint)
   model_id, provider, forecast_run_at, retrieved_at, {RAW_LOG_SQL} from mr_raw"""))
 def q_raw_model_run(spark, sf_dir):
     """Model-run log records -> raw rows (strict: any violation fails the batch)."""
+    return _raw_model_runs(spark, sf_dir)
+
+
+def _raw_model_runs(spark, sf_dir):
     from hindcast.sources import raw
     return raw.strict(raw.model_run_rows(_log(spark, sf_dir, "model_run_events"), _ingested())).drop("payload")
 
@@ -917,8 +922,8 @@ def q_stream_ingest(spark, sf_dir):
 def _cold_path(spark, sf_dir):
     from hindcast.streaming import cold_path, io
     root = io.scratch_root(spark, "cold-path")
-    io.land_ordered_files(_all_logs(spark, sf_dir), f"{root}/log", "timestamp")
-    _every_topic_ok(cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 2), f"{root}/raw",
+    io.append_log(_all_logs(spark, sf_dir), f"{root}/log", "timestamp")
+    _every_topic_ok(cold_path.start_cold_path(spark, lambda topic: io.log_stream(spark, f"{root}/log", topic=topic), f"{root}/raw",
                                               f"{root}/checkpoints", ingested_at=cold_path.minute_after_record))
     return root
 
@@ -943,15 +948,14 @@ select l.location_id, l.event_id, cast(1 as bigint) as schema_version, l.source,
   l.kafka_timestamp as updated_at
 from lat l join lat_first f on l.location_id = f.location_id"""))
 def q_stream_latest(spark, sf_dir):
-    """ST3 ST4 ST5 streaming: latest state folded per micro-batch into versioned tables."""
+    """ST3 ST4 ST5 streaming: latest state in the state store, its changes by micro-batch."""
     from hindcast.operators import latest as L
     from hindcast.streaming import io, state
     root = io.scratch_root(spark, "latest-state")
-    io.land_ordered_files(_log(spark, sf_dir, "operational_forecast_events"), f"{root}/log",
-                          "timestamp")
-    table = state.run_latest_state(spark, io.log_stream(spark, f"{root}/log", 1), f"{root}/state",
-                                   f"{root}/checkpoint")
-    return L.current_table(table.read())
+    io.append_log(_log(spark, sf_dir, "operational_forecast_events"), f"{root}/log", "timestamp")
+    admitted = io.log_stream(spark, f"{root}/log", Admission(n_bytes=1_000_000))
+    state.run_latest_state(spark, admitted, f"{root}/state", f"{root}/checkpoint")
+    return L.current_table(state.current_state(spark, f"{root}/state"))
 
 
 @register("stream_dedup", [], lambda: O.with_ctes(body="""
@@ -961,43 +965,95 @@ def q_stream_dedup(spark, sf_dir):
     from hindcast.schemas import LOG_RECORD_SCHEMA  # noqa: F401
     from hindcast.streaming import dedup, io
     root = io.scratch_root(spark, "dedup")
-    io.land_ordered_files(_log(spark, sf_dir, "model_run_events"), f"{root}/log", "timestamp")
-    s = io.log_stream(spark, f"{root}/log", 1).withColumn("event_id", F.get_json_object("value", "$.event_id"))
+    io.append_log(_log(spark, sf_dir, "model_run_events"), f"{root}/log", "timestamp")
+    s = io.log_stream(spark, f"{root}/log").withColumn("event_id", F.get_json_object("value", "$.event_id"))
     out = dedup.dedupe_stream(s).select("event_id", "key", "timestamp")
     io.run_available_now(out.writeStream.format("parquet").option("path", f"{root}/out")
                          .option("checkpointLocation", f"{root}/checkpoint").outputMode("append"))
     return spark.read.parquet(f"{root}/out")
 
 
-@register("stream_late_verification", ["temperature_error"], lambda: O.with_ctes(O.accuracy_sql(), body="""
-select forecast_event_id, verification_event_id, location_id, valid_at, temperature_error from acc"""))
+LATE_DELAY = "1 day"
+# Rows come by the week of their retrieval.  A week's watermark is the greatest least
+# hour of both sides among the weeks before it in which both have rows, less the delay.
+LATE_SQL = """
+arrivals as (select 'f' as side, event_id, location_id, valid_at, date_trunc('week', retrieved_at) as week from fc
+  union all select 'v', event_id, location_id, valid_at, date_trunc('week', retrieved_at) from vall),
+weeks as (select week, max(valid_at) filter (side = 'f') as f, max(valid_at) filter (side = 'v') as v from arrivals group by week),
+marks as (select week, max(case when f is not null and v is not null then least(f, v) - interval 1 day end)
+  over (order by week rows between unbounded preceding and 1 preceding) as mark from weeks),
+timed as (select a.*, coalesce(a.valid_at <= m.mark, false) as late from arrivals a join marks m on a.week = m.week)"""
+
+
+def _late(spark, sf_dir):
+    """One run of the late join for each session and input: (folder, dropped rows)."""
+    from hindcast.streaming import io, late
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _LATE_RUNS:
+        m = _marts(spark, sf_dir)
+        root = io.scratch_root(spark, "late-verification")
+        fc = m.int_model_run_hourly_forecasts.select(
+            F.col("event_id").alias("forecast_event_id"), "location_id", "valid_at", "retrieved_at",
+            F.col("temperature_2m").alias("forecast_temperature_2m"))
+        vr = m.int_verification_hourly_weather.select(
+            F.col("event_id").alias("verification_event_id"), "location_id", "valid_at", "retrieved_at", "ingested_at",
+            F.col("temperature_2m").alias("reference_temperature_2m"))
+        _LATE_RUNS[key] = root, late.run_by_arrival(spark, fc, vr, "retrieved_at", root, LATE_DELAY)
+    return _LATE_RUNS[key]
+
+
+_LATE_RUNS: dict = {}
+
+
+@register("stream_late_verification", ["temperature_error"], lambda: O.with_ctes(LATE_SQL, body="""
+select f.event_id as forecast_event_id, v.event_id as verification_event_id, f.location_id, f.valid_at,
+  fc.temperature_2m - ({temperature}) as temperature_error
+from timed f join timed t on f.side = 'f' and t.side = 'v' and f.location_id = t.location_id and f.valid_at = t.valid_at
+  and not f.late and not t.late
+join vall v on v.event_id = t.event_id and v.valid_at = t.valid_at
+join fc on fc.event_id = f.event_id and fc.valid_at = f.valid_at
+qualify row_number() over (partition by f.event_id, f.valid_at order by v.retrieved_at desc) = 1""".format(
+    temperature=O.qualified(O.fx.VERIFICATION_FORMULAS["temperature_2m"], "v"))))
 def q_stream_late_verification(spark, sf_dir):
-    """ST7 (+W4 in batch): stream-stream join of forecasts with late, re-issued verification."""
+    """ST7 (+W4 in batch): forecasts joined with late, re-issued verification as both arrive;
+    the newest version that was in time."""
     from hindcast.operators.dedup import latest_per_key
-    from hindcast.streaming import io, late
-    m = _marts(spark, sf_dir)
-    root = io.scratch_root(spark, "late-verification")
-    fc = m.int_model_run_hourly_forecasts.select(
-        F.col("event_id").alias("forecast_event_id"), "location_id", "valid_at",
-        F.col("temperature_2m").alias("forecast_temperature_2m"))
-    vr = m.int_verification_hourly_weather.select(
-        F.col("event_id").alias("verification_event_id"), "location_id", "valid_at", "retrieved_at", "ingested_at",
-        F.col("temperature_2m").alias("reference_temperature_2m"))
-    io.land_ordered_files(fc, f"{root}/forecasts", "valid_at")
-    io.land_ordered_files(vr, f"{root}/verification", "valid_at")
-    fs = io.file_stream(spark, f"{root}/forecasts", fc.schema, 2)
-    vs = io.file_stream(spark, f"{root}/verification", vr.schema, 2)
-    j = late.match_late_verification(fs, vs).select(
-        "f.forecast_event_id", "v.verification_event_id", "f.location_id", "f.valid_at", "v.retrieved_at",
-        "v.ingested_at", (F.col("f.forecast_temperature_2m") - F.col("v.reference_temperature_2m"))
-        .alias("temperature_error"))
-    io.run_available_now(j.writeStream.format("parquet").option("path", f"{root}/matches")
-                         .option("checkpointLocation", f"{root}/checkpoint").outputMode("append"))
-    matches = spark.read.parquet(f"{root}/matches")
-    # W4 in batch: one match per forecast hour, from the newest verification version.
+    matches = spark.read.parquet(f"{_late(spark, sf_dir)[0]}/matches")
     best = latest_per_key(matches, ["forecast_event_id", "valid_at"],
-                          ["retrieved_at", "ingested_at", "verification_event_id"])
-    return best.select("forecast_event_id", "verification_event_id", "location_id", "valid_at", "temperature_error")
+                          ["verification_retrieved_at", "ingested_at", "verification_event_id"])
+    return best.select("forecast_event_id", "verification_event_id", "location_id", "valid_at",
+                       (F.col("forecast_temperature_2m") - F.col("reference_temperature_2m")).alias("temperature_error"))
+
+
+@register("stream_late_drops", [], lambda: O.with_ctes(LATE_SQL, body="""
+select week, count(*) filter (late) as dropped_rows from timed group by week"""))
+def q_stream_late_drops(spark, sf_dir):
+    """ST7: rows that the watermark refused, by the week in which they arrived."""
+    told = _late(spark, sf_dir)[1]
+    return spark.createDataFrame(told, "week timestamp, dropped_rows long")
+
+
+@register("content_loads", [], lambda: O.with_ctes(body="""
+select kafka_partition, count(*) as loaded_rows, cast(1 as bigint) as loads, cast(2 as bigint) as attached from mr_raw group by kafka_partition"""))
+def q_content_loads(spark, sf_dir):
+    """Each partition's rows loaded three times, in other orders and with other load
+    times: one load, two re-attached."""
+    from hindcast.sources.sinks import finished_loads, load_once
+    from hindcast.streaming.io import scratch_root
+    root = scratch_root(spark, "content-loads")
+    rows = _raw_model_runs(spark, sf_dir)
+    told = []
+    for p in (0, 1, 2):
+        mine = rows.where(F.col("kafka_partition") == p)
+        tries = [load_once(x, f"{root}/table", f"{root}/ledger", "model-run") for x in (
+            mine, mine.repartition(3, "kafka_offset").withColumn("ingested_at", F.current_timestamp()),
+            mine.sortWithinPartitions(F.desc("event_id")))]
+        told += [(p, *t) for t in tries]
+    tries = spark.createDataFrame(told, "kafka_partition long, load_id string, written boolean")
+    table = spark.read.parquet(f"{root}/table").groupBy("load_id").agg(F.count(F.lit(1)).alias("loaded_rows"))
+    known = finished_loads(spark, f"{root}/ledger").groupBy("load_id").agg(F.count(F.lit(1)).alias("loads"))
+    seen = tries.groupBy("kafka_partition", "load_id").agg(F.count_if(~F.col("written")).alias("attached"))
+    return seen.join(table, "load_id").join(known, "load_id").drop("load_id")
 
 
 # --------------------------------------------------------------------------- scans and views

@@ -12,12 +12,14 @@ W1 removes any duplicates that arrive through the log itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.sources import raw
 from hindcast.sources.sinks import replay_safe_load
-from hindcast.streaming.io import run_available_now
+from hindcast.streaming.io import run_available_now, where_not_empty
 
 
 def minute_after_record() -> Column:
@@ -32,7 +34,7 @@ def batch_writer(table: str, out_path: str, date_col: str, instant: str, ingeste
     def write(batch: DataFrame, batch_id: int) -> None:
         mapped = raw.strict(table_mapper(batch, ingested_at()))
         replay_safe_load(mapped.withColumn(date_col, F.to_date(instant)), out_path, batch_id, [date_col])
-    return write
+    return where_not_empty(write)
 
 
 LAYOUT = {
@@ -48,21 +50,23 @@ def _refuse_unknown(batch: DataFrame, batch_id: int) -> None:
         raise ValueError(f"record on a topic that no table owns: {found[0]['topic']}")
 
 
-def start_cold_path(spark: SparkSession, log: DataFrame, out_root: str, checkpoint_root: str,
+def start_cold_path(spark: SparkSession, log_of: Callable[[str | None], DataFrame], out_root: str, checkpoint_root: str,
                     available_now: bool = True, interval: str = "1 hour", ingested_at=F.current_timestamp) -> dict:
     """One query per topic, and one that fails on records of unknown topics.
+    ``log_of`` gives the stream of a topic's records, and that of all for None.
     ``ingested_at`` makes the load time of a batch.  With ``available_now`` each runs to the end of the
     available input and the result maps table -> ``"ok"`` or the error that
     stopped it (a failing topic does not stop the others, and its checkpoint
     stays at the last committed batch).  Otherwise the started queries are
     returned, triggered every ``interval``."""
     results: dict = {}
-    parts = {table: (F.col("topic") == topic, batch_writer(table, f"{out_root}/{table}", *LAYOUT[table], ingested_at))
+    parts = {table: (log_of(topic).filter(F.col("topic") == topic),
+                     batch_writer(table, f"{out_root}/{table}", *LAYOUT[table], ingested_at))
              for topic, (table, _) in raw.MAPPERS.items()}
     known = F.coalesce(F.col("topic").isin(list(raw.MAPPERS)), F.lit(False))
-    parts["unknown_topics"] = (~known, _refuse_unknown)
+    parts["unknown_topics"] = (log_of(None).filter(~known), _refuse_unknown)
     for table, (mine, write) in parts.items():
-        w = (log.filter(mine).writeStream.foreachBatch(write)
+        w = (mine.writeStream.foreachBatch(write)
              .option("checkpointLocation", f"{checkpoint_root}/{table}")
              .queryName(f"cold_path_{table}"))
         if available_now:

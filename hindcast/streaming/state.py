@@ -1,41 +1,72 @@
-"""ST3 + ST4 streaming: the latest-snapshot state maintained per micro-batch.
+"""ST3 + ST4 streaming: the latest snapshot of each location, kept by Spark's state store.
 
-``foreachBatch`` decodes and validates the batch, folds it into the current
-state with the strictly-newer rule (:func:`hindcast.operators.latest.merge_latest`)
-and publishes the new state as a new version; the hourly/daily children are
-always exploded from the state's own arrays, so they cannot diverge from it.
+The state is a streaming aggregate: one row for each location, the newest valid record
+by the strictly-newer rule.  Its store writes what a micro-batch changes, and so does
+the sink: only the locations of the batch are decoded and written, into the batch's own
+partition of a change table, which a replay of the batch overwrites.  Nothing rewrites
+the state, so bytes written follow the batch.  The current table is the newest change of
+each location; hourly and daily children are exploded from its own arrays, so they can't
+disagree with it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.operators import latest as L
-from hindcast.streaming.io import VersionedTable, run_available_now
+from hindcast.operators.dedup import newest_only
+from hindcast.sources.sinks import replay_safe_load
+from hindcast.streaming.io import run_available_now, where_not_empty
 
+RECORD = ["topic", "partition", "offset", "key", "timestamp", "value"]
 
-def latest_state_writer(table: VersionedTable):
+
+def _newest_first_arrival() -> Column:
+    """The order of ST3: greatest retrieval, then the earliest arrival."""
+    return F.struct(F.col("retrieved_at"), (-F.unix_micros("timestamp")).alias("a"),
+                    (-F.col("partition")).alias("p"), (-F.col("offset")).alias("o"))
+
+
+def stateful_latest(events: DataFrame, valid: str | None = None) -> DataFrame:
+    """ST3 as a stateful aggregation (update mode): (location_id, latest), the row of the
+    newest event.  ``valid`` names a boolean column; only those events are applied, and
+    ``latest`` is NULL where a location has none."""
+    order = _newest_first_arrival()
+    if valid:
+        order = F.when(F.col(valid), order)
+    kept = [c for c in events.columns if c != valid]
+    return events.groupBy("location_id").agg(F.max_by(F.struct(*kept), order).alias("latest"))
+
+
+def latest_changes(log: DataFrame) -> DataFrame:
+    """ST5 + P21 + ST3: log records -> the newest valid record of each location."""
+    screened = L.hot_state_violations(L.decode_latest_events(log, full=False))
+    valid = (F.size("violations") == 0).alias("__valid")
+    return stateful_latest(screened.select("location_id", "retrieved_at", *RECORD, valid), "__valid")
+
+
+def change_writer(path: str):
+    """Writes a micro-batch of ``latest_changes``, decoded, into its own partition."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        winners = L.latest_from_log(batch)
-        current = table.read()
-        merged = winners if current is None else L.merge_latest(current, winners)
-        table.publish(merged, batch_id)
-    return write
-
-
-def run_latest_state(spark: SparkSession, log: DataFrame, state_root: str, checkpoint: str) -> VersionedTable:
-    table = VersionedTable(spark, state_root)
-    w = (log.writeStream.foreachBatch(latest_state_writer(table))
-         .option("checkpointLocation", checkpoint).queryName("latest_state"))
-    run_available_now(w)
-    return table
-
-
-def stateful_latest(events: DataFrame) -> DataFrame:
-    """ST3 as a stateful aggregation (update mode): ``max_by`` per location over
-    (retrieved_at, earlier arrival first).  Spark keeps one row per location in
-    the state store."""
-    order = F.struct(F.col("retrieved_at"), (-F.unix_micros("timestamp")).alias("a"),
-                     (-F.col("partition")).alias("p"), (-F.col("offset")).alias("o"))
-    return events.groupBy("location_id").agg(F.max_by(F.struct(*events.columns), order).alias("latest"))
+        winners = batch.where(F.col("latest").isNotNull()).select(*(f"latest.{c}" for c in RECORD))
+        replay_safe_load(L.decode_latest_events(winners), path, batch_id)
+    return where_not_empty(write)
+
+
+def run_latest_state(spark: SparkSession, log: DataFrame, path: str, checkpoint: str) -> None:
+    """Fold all records that the log has into the change table at ``path``."""
+    run_available_now(latest_changes(log).writeStream.outputMode("update").foreachBatch(change_writer(path))
+                      .option("checkpointLocation", checkpoint).queryName("latest_state"))
+
+
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest change of each location.  A batch changes a location once, so its
+    number orders the changes."""
+    return newest_only(spark.read.parquet(path), ["location_id"], ["batch_id"]).drop("batch_id")
+
+
+def fold_changes(spark: SparkSession, path: str, into: str) -> None:
+    """Write the current state as a change table of its own at ``into`` (a new path),
+    where the changes so far have become one batch."""
+    replay_safe_load(current_state(spark, path), into, -1)

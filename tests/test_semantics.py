@@ -12,6 +12,7 @@ from hindcast.operators import locations as LOC
 from hindcast.operators.quality import Check, report
 from hindcast.sources import raw as RAW
 from hindcast.sources import response as R
+from hindcast.sources.logs import Admission
 
 
 def _event(eid, retrieved, temp, loc=3):
@@ -295,30 +296,14 @@ def test_cold_path_topics_fail_independently(spark, tmp_path):
     log = spark.createDataFrame([good, bad], "topic string, partition int, offset long, key string, "
                                              "timestamp timestamp, value string")
     root = str(tmp_path)
-    io.land_ordered_files(log, f"{root}/log", "timestamp", 1)
-    status = cold_path.start_cold_path(spark, io.log_stream(spark, f"{root}/log", 1), f"{root}/raw", f"{root}/ck")
+    io.append_log(log, f"{root}/log", "timestamp")
+    status = cold_path.start_cold_path(spark, lambda topic: io.log_stream(spark, f"{root}/log", topic=topic),
+                                       f"{root}/raw", f"{root}/ck")
     assert status["model_run_events"] == "ok"
     assert status["verification_weather_events"].startswith("failed")
     assert spark.read.parquet(f"{root}/raw/model_run_events").count() == 1
 
 
-def test_versioned_table_survives_a_crash_between_steps(spark, tmp_path):
-    from hindcast.streaming.io import VersionedTable
-    table = VersionedTable(spark, str(tmp_path / "state"))
-    assert table.read() is None
-    first = table.publish(spark.range(3), 1)
-    # a writer that died before its marker leaves a folder that no reader takes
-    half = tmp_path / "state" / "v=000000000002-000001"
-    spark.range(9).write.parquet(str(half))
-    (half / "_SUCCESS").rename(half / "not-a-marker")
-    assert table.current_path() == first and table.read().count() == 3
-    # the replay of the batch writes a new folder, also while it reads the old one
-    again = table.publish(table.read().union(spark.range(1)), 2)
-    assert again.endswith("v=000000000002-000002") and table.read().count() == 4
-    replay = table.publish(table.read(), 2)
-    assert replay.endswith("v=000000000002-000003") and table.read().count() == 4
-
-
 def test_missing_envelope_fields_are_refused(spark):
     for field, code in [("event_type", "unsupported_event_type"), ("schema_version", "unsupported_schema_version")]:
         body = json.loads(_mr_value())
@@ -333,8 +318,8 @@ def test_stateful_latest_update_mode(spark, tmp_path):
     from hindcast.streaming import io, state
     rows = [(0, _event("a", "2026-09-18T07:00:00Z", 30.0)), (1, _event("b", "2026-09-18T06:00:00Z", 1.0)),
             (2, _event("c", "2026-09-18T08:00:00Z", 31.5)), (3, _event("c2", "2026-09-18T08:00:00Z", 2.0))]
-    io.land_ordered_files(_log(spark, rows), str(tmp_path / "log"), "timestamp", 2)
-    ev = L.decode_latest_events(io.log_stream(spark, str(tmp_path / "log"), 1)).select(
+    io.append_log(_log(spark, rows), str(tmp_path / "log"), "timestamp", 2)
+    ev = L.decode_latest_events(io.log_stream(spark, str(tmp_path / "log"), Admission(n_bytes=1))).select(
         "location_id", "retrieved_at", "timestamp", "partition", "offset", "event_id")
     q = (state.stateful_latest(ev).writeStream.outputMode("update").format("memory")
          .queryName("latest_update_mode_test").option("checkpointLocation", str(tmp_path / "ck"))
