@@ -25,9 +25,13 @@ from pyspark.sql import functions as F
 from hindcast.functions.json import safe_cast
 from hindcast.functions.time import is_iso_date
 from hindcast.operators.dedup import latest_per_key, newest_only
+from hindcast.operators.events import JSON_OPTIONS
 from hindcast.operators.unnest import inline_rows
 from hindcast.schemas import DAILY_FIELDS, METRICS, TOPIC_OPERATIONAL, TYPE_OPERATIONAL, metric_sql_type
 
+# Units of a document's metrics.
+UNITS = {"temperature": "celsius", "precipitation": "mm", "wind_speed": "km/h", "pressure": "hPa", "visibility": "m"}
+
 _TEXT_METRICS = ", ".join(f"`{m}` string" for m in METRICS)
 _TEXT_DAILY = ", ".join(f"`{d}` string" for d in DAILY_FIELDS)
 # All leaves are read as text and cast afterwards (X1): a quoted number is kept.
@@ -197,7 +201,17 @@ def snapshot_document(latest: DataFrame, locations: DataFrame) -> DataFrame:
     doc = latest.join(loc, "location_id", "inner")
     return doc.select(
         "location_id", "city", "country", "country_code", "administrative_area", "latitude", "longitude",
-        "event_id", "source", "retrieved_at", "timezone", "current",
-        F.array_sort("hourly").alias("hourly"),
+        "event_id", "source", "retrieved_at", "timezone", F.struct(*(F.lit(v).alias(k) for k, v in UNITS.items())).alias("units"),
+        "current", F.array_sort("hourly").alias("hourly"),
         F.array_sort("daily").alias("daily"),
     )
+
+
+def document_json(document: DataFrame) -> DataFrame:
+    """(location_id, document), each document as JSON text with the event as
+    ``forecast_id`` and the location's attributes in one object.  Absent values are
+    written as null."""
+    location = F.struct(F.col("location_id").alias("id"), "city", "country", "country_code", "administrative_area", "latitude", "longitude")
+    data = F.struct(F.col("event_id").alias("forecast_id"), location.alias("location"), "source", "retrieved_at", "timezone",
+                    "units", "current", "hourly", "daily")
+    return document.select("location_id", F.to_json(F.struct(data.alias("data")), JSON_OPTIONS).alias("document"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from hindcast.schemas import METRICS
+from hindcast.schemas import METRICS, VERIFICATION_SERIES  # noqa: F401
 from hindcast.sources import formulas as fx
 
 

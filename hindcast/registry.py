@@ -361,6 +361,32 @@ def q_latest_document(spark, sf_dir):
     )
 
 
+@register("latest_document_json", ["latitude", "current_temperature_2m", "hourly_temperature_2m"], lambda: O.with_ctes(O.latest_ctes(), body="""
+select l.location_id, l.event_id as forecast_id, l.location_id as inner_id, c.city, c.administrative_area, c.latitude, l.retrieved_at,
+  'celsius mm km/h hPa m' as units, f.valid_at as current_valid_at, f.temperature_2m as current_temperature_2m,
+  h.n as hourly_count, h.t as hourly_temperature_2m, cast(l.day as date) as first_daily_date
+from lat l join lat_first f on l.location_id = f.location_id
+join loc c on l.location_id = c.location_id
+join (select location_id, count(*) as n, sum(temperature_2m) as t from lat_hours group by location_id) h on l.location_id = h.location_id"""))
+def q_latest_document_json(spark, sf_dir):
+    """The documents as JSON text with units, read back from the text."""
+    L, latest = _latest(spark, sf_dir)
+    text = L.document_json(L.snapshot_document(latest, _models(spark, sf_dir).dim_locations))
+    d = F.from_json("document", "data struct<forecast_id string, location struct<id bigint, city string, administrative_area string, "
+                    "latitude double>, retrieved_at timestamp, units struct<temperature string, precipitation string, wind_speed string, "
+                    "pressure string, visibility string>, current struct<valid_at timestamp, temperature_2m double>, "
+                    "hourly array<struct<temperature_2m double>>, daily array<struct<`date` string>>>")
+    t = text.select("location_id", d["data"].alias("d"))
+    return t.select(
+        "location_id", "d.forecast_id", F.col("d.location.id").alias("inner_id"), "d.location.city", "d.location.administrative_area",
+        "d.location.latitude", "d.retrieved_at",
+        F.concat_ws(" ", *(F.col(f"d.units.{u}") for u in L.UNITS)).alias("units"),
+        F.col("d.current.valid_at").alias("current_valid_at"), F.col("d.current.temperature_2m").alias("current_temperature_2m"),
+        F.size("d.hourly").cast("bigint").alias("hourly_count"),
+        F.aggregate("d.hourly", F.lit(0.0), lambda x, h: x + F.coalesce(h["temperature_2m"], F.lit(0.0))).alias("hourly_temperature_2m"),
+        F.to_date(F.try_element_at("d.daily", F.lit(1))["date"]).alias("first_daily_date"))
+
+
 # --------------------------------------------------------------------------- location catalog
 def _bridge(spark, sf_dir):
     from hindcast.sources.bridge import Bridge
@@ -858,6 +884,55 @@ def q_response_current(spark, sf_dir):
     return R.current_row(ok, ["location_id", "run_at"])
 
 
+@register("daily_violations", [], lambda: O.with_ctes("""
+days as (select distinct location_id, day as run_at from ohm)""", body="""
+select location_id, run_at, 'empty_daily_time' as violation from days where location_id % 7 = 0
+union all
+select location_id, run_at, 'missing_daily_series:uv_index_max' from days where location_id % 7 <> 0 and location_id % 11 = 0
+union all
+select location_id, run_at, 'daily_series_length:sunrise' from days where location_id % 7 <> 0 and location_id % 13 = 0
+union all
+select location_id, run_at, 'invalid_daily_date' from days where location_id % 7 <> 0 and location_id % 17 = 0"""))
+def q_daily_violations(spark, sf_dir):
+    """Daily blocks that are absent, lack a series, are too short or have no date."""
+    from hindcast.sources import response as R
+    parsed = R.parse_responses(_bridge(spark, sf_dir).responses(daily_defects=True))
+    return parsed.select("location_id", "run_at", F.explode(R.daily_violations()).alias("violation"))
+
+
+VERIFIED = [m for m in METRICS if m in O.VERIFICATION_SERIES]
+
+
+def _verification_responses(spark, sf_dir):
+    from hindcast.sources import response as R
+    parsed = R.parse_responses(_bridge(spark, sf_dir).verification_responses())
+    return R, parsed.withColumn("violations", R.verification_violations())
+
+
+@register("verification_response_hourly", FLOAT_METRICS, lambda: O.with_ctes(body=f"""
+select location_id, retrieved_at, valid_at,
+  {', '.join(f"{f} as {m}" if m in VERIFIED else f"cast(null as double) as {m}" for m, f in O.fx.VERIFICATION_FORMULAS.items())}
+from (select *, count(*) over (partition by event_id) as n from vall) v
+where location_id % 23 <> 0 and location_id % 29 <> 0 and (location_id % 43 <> 0 or n = 1)"""))
+def q_verification_response_hourly(spark, sf_dir):
+    """Reanalysis responses (13 series) -> hourly rows; bad responses rejected."""
+    R, parsed = _verification_responses(spark, sf_dir)
+    return R.verification_rows(parsed.filter(F.size("violations") == 0), ["location_id", "retrieved_at"])
+
+
+@register("verification_response_violations", [], lambda: O.with_ctes("""
+sent as (select event_id, location_id, retrieved_at, count(*) as n from vall group by all)""", body="""
+select location_id, retrieved_at, 'missing_series:rain' as violation from sent where location_id % 23 = 0
+union all
+select location_id, retrieved_at, 'series_length:snowfall' from sent where location_id % 29 = 0
+union all
+select location_id, retrieved_at, 'unordered_hourly_time' from sent where location_id % 43 = 0 and n > 1"""))
+def q_verification_response_violations(spark, sf_dir):
+    """Every rule that a reanalysis response breaks."""
+    _, parsed = _verification_responses(spark, sf_dir)
+    return parsed.select("location_id", "retrieved_at", F.explode("violations").alias("violation"))
+
+
 # --------------------------------------------------------------------------- event identity and records
 @register("event_identity", [], lambda: O.with_ctes(body="""
 select event_id, event_id as recomputed_event_id, kafka_key as partition_key, period_start, period_end
@@ -898,6 +973,81 @@ def q_event_records(spark, sf_dir):
         F.try_element_at(h, F.lit(-1))["valid_at"].try_cast("timestamp").alias("last_valid_at"))
 
 
+PAYLOAD_SUMS = [m for m in METRICS if m != "is_day"]
+_SUMS_SQL = ", ".join(f"sum({m}) as {m}" for m in PAYLOAD_SUMS) + ", count_if(is_day) as is_day"
+_DAILY_SUMS = ["temperature_2m_max", "temperature_2m_min", "precipitation_sum", "precipitation_hours", "wind_gusts_10m_max",
+               "daylight_duration_seconds"]
+
+
+@register("event_payloads", [m for m in FLOAT_METRICS] + [f"daily_{d}" for d in _DAILY_SUMS], lambda: O.with_ctes(f"""
+run_sums as (select event_id, min(valid_at) as first_valid_at, max(valid_at) as last_valid_at, count(*) as hourly_count, {_SUMS_SQL}
+  from fc group by event_id),
+ver_sums as (select event_id, min(valid_at) as first_valid_at, max(valid_at) as last_valid_at, count(*) as hourly_count, {_SUMS_SQL}
+  from (select event_id, valid_at, {O._metric_select(O.fx.VERIFICATION_FORMULAS)} from vall) group by event_id),
+op_sums as (select location_id, day, min(valid_at) as first_valid_at, max(valid_at) as last_valid_at, count(*) as hourly_count, {_SUMS_SQL},
+    max(temperature_2m) as daily_temperature_2m_max, min(temperature_2m) as daily_temperature_2m_min,
+    sum(precipitation) as daily_precipitation_sum, cast(count_if(precipitation > 0) as double) as daily_precipitation_hours,
+    max(wind_gusts_10m) as daily_wind_gusts_10m_max, case when location_id % 4 <> 0 then 44100e0 end as daily_daylight_duration_seconds
+  from ohm group by location_id, day)""", body=f"""
+select 'forecast.runs' as topic, cast(r.location_id as varchar) || ':' || r.model_id as key, r.event_id,
+  'forecast.model_run.snapshot' as event_type, '1' as schema_version, r.retrieved_at as occurred_at, r.location_id, r.model_id as made_by,
+  r.forecast_run_at as starts_at, cast(null as timestamp) as ends_at, cast(null as varchar) as timezone, s.* exclude (event_id),
+  cast(null as bigint) as daily_count, cast(null as date) as daily_date,
+  {', '.join(f'cast(null as double) as daily_{d}' for d in _DAILY_SUMS)}
+from runs r join run_sums s on r.event_id = s.event_id
+union all by name
+select 'weather.verification' as topic, v.kafka_key as key, v.event_id, 'weather.verification.snapshot' as event_type, '1' as schema_version,
+  v.retrieved_at as occurred_at, v.location_id, '{O.fx.VERIFICATION_SOURCE}/reanalysis' as made_by, v.period_start as starts_at,
+  v.period_end as ends_at, l.timezone, s.* exclude (event_id)
+from vev_raw v join ver_sums s on v.event_id = s.event_id left join loc l on v.location_id = l.location_id
+union all by name
+select 'forecast.latest' as topic, o.kafka_key as key, o.event_id, 'forecast.latest.snapshot' as event_type, '1' as schema_version,
+  o.retrieved_at as occurred_at, o.location_id, o.source as made_by, s.first_valid_at as starts_at, cast(null as timestamp) as ends_at,
+  o.timezone, s.* exclude (location_id, day), cast(1 as bigint) as daily_count, cast(o.day as date) as daily_date
+from op_raw o join op_sums s on o.location_id = s.location_id and o.day = s.day"""))
+def q_event_payloads(spark, sf_dir):
+    """Typed rows of all three streams -> events -> records, with every field of their payloads read back."""
+    from hindcast.functions.json import safe_cast
+    from hindcast.operators import events as EV, latest as L
+    from hindcast.schemas import metric_sql_type
+    from hindcast.sources.landing import read_landed
+    from hindcast.sources.logs import log_records
+    m = _marts(spark, sf_dir)
+    snaps = L.decode_latest_events(log_records(read_landed(spark, sf_dir, "operational_forecast_events")))
+    keys = EV.SNAPSHOT_KEYS
+    operational = EV.assemble_operational_events(snaps.select(*keys, "timezone", "current"), snaps.select(*keys, F.inline("hourly")),
+                                                 snaps.select(*keys, F.inline("daily")))
+    made = [EV.kafka_records(e) for e in (EV.assemble_model_run_events(m.int_model_run_hourly_forecasts),
+                                          EV.assemble_verification_events(m.int_verification_hourly_weather), operational)]
+    hourly = ", ".join(f"`{x}` {metric_sql_type(x)}" for x in METRICS)
+    daily = ", ".join(f"`{x}` double" for x in _DAILY_SUMS)
+    value = F.from_json("value", "event_id string, event_type string, schema_version int, occurred_at string, data struct<location_id bigint, "
+                        "source string, reference_kind string, retrieved_at string, timezone string, model struct<model_id string>, "
+                        "forecast_run_at string, period_start string, period_end string, current struct<valid_at string>, "
+                        f"hourly array<struct<valid_at string, {hourly}>>, daily array<struct<`date` string, {daily}>>>")
+    rec = made[0].unionByName(made[1]).unionByName(made[2]).select("topic", "key", "headers", value.alias("v"))
+    header = lambda n, name: F.when(F.col("headers")[n]["key"] == name, F.col("headers")[n]["value"].cast("string"))
+    at = lambda c: safe_cast(F.col(c), "timestamp")
+    hours, days = F.col("v.data.hourly"), F.col("v.data.daily")
+    total = lambda x: F.when(F.exists(hours, lambda h: h[x].isNotNull()), F.aggregate(
+        hours, F.lit(0).cast(metric_sql_type(x)), lambda t, h: t + F.coalesce(h[x], F.lit(0).cast(metric_sql_type(x)))))
+    one = F.try_element_at(days, F.lit(1))
+    agreed = (header(0, "event_id") == F.col("v.event_id")) & (header(1, "event_type") == F.col("v.event_type"))
+    return rec.select(
+        "topic", "key", F.when(agreed, header(0, "event_id")).alias("event_id"), header(1, "event_type").alias("event_type"),
+        header(2, "schema_version").alias("schema_version"), at("v.occurred_at").alias("occurred_at"),
+        F.col("v.data.location_id").alias("location_id"),
+        F.coalesce("v.data.model.model_id", F.concat_ws("/", "v.data.source", "v.data.reference_kind")).alias("made_by"),
+        F.coalesce(at("v.data.forecast_run_at"), at("v.data.period_start"), at("v.data.current.valid_at")).alias("starts_at"),
+        at("v.data.period_end").alias("ends_at"), F.col("v.data.timezone").alias("timezone"),
+        safe_cast(F.try_element_at(hours, F.lit(1))["valid_at"], "timestamp").alias("first_valid_at"),
+        safe_cast(F.try_element_at(hours, F.lit(-1))["valid_at"], "timestamp").alias("last_valid_at"),
+        F.size(hours).alias("hourly_count"), *(total(x).alias(x) for x in PAYLOAD_SUMS),
+        F.size(F.filter(hours, lambda h: h["is_day"])).alias("is_day"),
+        F.when(days.isNotNull(), F.size(days)).cast("bigint").alias("daily_count"), F.to_date(one["date"]).alias("daily_date"),
+        *(one[d].alias(f"daily_{d}") for d in _DAILY_SUMS))
+
+
 # --------------------------------------------------------------------------- streaming
 def _every_topic_ok(status: dict) -> None:
     failed = {k: v for k, v in status.items() if v != "ok"}

@@ -28,6 +28,7 @@ from hindcast.schemas import (
     TYPE_MODEL_RUN,
     TYPE_OPERATIONAL,
     TYPE_VERIFICATION,
+    VERIFICATION_SERIES,
 )
 from hindcast.sources import formulas as fx
 from hindcast.sources.tables import read_table
@@ -36,10 +37,6 @@ from hindcast.sources.tables import read_table
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
-def _hours(n: int) -> Column:
-    return F.expr(f"make_dt_interval(0, {n}, 0, 0)")
-
-
 def _metrics(formulas: dict[str, str]) -> list[Column]:
     return [F.expr(formulas[m]).alias(m) for m in METRICS]
 
@@ -356,8 +353,11 @@ class Bridge:
     def geocoding(self) -> DataFrame:
         return geocoding_responses(self.customer, self.nation, self.region)
 
-    def responses(self) -> DataFrame:
-        return provider_responses(self.events, self.current_locations())
+    def responses(self, daily_defects: bool = False) -> DataFrame:
+        return provider_responses(self.events, self.current_locations(), daily_defects)
+
+    def verification_responses(self) -> DataFrame:
+        return verification_responses(self.events, self.current_locations())
 
 
 def geocoding_responses(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -378,11 +378,36 @@ def geocoding_responses(customer: DataFrame, nation: DataFrame, region: DataFram
                       F.to_json(F.struct(F.array(result).alias("results"))).alias("body"))
 
 
-def provider_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
+def _local_minute(instant) -> Column:
+    return F.date_format(F.from_utc_timestamp(instant, F.col("timezone")), "yyyy-MM-dd'T'HH:mm")
+
+
+def verification_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
+    """Landed reanalysis responses, one per (location, UTC day, version): the 13 series
+    that reanalysis has.  Defects on purpose: locations divisible by 23 omit ``rain``,
+    by 29 send a short ``snowfall`` series, by 43 repeat their first time."""
+    days = with_timezones(verification_events(events), locations)
+    loc = F.col("location_id")
+    less = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+
+    def series(m):
+        a = F.transform("hourly", lambda r: r[m].cast("bigint") if m == "is_day" else r[m])
+        a = F.when(loc % 23 != 0, a) if m == "rain" else F.when(loc % 29 == 0, less(a)).otherwise(a) if m == "snowfall" else a
+        return a.alias(m)
+
+    times = F.transform("hourly", lambda r: _local_minute(r["valid_at"]))
+    times = F.when((loc % 43 == 0) & (F.size(times) > 1), F.transform(times, lambda t, i: F.when(i == 1, times[0]).otherwise(t))).otherwise(times)
+    body = F.struct(F.col("timezone"), F.struct(times.alias("time"), *[series(m) for m in VERIFICATION_SERIES]).alias("hourly"))
+    return days.select("location_id", "retrieved_at", F.to_json(body).alias("body"))
+
+
+def provider_responses(events: DataFrame, locations: DataFrame, daily_defects: bool = False) -> DataFrame:
     """Landed provider responses, one per (location, UTC day): parallel arrays in
     the location's local wall time.  Defects on purpose: locations divisible by
     31 send a short ``wind_gusts_10m`` series, by 37 omit
-    ``precipitation_probability``, by 41 send ``is_day = 2`` first."""
+    ``precipitation_probability``, by 41 send ``is_day = 2`` first; with
+    ``daily_defects`` those divisible by 7 send no daily block, by 11 omit its
+    ``uv_index_max``, by 13 send a short ``sunrise``, by 17 a date that is none."""
     base = location_hours(events, verified_only=False).withColumn("s", F.lit(0))
     base = base.withColumn("h", F.hour("valid_at"))
     hours = base.select("location_id", "valid_at", *_metrics(fx.FORECAST_FORMULAS))
@@ -391,10 +416,16 @@ def provider_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
             .groupBy("location_id", "day")
             .agg(F.array_sort(F.collect_list(rec)).alias("rows"),
                  F.max("temperature_2m").alias("t_max"), F.min("temperature_2m").alias("t_min"),
-                 F.sum("precipitation").alias("p_sum")))
+                 F.max("apparent_temperature").alias("a_max"), F.min("apparent_temperature").alias("a_min"),
+                 F.sum("precipitation").alias("p_sum"), F.max("precipitation_probability").alias("pp_max"),
+                 F.count_if(F.col("precipitation") > 0).cast("double").alias("p_hours"),
+                 F.max("wind_speed_10m").alias("ws_max"), F.max("wind_gusts_10m").alias("wg_max"),
+                 F.max("weather_code").alias("wc_max")))
     days = with_timezones(days, locations)
     loc = F.col("location_id")
-    local = lambda c: F.date_format(F.from_utc_timestamp(c, F.col("timezone")), "yyyy-MM-dd'T'HH:mm")
+    local = _local_minute
+    broken = lambda n: F.lit(daily_defects) & (loc % n == 0)
+    no_doubles = F.array(F.lit(None).cast("double"))
 
     def series(m):
         s = F.transform("rows", lambda r: r[m].cast("bigint") if m == "is_day" else r[m])
@@ -408,6 +439,7 @@ def provider_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
 
     first = F.try_element_at("rows", F.lit(1))
     sunrise = F.when(loc % 4 != 0, F.col("day") + F.expr("make_dt_interval(0, 5, 45, 0)"))
+    sunset = F.when(loc % 4 != 0, F.col("day") + F.expr("make_dt_interval(0, 18, 0, 0)"))
     body = F.struct(
         F.col("timezone"),
         F.struct(local(first["valid_at"]).alias("time"), F.lit(900).alias("interval"),
@@ -415,10 +447,18 @@ def provider_responses(events: DataFrame, locations: DataFrame) -> DataFrame:
                  ).alias("current"),
         F.struct(F.transform("rows", lambda r: local(r["valid_at"])).alias("time"),
                  *[series(m) for m in METRICS]).alias("hourly"),
-        F.struct(F.array(F.date_format("day", "yyyy-MM-dd")).alias("time"),
-                 F.array("t_max").alias("temperature_2m_max"), F.array("t_min").alias("temperature_2m_min"),
-                 F.array("p_sum").alias("precipitation_sum"),
-                 F.array(local(sunrise)).alias("sunrise"),
-                 F.array(F.when(sunrise.isNotNull(), F.lit(44100.0))).alias("daylight_duration")).alias("daily"),
+        F.when(~broken(7), F.struct(
+            F.array(F.when(broken(17), F.lit("2024-13-01")).otherwise(F.date_format("day", "yyyy-MM-dd"))).alias("time"),
+            F.array("wc_max").alias("weather_code"),
+            F.array("t_max").alias("temperature_2m_max"), F.array("t_min").alias("temperature_2m_min"),
+            F.array("a_max").alias("apparent_temperature_max"), F.array("a_min").alias("apparent_temperature_min"),
+            F.array("p_sum").alias("precipitation_sum"), F.array("pp_max").alias("precipitation_probability_max"),
+            F.array("p_hours").alias("precipitation_hours"),
+            F.array("ws_max").alias("wind_speed_10m_max"), F.array("wg_max").alias("wind_gusts_10m_max"),
+            no_doubles.alias("wind_direction_10m_dominant"),
+            F.when(broken(13), F.array().cast("array<string>")).otherwise(F.array(local(sunrise))).alias("sunrise"),
+            F.array(local(sunset)).alias("sunset"),
+            F.array(F.when(sunrise.isNotNull(), F.lit(44100.0))).alias("daylight_duration"),
+            F.when(~broken(11), no_doubles).alias("uv_index_max"))).alias("daily"),
     )
     return days.select("location_id", F.col("day").alias("run_at"), F.to_json(body).alias("body"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.time import is_iso_date, wall_time_to_utc, with_valid_zone
-from hindcast.schemas import CURRENT_METRICS, METRICS
+from hindcast.schemas import CURRENT_METRICS, METRICS, VERIFICATION_SERIES
 
 # Provider series types (is_day arrives as 0/1).
 _SERIES_TYPE = {m: ("bigint" if m in ("weather_code", "is_day") else "double") for m in METRICS}
@@ -53,12 +53,12 @@ def parse_responses(responses: DataFrame, body_col: str = "body") -> DataFrame:
     return with_valid_zone(r, "timezone", flag="zone_ok")
 
 
-def hourly_violations(optional: list[str]) -> Column:
+def hourly_violations(optional: list[str], series: list[str] = METRICS) -> Column:
     """F18 + F17: non-empty times, every present series as long as the times,
-    required series present, ``is_day`` in {0, 1, NULL}, times parseable."""
+    required ones of ``series`` present, ``is_day`` in {0, 1, NULL}, times parseable."""
     n = F.size(F.coalesce(F.col("r.hourly.time"), F.array()))
     checks = [(n < 1, F.lit("empty_hourly_time")), (~F.col("zone_ok"), F.lit("unknown_timezone"))]
-    for m in METRICS:
+    for m in series:
         s = F.col(f"r.hourly.{m}")
         if m not in optional:
             checks.append((s.isNull(), F.lit(f"missing_series:{m}")))
@@ -71,14 +71,16 @@ def hourly_violations(optional: list[str]) -> Column:
 
 
 def daily_violations() -> Column:
-    """F11 + F18 for the daily block, where a response has one: at least one date, ISO dates, equal lengths,
-    times of sunrise and sunset that can be read."""
-    n = F.size(F.coalesce(F.col("r.daily.time"), F.array()))
-    checks = [(F.col("r.daily").isNotNull() & (n < 1), F.lit("empty_daily_time")), (F.exists(F.coalesce(F.col("r.daily.time"), F.array()), lambda d: ~is_iso_date(d)),
-               F.lit("invalid_daily_date"))]
+    """F11 + F18 for the daily block: at least one date (an absent block has none), ISO
+    dates, every series present and as long as the dates, times of sunrise and sunset
+    that can be read."""
+    dates = F.coalesce(F.col("r.daily.time"), F.array())
+    n = F.size(dates)
+    checks = [(n < 1, F.lit("empty_daily_time")), (F.exists(dates, lambda d: d.isNull() | ~is_iso_date(d)), F.lit("invalid_daily_date"))]
     for d in DAILY_SERIES:
         s = F.col(f"r.daily.{_daily_key(d)}")
-        checks.append((s.isNotNull() & (F.size(s) != n), F.lit(f"series_length:{d}")))
+        checks += [((n > 0) & s.isNull(), F.lit(f"missing_daily_series:{d}")),
+                   (s.isNotNull() & (F.size(s) != n), F.lit(f"daily_series_length:{d}"))]
         if d in ("sunrise", "sunset"):
             checks.append((F.exists(s, _unreadable), F.lit(f"invalid_daily_time:{d}")))
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), code) for c, code in checks]))
@@ -100,6 +102,20 @@ def with_violations(parsed: DataFrame, optional: list[str]) -> DataFrame:
     return parsed.withColumn("violations", F.concat(hourly_violations(optional), daily_violations(), current_violations()))
 
 
+def verification_violations() -> Column:
+    """F18 for reanalysis responses: hours alone, of 13 series, all required, at times
+    that strictly increase (P8)."""
+    times = F.transform(F.coalesce(F.col("r.hourly.time"), F.array()), lambda t: F.try_to_timestamp(t, F.lit(LOCAL_MINUTE)))
+    unordered = F.exists(F.transform(times, lambda t, i: F.when(i > 0, F.get(times, i - 1)) >= t), lambda x: F.coalesce(x, F.lit(False)))
+    return F.concat(hourly_violations([], VERIFICATION_SERIES),
+                    F.array_compact(F.array(F.when(unordered, F.lit("unordered_hourly_time")))))
+
+
+def verification_rows(valid: DataFrame, keep: list[str]) -> DataFrame:
+    """Reanalysis hours: the 13 series, and NULL for the metrics that reanalysis lacks."""
+    return hourly_rows(valid, keep)
+
+
 def _filled(col: str, n: Column, sql_type: str) -> Column:
     """A present series, or NULLs of the right length when it is absent."""
     return F.coalesce(F.col(col), F.array_repeat(F.lit(None).cast(sql_type), n))

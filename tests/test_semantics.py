@@ -211,10 +211,16 @@ def test_raw_rules_and_strict_batch(spark):
     assert RAW.strict(mapped.filter("kafka_offset <= 2")).count() == 2
 
 
+def _full_daily(**changed):
+    """A daily block of one day; ``changed`` series replace its own, None removes one."""
+    from hindcast.sources.response import DAILY_SERIES, _daily_key
+    d = {"time": ["2026-09-17"]} | {_daily_key(x): [None] for x in DAILY_SERIES}
+    d |= {"sunrise": ["2026-09-17T05:45"], "temperature_2m_max": [32.1]} | changed
+    return {k: v for k, v in d.items() if v is not None}
+
+
 def _resp(spark, hourly, tz="Asia/Jakarta"):
-    body = json.dumps({"timezone": tz, "hourly": hourly,
-                       "daily": {"time": ["2026-09-17"], "sunrise": ["2026-09-17T05:45"],
-                                 "temperature_2m_max": [32.1]}})
+    body = json.dumps({"timezone": tz, "hourly": hourly, "daily": _full_daily()})
     return spark.createDataFrame([(1, dt.datetime(2026, 9, 17, 6, 0), body)], "location_id int, run_at timestamp, "
                                                                               "body string")
 
@@ -257,18 +263,42 @@ def test_response_rejections(spark):
     assert codes(partial, opt) == ["series_length:precipitation_probability"]
     assert codes(bad_day, opt) == ["invalid_is_day"]
     def codes_of(**blocks):
+        blocks = {k: v for k, v in ({"daily": _full_daily()} | blocks).items() if v is not None}
         body = json.dumps({"timezone": "Asia/Jakarta", "hourly": _full_hourly(), **blocks})
         df = spark.createDataFrame([(1, body)], "location_id int, body string")
         return R.with_violations(R.parse_responses(df), opt).first()["violations"]
     assert codes_of() == []
-    assert codes_of(daily={"time": []}) == ["empty_daily_time"]
-    assert codes_of(daily={"time": ["2026-09-17"], "sunset": ["late"]}) == ["invalid_daily_time:sunset"]
+    assert codes_of(daily=None) == codes_of(daily={}) == ["empty_daily_time"]  # an absent block has no dates
+    assert codes_of(daily=_full_daily(sunset=["late"])) == ["invalid_daily_time:sunset"]
+    assert codes_of(daily=_full_daily(uv_index_max=None, precipitation_sum=[])) == [
+        "daily_series_length:precipitation_sum", "missing_daily_series:uv_index_max"]
+    assert codes_of(daily=_full_daily(time=["2026-09-17T00:00"])) == codes_of(daily=_full_daily(time=[None])) == ["invalid_daily_date"]
     assert codes_of(current={"interval": 900, "is_day": 3}) == ["invalid_current_time", "invalid_current_is_day"]
     assert codes_of(current={"time": "2026-09-17T13:15", "is_day": 1}) == []
     p = R.with_violations(R.parse_responses(_resp(spark, absent)), opt)
     assert R.hourly_rows(p, ["location_id"]).first()["precipitation_probability"] is None
 
 
+def test_verification_response_needs_its_13_series(spark):
+    from hindcast.schemas import METRICS, VERIFICATION_SERIES
+
+    def parsed(**changed):
+        h = {k: v for k, v in _full_hourly().items() if k == "time" or k in VERIFICATION_SERIES} | changed
+        body = json.dumps({"timezone": "Asia/Jakarta", "hourly": {k: v for k, v in h.items() if v is not None}})
+        p = R.parse_responses(spark.createDataFrame([(1, body)], "location_id int, body string"))
+        return p.withColumn("violations", R.verification_violations())
+    codes = lambda **c: parsed(**c).first()["violations"]
+    assert codes() == []
+    for m in VERIFICATION_SERIES:
+        assert codes(**{m: None}) == [f"missing_series:{m}"] and f"series_length:{m}" in codes(**{m: [1]})
+    same = ["2026-09-17T13:00"] * 2
+    assert codes(time=same) == codes(time=["2026-09-17T14:00", "2026-09-17T13:00"]) == ["unordered_hourly_time"]
+    assert codes(time=[]) [0] == "empty_hourly_time" and "invalid_time" in codes(time=["2026-09-17T13:00", "soon"])
+    rows = R.verification_rows(parsed(), ["location_id"]).orderBy("valid_at").collect()
+    assert [r.valid_at.hour for r in rows] == [6, 7]
+    assert all(rows[0][m] is None for m in METRICS if m not in VERIFICATION_SERIES) and rows[0]["rain"] == 1.0
+
+
 def test_empty_snapshot_refused(spark, tmp_path):
     empty = spark.createDataFrame([], "location_id long, open_meteo_location_id long, city string, country string, "
                                       "country_code string, latitude double, longitude double, timezone string, "
