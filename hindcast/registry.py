@@ -974,7 +974,7 @@ def q_event_records(spark, sf_dir):
 
 
 PAYLOAD_SUMS = [m for m in METRICS if m != "is_day"]
-_SUMS_SQL = ", ".join(f"sum({m}) as {m}" for m in PAYLOAD_SUMS) + ", count_if(is_day) as is_day"
+_SUMS_SQL = ", ".join(f"sum({m}) as {m}" for m in PAYLOAD_SUMS) + ", count(*) filter (where is_day) as is_day"
 _DAILY_SUMS = ["temperature_2m_max", "temperature_2m_min", "precipitation_sum", "precipitation_hours", "wind_gusts_10m_max",
                "daylight_duration_seconds"]
 
