@@ -44,7 +44,11 @@ PACKED = HASHES * BITS // 64
 #: Classes in one block when a bucket is searched pair by pair.
 BLOCK = 512
 STANDARD_ERRORS = 5
-WORDS_KEPT = 500_000
+#: Shingles hashed in one step, so that what it makes stays in a core's cache; bytes of
+#: text numbered in one step.
+HASHED_AT_A_TIME = 256
+PIECE = 1 << 18
+_WHITE = b" \t\n\x0b\f\r"
 
 BAND_COLUMNS = [f"b{n}" for n in range(BANDS)]
 BIT_COLUMNS = [f"s{n}" for n in range(PACKED)]
@@ -52,52 +56,88 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np
 
 
 class Shingles:
-    """Distinct word shingles of a text as sorted 64-bit numbers."""
+    """Distinct word shingles of a text as sorted 64-bit numbers.
 
-    def __init__(self, width: int, salt: int):
-        self.width, self.salt, self.words = width, salt.to_bytes(4, "little"), {}
+    A word's number is a polynomial of its bytes, made for all words of a text at once
+    from running sums: the sum of byte code x ``BASE``^place over the word, brought back
+    to place 0 by the inverse power."""
 
-    def _word(self, word: bytes) -> int:
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            known = self.words[word] = int.from_bytes(blake2b(word, digest_size=8, salt=self.salt).digest(), "little")
-        return known
+    def __init__(self, width: int, salt: int):
+        rng = np.random.default_rng(61 + salt)
+        self.width, self.codes = width, rng.integers(0, 2**64, 256, np.uint64)
+        self.base = int(rng.integers(0, 2**64, dtype=np.uint64)) | 1
+        self.powers = self.inverses = np.ones(0, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        """Powers for places up to ``n``."""
+        if len(self.powers) < n:
+            size = max(n, PIECE)
+            for name, base in (("powers", self.base), ("inverses", pow(self.base, -1, 2**64))):
+                setattr(self, name, np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)]))
+
+    def _words(self, raw: np.ndarray) -> np.ndarray:
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D))
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        self._reach(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.codes[raw] * self.powers[:len(raw)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverses[starts]
+        h = (h ^ (h >> np.uint64(32))) * _MIX[2]
+        return h ^ (h >> np.uint64(29))
+
+    def words(self, text: str) -> np.ndarray:
+        """The words' numbers in order; A-Z count as lower case.  Long texts are read in
+        pieces that end at white space."""
+        told = text.encode("utf-8").lower()  # changes A-Z only
+        if len(told) <= PIECE:
+            return self._words(np.frombuffer(told, np.uint8))
+        out, at = [], 0
+        while at < len(told):
+            end = min(at + PIECE, len(told))
+            while end < len(told) and told[end] not in _WHITE:
+                end += 1
+            out.append(self._words(np.frombuffer(told, np.uint8, end - at, at)))
+            at = end
+        return np.concatenate(out)
 
     def of(self, text: str) -> np.ndarray:
-        # bytes.lower() changes A-Z only; bytes.split() splits at \x20 and \x09-\x0D
-        words = text.encode("utf-8").lower().split()
-        h = np.fromiter(map(self._word, words), np.uint64, len(words))
-        if not words:
+        h = self.words(text)
+        if not len(h):
             return h
-        width = min(self.width, len(words))
+        width = min(self.width, len(h))
         out = np.full(len(h) - width + 1, width, np.uint64)
         for n in range(width):
             out = (out ^ h[n:len(h) - width + 1 + n]) * _MIX[0]
             out = (out ^ (out >> np.uint64(29))) * _MIX[1]
-        return np.unique(out)
+        out.sort()
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 class Sketch:
-    """Band keys and packed low bits of a set's minima."""
+    """Band keys and packed low bits of a set's minima.  The hash functions multiply the
+    upper halves of the shingles' numbers modulo 2^32, which a core does eight at a time;
+    the bits kept are the ninth and up, as a product's lowest hardly depend on the factor."""
 
     def __init__(self, salt: int):
         rng = np.random.default_rng(60 + salt)
-        self.times = rng.integers(0, 2**64, HASHES, np.uint64)[:, None] | np.uint64(1)
-        self.plus = rng.integers(0, 2**64, HASHES, np.uint64)[:, None]
+        self.times = rng.integers(0, 2**32, HASHES, np.uint32)[None, :] | np.uint32(1)
+        self.plus = rng.integers(0, 2**32, HASHES, np.uint32)[None, :]
         self.band_times = rng.integers(0, 2**64, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
         self.band_plus = rng.integers(0, 2**64, BANDS, np.uint64)
         self.shift = (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))[None, :]
 
     def of(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = np.full(HASHES, 2**64 - 1, np.uint64)
-        for at in range(0, len(shingles), 2048):
-            np.minimum(low, (self.times * shingles[None, at:at + 2048] + self.plus).min(axis=1), out=low)
-        low >>= np.uint64(32)
+        half, low = (shingles >> np.uint64(32)).astype(np.uint32)[:, None], np.full(HASHES, 2**32 - 1, np.uint32)
+        for at in range(0, len(half), HASHED_AT_A_TIME):
+            made = half[at:at + HASHED_AT_A_TIME] * self.times
+            made += self.plus
+            np.minimum(low, made.min(axis=0), out=low)
+        low = low.astype(np.uint64)
         keys = (low.reshape(BANDS, BAND_ROWS) * self.band_times).sum(axis=1) + self.band_plus
         keys = (keys ^ (keys >> np.uint64(31))) * _MIX[2]
-        bits = (low & np.uint64(2**BITS - 1)).reshape(PACKED, -1) << self.shift
+        bits = ((low >> np.uint64(8)) & np.uint64(2**BITS - 1)).reshape(PACKED, -1) << self.shift
         return keys, bits.sum(axis=1, dtype=np.uint64)
 
 
@@ -205,7 +245,7 @@ def _candidates(block: pd.DataFrame, percent: int):
     floor, chance, ones = floor_of(percent / 100), 1 / 2**BITS, np.uint64(int("1" * 16, 16))
     i, j = block["i"].iat[0], block["j"].iat[0]
     own, root, size = (block[x].to_numpy(np.int64) for x in ("own", "root", "n_shingles"))
-    bits = block[BIT_COLUMNS].to_numpy(np.int64).view(np.uint64)
+    bits = np.ascontiguousarray(block[BIT_COLUMNS].to_numpy(np.int64).T).view(np.uint64)
     bands = block[BAND_COLUMNS].to_numpy(np.int64)
     before = np.arange(BANDS) < int(np.argmax(bands[0] == block["key"].iat[0]))
     roots, counts = np.unique(root, return_counts=True)
@@ -219,11 +259,13 @@ def _candidates(block: pd.DataFrame, percent: int):
         at = np.flatnonzero(meets)
         if not len(at):
             continue
-        x = bits[at] ^ bits[k]
-        any_bit = x.copy()
-        for n in range(1, BITS):
-            any_bit |= x >> np.uint64(n)
-        unequal = np.bitwise_count(any_bit & ones).sum(axis=1)
+        x = bits[:, at] ^ bits[:, k, None]
+        shift = BITS // 2
+        while shift:  # a value's bits fall together into its lowest
+            x |= x >> np.uint64(shift)
+            shift //= 2
+        x &= ones
+        unequal = np.bitwise_count(x).sum(axis=0, dtype=np.int64)
         at = at[(1 - unequal / HASHES - chance) / (1 - chance) >= floor]
         at = at[~((bands[at] == bands[k]) & before).any(axis=1)]
         if len(at):
@@ -236,7 +278,9 @@ def across(spark: SparkSession, members: DataFrame, docs: DataFrame, classes: Da
     against block.  A first pass marks the rows that have a candidate; they get their
     full sets, and a second pass confirms in place, so that no pair but a link leaves a
     task however many come near the threshold."""
-    parts = stored(spark, dealt(members), "neardup-blocks")
+    # dealt to all tasks by count: the search is bound by comparisons, not by bytes
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = stored(spark, dealt(members), "neardup-blocks").repartition(n, "key", "i", "j")
 
     def mark(block: pd.DataFrame) -> pd.DataFrame:
         found: set[int] = set()
