@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -98,3 +99,51 @@ def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return texts(docs).join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "label", fold(F.col("doc_id")).alias("fold"), "text")
+
+
+class WordNumbers:
+    """64-bit numbers of a text's words, which \\x20 and \\x09-\\x0D part.
+
+    A word's number is a polynomial of its bytes, made for all words at once from running
+    sums: the sum of byte code x base^place over the word, brought back to place 0 by the
+    inverse power, and then mixed.  Long texts are read in pieces that end at white space."""
+
+    PIECE = 1 << 18
+    WHITE = b" \t\n\x0b\f\r"
+
+    def __init__(self, salt: int = 0):
+        rng = np.random.default_rng(61 + salt)
+        self.codes = rng.integers(0, 2**64, 256, np.uint64)
+        self.base = int(rng.integers(0, 2**64, dtype=np.uint64)) | 1
+        self.mix = rng.integers(0, 2**64, dtype=np.uint64) | np.uint64(1)
+        self.powers = self.inverses = np.ones(0, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = max(n, self.PIECE)
+            for name, base in (("powers", self.base), ("inverses", pow(self.base, -1, 2**64))):
+                setattr(self, name, np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)]))
+
+    def _piece(self, raw: np.ndarray) -> np.ndarray:
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D))
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        self._reach(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.codes[raw] * self.powers[:len(raw)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverses[starts]
+        h = (h ^ (h >> np.uint64(32))) * self.mix
+        return h ^ (h >> np.uint64(29))
+
+    def of(self, told: bytes) -> np.ndarray:
+        if len(told) <= self.PIECE:
+            return self._piece(np.frombuffer(told, np.uint8))
+        out, at = [], 0
+        while at < len(told):
+            end = min(at + self.PIECE, len(told))
+            while end < len(told) and told[end] not in self.WHITE:
+                end += 1
+            out.append(self._piece(np.frombuffer(told, np.uint8, end - at, at)))
+            at = end
+        return np.concatenate(out)

@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hindcast.llm.common import map_texts, stored, texts
+from hindcast.llm.common import WordNumbers, map_texts, stored, texts
 from hindcast.llm.graph import components
 from hindcast.sources.tables import read_table
 
@@ -44,11 +44,8 @@ PACKED = HASHES * BITS // 64
 #: Classes in one block when a bucket is searched pair by pair.
 BLOCK = 512
 STANDARD_ERRORS = 5
-#: Shingles hashed in one step, so that what it makes stays in a core's cache; bytes of
-#: text numbered in one step.
+#: Shingles hashed in one step, so that what it makes stays in a core's cache.
 HASHED_AT_A_TIME = 256
-PIECE = 1 << 18
-_WHITE = b" \t\n\x0b\f\r"
 
 BAND_COLUMNS = [f"b{n}" for n in range(BANDS)]
 BIT_COLUMNS = [f"s{n}" for n in range(PACKED)]
@@ -56,54 +53,13 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np
 
 
 class Shingles:
-    """Distinct word shingles of a text as sorted 64-bit numbers.
-
-    A word's number is a polynomial of its bytes, made for all words of a text at once
-    from running sums: the sum of byte code x ``BASE``^place over the word, brought back
-    to place 0 by the inverse power."""
+    """Distinct word shingles of a text as sorted 64-bit numbers."""
 
     def __init__(self, width: int, salt: int):
-        rng = np.random.default_rng(61 + salt)
-        self.width, self.codes = width, rng.integers(0, 2**64, 256, np.uint64)
-        self.base = int(rng.integers(0, 2**64, dtype=np.uint64)) | 1
-        self.powers = self.inverses = np.ones(0, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        """Powers for places up to ``n``."""
-        if len(self.powers) < n:
-            size = max(n, PIECE)
-            for name, base in (("powers", self.base), ("inverses", pow(self.base, -1, 2**64))):
-                setattr(self, name, np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)]))
-
-    def _words(self, raw: np.ndarray) -> np.ndarray:
-        inside = np.zeros(len(raw) + 2, np.int8)
-        inside[1:-1] = (raw != 0x20) & ((raw < 0x09) | (raw > 0x0D))
-        edges = np.flatnonzero(np.diff(inside))
-        starts, ends = edges[::2], edges[1::2]
-        self._reach(len(raw))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.codes[raw] * self.powers[:len(raw)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inverses[starts]
-        h = (h ^ (h >> np.uint64(32))) * _MIX[2]
-        return h ^ (h >> np.uint64(29))
-
-    def words(self, text: str) -> np.ndarray:
-        """The words' numbers in order; A-Z count as lower case.  Long texts are read in
-        pieces that end at white space."""
-        told = text.encode("utf-8").lower()  # changes A-Z only
-        if len(told) <= PIECE:
-            return self._words(np.frombuffer(told, np.uint8))
-        out, at = [], 0
-        while at < len(told):
-            end = min(at + PIECE, len(told))
-            while end < len(told) and told[end] not in _WHITE:
-                end += 1
-            out.append(self._words(np.frombuffer(told, np.uint8, end - at, at)))
-            at = end
-        return np.concatenate(out)
+        self.width, self.words = width, WordNumbers(salt)
 
     def of(self, text: str) -> np.ndarray:
-        h = self.words(text)
+        h = self.words.of(text.encode("utf-8").lower())  # changes A-Z only
         if not len(h):
             return h
         width = min(self.width, len(h))

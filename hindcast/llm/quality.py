@@ -2,13 +2,14 @@
 network of two layers with temperature-calibrated probabilities.
 
 Learning, on at most ``FIT_ROWS`` labelled rows outside the held-out fold:
-1. The vocabulary is the ``VOCABULARY`` items that most texts of the sample hold.  A
-   word gives two items, its letters in lower case and its shape (capitals, digits,
+1. A word gives two items, its letters in lower case and its shape (capitals, digits,
    signs); a pair of words gives one of two marks, new or seen before in the text.
 2. Every item has a sparse random index vector, which follows from a hash of the item.
-   Its word vector sums the index vectors of the items within two words to either
-   side, over the sample, made one unit long, plus its own index vector.
-3. A document's vector is the mean of its items' vectors.  The network (one hidden
+   The ``VOCABULARY`` items that most texts of the sample hold also get a context
+   vector, the sum of the index vectors of the items within two words to either side,
+   over the sample, made one unit long; it is added to their index vector.  An item
+   beyond them is its index vector alone.
+3. A document's vector is the mean of the vectors of all its items.  The network (one hidden
    layer) is fitted on two folds by gradient steps; its temperature on the third.
 
 Rows: null and empty texts have the vector of zeros; without labels, or with one class
@@ -21,13 +22,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hindcast.llm.common import held_out, labelled, map_texts, ship_code, slices, stored, texts
+from hindcast.llm.common import WordNumbers, held_out, labelled, map_texts, ship_code, slices, stored, texts
 from hindcast.sources.tables import read_table
 
 FIT_ROWS = 8000
@@ -38,63 +39,151 @@ REACH = 2
 VECTOR_TASKS = 8
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 CALIBRATION_FOLD = 3
-WORDS_KEPT = 500_000
+#: Words that a task keeps in its table; characters of text that it takes together.
+WORDS_KEPT, CHARS_AT_A_TIME = 200_000, 1_000_000
 THRESHOLD = 0.7
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NEW, SEEN = "<new>", "<seen>"
 
 
+class _Classes(dict):
+    """Letters of a shape by code point, filled as they are met."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = kind = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        return kind
+
+
+_CLASSES = _Classes()
+
+
 def shape(word: str) -> str:
-    s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:32])
-    return "s:" + re.sub(r"(.)\1+", r"\1", s)[:6]
+    """Its classes of characters, runs as one."""
+    if word.isalpha() and word.islower():
+        return "s:a"
+    if word[:-1].isalpha() and word[:-1].islower() and word[-1] in ",.":
+        return "s:a" + word[-1]
+    return "s:" + "".join(k for k, _ in groupby(word.translate(_CLASSES)))
 
 
 def items(word: str) -> tuple[str, str]:
-    return "w:" + _EDGE.sub("", word.lower())[:32], shape(word)
+    bare = word.lower()
+    if not (bare[:1].isalnum() and bare[-1:].isalnum()):
+        bare = _EDGE.sub("", bare)
+    return "w:" + bare, shape(word)
+
 
+_ITEM_NUMBERS = WordNumbers()
 
-def index_vector(item: str) -> np.ndarray:
-    rng = np.random.default_rng(int.from_bytes(blake2b(item.encode(), digest_size=8).digest(), "little"))
-    out = np.zeros(DIMENSIONS)
-    out[rng.choice(DIMENSIONS, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO) / NONZERO**0.5
+
+def index_places(told: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of items' sparse index vectors, from 64-bit numbers of the items
+    (which hold no white space): a byte for each place, a bit of their mix for each sign."""
+    h = _ITEM_NUMBERS.of("\n".join(told).encode("utf-8", "surrogatepass"))
+    signs = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - NONZERO)
+    signs = (signs[:, None] >> np.arange(NONZERO, dtype=np.uint64)) & np.uint64(1)
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NONZERO] % DIMENSIONS, (signs * 2.0 - 1) / NONZERO**0.5
+
+
+def index_vectors(told: list[str]) -> np.ndarray:
+    out = np.zeros((len(told), DIMENSIONS))
+    places, values = index_places(told)
+    np.add.at(out, (np.arange(len(told))[:, None], places), values)
     return out
 
 
 class Reader:
-    """Numbers of a text's items; items beyond the vocabulary have number -1."""
+    """Items of texts by number; those beyond the vocabulary have number -1 and their
+    index vectors' places.  A word is looked at once; the table of words is begun anew
+    when it is full."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.words = vocabulary, {}
-
-    def _word(self, word: str) -> tuple[int, int]:
-        known = self.words.get(word)
-        if known is None:
-            a, b = items(word)
-            known = (self.vocabulary.get(a, -1), self.vocabulary.get(b, -1))
+        self.vocabulary = vocabulary
+        self._begin()
+
+    def _begin(self) -> None:
+        self.words: dict[str, int] = {}
+        self.numbers = np.zeros((0, 2), np.int64)
+        self.places = np.zeros((0, 2, NONZERO), np.uint8)
+        self.values = np.zeros((0, 2, NONZERO), np.float32)
+
+    def _meet(self, fresh: list[str]) -> None:
+        """Put words into the table, whose arrays double as they fill."""
+        at, get = len(self.words), self.vocabulary.get
+        both = [i for w in fresh for i in items(w)]
+        numbers = np.array([get(i, -1) for i in both], np.int64)
+        places, values = np.zeros((len(both), NONZERO), np.uint8), np.zeros((len(both), NONZERO))
+        beyond = np.flatnonzero(numbers < 0)
+        places[beyond], values[beyond] = index_places([both[k] for k in beyond.tolist()])
+        end = at + len(fresh)
+        if end > len(self.numbers):
+            size = max(end, 2 * len(self.numbers))
+            for name in ("numbers", "places", "values"):
+                old = getattr(self, name)
+                new = np.zeros((size, *old.shape[1:]), old.dtype)
+                new[:at] = old[:at]
+                setattr(self, name, new)
+        self.numbers[at:end] = numbers.reshape(-1, 2)
+        self.places[at:end] = places.reshape(-1, 2, NONZERO)
+        self.values[at:end] = values.reshape(-1, 2, NONZERO)
+        self.words.update(zip(fresh, range(at, end)))
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Rows of the table of words."""
+        distinct = set(words)
+        fresh = distinct.difference(self.words)
+        if fresh:
             if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            self.words[word] = known
-        return known
+                self._begin()
+                fresh = distinct
+            self._meet(list(fresh))
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     def pairs(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.words.get, words))
-        if None in found:
-            found = list(map(self._word, words))
-        return np.array(found, np.int64).reshape(-1, 2)
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Numbers, how often each occurs, and items in all."""
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        flat = self.pairs(words).ravel()
-        new = len(set(zip(words, words[1:])))
-        numbers, times = np.unique(flat[flat >= 0], return_counts=True)
-        marks = [(self.vocabulary.get(m, -1), n) for m, n in ((NEW, new), (SEEN, len(words) - 1 - new))]
-        marks = [(k, n) for k, n in marks if k >= 0 and n]
-        numbers = np.concatenate([numbers, np.array([k for k, _ in marks], np.int64)])
-        return numbers, np.concatenate([times, [n for _, n in marks]]), 3 * len(words)
+        """word x item numbers of a text."""
+        ids = self.ids(words)
+        return self.numbers[ids].reshape(-1, 2)
+
+    def pooled(self, told: list[str], vectors: np.ndarray) -> np.ndarray:
+        """The texts' vectors, a row each: means over all items.  Texts are taken
+        together up to ``CHARS_AT_A_TIME``."""
+        out, at = np.zeros((len(told), DIMENSIONS)), 0
+        while at < len(told):
+            end, chars = at + 1, len(told[at])
+            while end < len(told) and chars + len(told[end]) <= CHARS_AT_A_TIME:
+                chars += len(told[end])
+                end += 1
+            out[at:end] = self._pooled([t.split() for t in told[at:end]], vectors)
+            at = end
+        return out
+
+    def _pooled(self, words: list[list[str]], vectors: np.ndarray) -> np.ndarray:
+        rows, lengths = len(words), np.array([len(w) for w in words])
+        ids = self.ids([x for w in words for x in w])
+        if not len(ids):
+            return np.zeros((rows, DIMENSIONS))
+        row = np.repeat(np.arange(rows), lengths)
+        both = self.numbers[ids]
+        flat, of = both.ravel(), np.repeat(row, 2)
+        known, size = flat >= 0, len(vectors)
+        counts = np.bincount(of[known] * size + flat[known], minlength=rows * size).reshape(rows, size).astype(float)
+        # a pair of words of one text is new or has been seen there before
+        inside = row[1:] == row[:-1]
+        width = len(self.words)
+        pairs = np.sort(((row[1:] * width + ids[:-1]) * width + ids[1:])[inside])
+        first = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+        new = np.bincount(first // width**2, minlength=rows)
+        for mark, n in ((NEW, new), (SEEN, np.maximum(lengths - 1, 0) - new)):
+            if mark in self.vocabulary:
+                counts[:, self.vocabulary[mark]] += n
+        out = counts @ vectors
+        rare = (both < 0).any(axis=1)
+        if rare.any():  # items of words beyond the vocabulary: their index vectors
+            cell = row[rare, None, None] * DIMENSIONS + self.places[ids[rare]]
+            out += np.bincount(cell.ravel(), self.values[ids[rare]].ravel(), rows * DIMENSIONS).reshape(rows, DIMENSIONS)
+        return out / np.maximum(3 * lengths, 1)[:, None]
 
 
 class Network:
@@ -147,18 +236,13 @@ class Model:
         self.vocabulary, self.vectors, self.net, self.share = vocabulary, vectors, net, share
 
 
-def pooled(reader: Reader, vectors: np.ndarray, text: str) -> np.ndarray:
-    numbers, times, n = reader.counts(text)
-    return times @ vectors[numbers] / n if n else np.zeros(vectors.shape[1])
-
-
 def _vocabulary(sample: DataFrame) -> dict[str, int]:
     def run(batches):
         seen: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 seen.update({i for w in set(text.split()) for i in items(w)})
-        told = [(i, n) for i, n in seen.items() if n > 1]
+        told = list(seen.items())
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in told], pa.string()), pa.array([n for _, n in told], pa.int64())],
                                          names=["item", "n"])
 
@@ -172,7 +256,7 @@ def _vectors(sample: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     size = len(vocabulary)
 
     def run(batches):
-        reader, index = Reader(vocabulary), np.array([index_vector(i) for i in vocabulary])
+        reader, index = Reader(vocabulary), index_vectors(list(vocabulary))
         out = np.zeros((size, DIMENSIONS))
         for batch in slices(batches):
             codes = []
@@ -197,7 +281,7 @@ def _vectors(sample: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     total = np.zeros((size, DIMENSIONS))
     for r in rows:
         total += np.frombuffer(bytes(r.matrix), "<f8").reshape(size, DIMENSIONS)
-    index = np.array([index_vector(i) for i in vocabulary])
+    index = index_vectors(list(vocabulary))
     return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) + index
 
 
@@ -217,7 +301,7 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int =
 
         def work(batch):
             return {"label": batch.column("label"), "fold": batch.column("fold"),
-                    "x": [pooled(reader, vectors, t) for t in batch.column("text").to_pylist()]}
+                    "x": list(reader.pooled(batch.column("text").to_pylist(), vectors))}
         return work
 
     rows = map_texts(sample.select("label", "fold", "text"), make, "label int, fold long, x array<double>").collect()
@@ -234,7 +318,7 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int =
 def scores(model: Model, reader: Reader, told: list[str]) -> list[float]:
     if model.net is None or not told:
         return [model.share] * len(told)
-    return model.net.scores(np.array([pooled(reader, model.vectors, t) for t in told])).tolist()
+    return model.net.scores(reader.pooled(told, model.vectors)).tolist()
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -142,3 +142,37 @@ def test_temperature_lowers_overconfidence():
     truth = rng.normal(0, 1.5, 4000)
     y = (rng.random(4000) < 1 / (1 + np.exp(-truth))).astype(float)
     assert Q.temperature(4 * truth, y) == pytest.approx(4, rel=0.25)
+
+
+def test_pooled_vectors_against_single_items(monkeypatch):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdéßA") for _ in range(r.randint(1, 6))) + r.choice(["", "", ",", ".", "9", "--"]) for _ in range(80)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(30)] + ["", "x", "x x x", "-- ### $$", "w" * 3000]
+    held = sorted({i for w in words[:30] for i in Q.items(w)})
+    vocabulary = {i: n for n, i in enumerate([Q.NEW, Q.SEEN, *held])}
+    vectors = np.random.default_rng(1).normal(size=(len(vocabulary), Q.DIMENSIONS))
+
+    def by_hand(text):
+        total, seen, w = np.zeros(Q.DIMENSIONS), set(), text.split()
+        for k, x in enumerate(w):
+            for i in Q.items(x):
+                total += vectors[vocabulary[i]] if i in vocabulary else Q.index_vectors([i])[0]
+            if k:
+                total += vectors[vocabulary[Q.SEEN if (w[k - 1], x) in seen else Q.NEW]]
+                seen.add((w[k - 1], x))
+        return total / max(1, 3 * len(w))
+    want = np.array([by_hand(t) for t in texts])
+    assert np.allclose(Q.Reader(vocabulary).pooled(texts, vectors), want)
+    assert abs(want[-1]).sum() > 0  # a word that no vocabulary holds counts, whatever its length
+    for bound, value in (("CHARS_AT_A_TIME", 40), ("WORDS_KEPT", 3)):
+        monkeypatch.setattr(Q, bound, value)
+        assert np.allclose(Q.Reader(vocabulary).pooled(texts, vectors), want)
+
+
+def test_index_vectors_are_sparse_and_their_own():
+    names = [f"w:{n}" for n in range(500)]
+    x = Q.index_vectors(names)
+    assert ((x != 0).sum(axis=1) <= Q.NONZERO).all() and (abs(x).sum(axis=1) > 0).all()
+    assert len({row.tobytes() for row in x}) == 500 and (x == np.vstack([Q.index_vectors([n]) for n in names])).all()
+    angles = (x @ x.T)[np.triu_indices(500, 1)]
+    assert abs(angles.mean()) < 0.02
