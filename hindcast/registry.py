@@ -1012,8 +1012,12 @@ def q_event_payloads(spark, sf_dir):
     from hindcast.schemas import metric_sql_type
     from hindcast.sources.landing import read_landed
     from hindcast.sources.logs import log_records
+    from hindcast.streaming.io import scratch_root
     m = _marts(spark, sf_dir)
-    snaps = L.decode_latest_events(log_records(read_landed(spark, sf_dir, "operational_forecast_events")))
+    # the three kinds of rows are read from one typed table, so each record is parsed once
+    root = scratch_root(spark, "snapshots")
+    L.decode_latest_events(log_records(read_landed(spark, sf_dir, "operational_forecast_events"))).write.parquet(root)
+    snaps = spark.read.parquet(root)
     keys = EV.SNAPSHOT_KEYS
     operational = EV.assemble_operational_events(snaps.select(*keys, "timezone", "current"), snaps.select(*keys, F.inline("hourly")),
                                                  snaps.select(*keys, F.inline("daily")))
