@@ -6,19 +6,23 @@ lowered the more of them are links, relative to the share of links in the body.
 node's density sum adds the densities of its children (its own text counts as one).
 The least density on the path from the body to the node with the greatest sum is the
 threshold.  From the body down, every node that reaches it gives the subtree of the
-greatest sum within it; these subtrees together, in page order, are the main text.
+greatest sum within it; these subtrees together, in page order, are the main text,
+without boxes beside them whose sum is under a tenth of the greatest, and without
+boxes inside them that miss the threshold and are links for the greater part.
 Where the greatest of all stands in an ``article`` or ``main``, the page itself says
 where its text is: only subtrees in such nodes count, each grown to the outermost one
 that reaches the threshold.
 
 Nodes that are no article by their tag, role or class (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) leave the tree
-first; where that would take every article or first heading, as when an end tag is
+first, as prose in an advert or a comment has the density of an article's.  A class
+says so only if all its parts are such names or words of layout (``cookie-notice``,
+``comment-list``; not ``comment-on-law``), and an article's own header stays.  Where that would take every article or first heading, as when an end tag is
 missing, articles inside them stay.  Paragraphs, list items and table parts end where the next one begins.
 
 Text: character references are decoded, white space inside a block becomes one space,
 blocks are joined by one space in page order.  Null html counts as empty and gives
-empty text; repeated rows get equal results; an empty table gives no rows; columns
+empty text; of equal density sums the first node in page order counts; repeated rows get equal results; an empty table gives no rows; columns
 other than ``page_id``, ``url`` and ``html`` are ignored.
 """
 
@@ -46,7 +50,7 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = set("ul ol dl table div article section main body nav aside footer header form".split())
 _AFTER_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                "hgroup hr main menu nav ol p pre section table ul".split())
-_NOT_TEXT = set("head script style noscript template nav header footer aside form button select textarea option iframe svg "
+_NOT_TEXT = set("head script style noscript template nav footer aside form button select textarea option iframe svg "
                 "math object canvas dialog menu menuitem audio video map".split())
 _NOT_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NOT_NAMES = set("ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion "
@@ -54,14 +58,32 @@ _NOT_NAMES = set("ad ads adv advert adverts advertisement advertisements adsense
                  "sidebar aside widget widgets related recommended recommendations share sharing social newsletter subscribe "
                  "signup login menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead topbar "
                  "footer copyright toolbar form".split())
+#: Words of layout, which beside such a name leave its meaning.
+_LAYOUT = set("area block body bottom box container content fixed group holder inner item items left level links list main "
+              "outer page panel post primary reader right row secondary section site slot sticky thread top unit user wrap wrapper".split())
+#: Names of a header, which belongs to the text inside an article.
+_HEADER_NAMES = {"header", "masthead"}
 _ARTICLE = {"article", "main"}
+#: Tags that hold text of their own; the other blocks are boxes.
+_TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption caption td th tr tbody thead tfoot".split())
+LEAST_SHARE = 0.1
+
+
+def _no_article(value: str, in_article: bool) -> bool:
+    """Whether a class or id names a part that is no article."""
+    for name in value.split():
+        parts = {x for x in re.split(r"[^a-z]+", name) if x}
+        named = parts & _NOT_NAMES - (_HEADER_NAMES if in_article else set())
+        if named and parts <= _NOT_NAMES | _LAYOUT:
+            return True
+    return False
 
 
 class Page:
     """The tree as lists by node; node 0 is the body."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.dropped = ["body"], [-1], [False]
+        self.tag, self.parent, self.dropped, self.in_article = ["body"], [-1], [False], [False]
         self.parts: list[tuple[int, str]] = []  # (node, text) in page order; blanks part blocks
         stack, at = [0], 0
         while True:
@@ -99,6 +121,7 @@ class Page:
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.dropped.append(False)
+        self.in_article.append(self.in_article[stack[-1]] or name in _ARTICLE)
         self._mark(len(self.tag) - 1, name, attributes)
         if not attributes.rstrip().endswith("/") or name not in ("svg", "path"):
             stack.append(len(self.tag) - 1)
@@ -121,14 +144,13 @@ class Page:
                 return
 
     def _mark(self, node: int, name: str, attributes: str) -> None:
-        if node and name in _NOT_TEXT:
+        if node and (name in _NOT_TEXT or name == "header" and not self.in_article[node]):
             self.dropped[node] = True
         if not node or not attributes or name in _ARTICLE and "=" not in attributes:
             return
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
-            names = set(re.split(r"[^a-z]+", value))
-            if (key in ("class", "id") and names & _NOT_NAMES or key == "role" and value in _NOT_ROLES or key == "hidden"
+            if (key in ("class", "id") and _no_article(value, self.in_article[node]) or key == "role" and value in _NOT_ROLES or key == "hidden"
                     or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value)):
                 self.dropped[node] = True
 
@@ -193,6 +215,7 @@ class Page:
             path.append(self.parent[path[-1]])
         threshold = min(each[n] for n in path)
         wide = [n for n in path if self.tag[n] in _ARTICLE]
+        least = LEAST_SHARE * total[path[0]]
         outer = [-1] * size  # the outermost article or main that reaches the threshold
         found = set(wide[-1:])
         inside = [False] * size
@@ -203,11 +226,17 @@ class Page:
             if inside[n] or self.dropped[n] or n and not each[n] or each[n] < threshold:
                 continue
             if not wide:
-                found.add(top[n])
-                inside[n] = top[n] == n
+                if self.tag[n] in _TEXT_TAGS or total[top[n]] >= least:
+                    found.add(top[n])
+                    inside[n] = top[n] == n
             elif outer[n] == n:
                 found.add(n)
                 inside[n] = True
+        linked = [False] * size  # in a box that misses the threshold and is mostly links
+        for n in range(1, size):
+            box = self.tag[n] not in _INLINE and self.tag[n] not in _TEXT_TAGS and n not in path
+            linked[n] = linked[self.parent[n]] or box and each[n] < threshold and 2 * link_chars[n] > chars[n]
+            self.dropped[n] = self.dropped[n] or linked[n]
         return found
 
     def text(self, nodes: set[int]) -> str:

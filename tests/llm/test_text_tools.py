@@ -219,6 +219,34 @@ def test_main_text_in_sibling_blocks():
     assert H.main_text(f"<body>{links}{article}<article>{part('two', 8)}</article></body>") == want
 
 
+def test_main_text_keeps_sections_by_what_their_class_means():
+    names = ["social-history", "form-factor", "notice-period", "related-work", "menu-card", "share-prices", "comment-on-law",
+             "header-text", "banner-years", "widget-makers"]
+    body = lambda k: f"<p>{' '.join(f'word{k}x{i}' for i in range(40))}.</p>"
+    bare = lambda k: f"{' '.join(f'word{k}x{i}' for i in range(40))}."
+    for name in names:
+        page = f'<body><article><h1>Head</h1>{body(1)}<section class="{name}">{body(2)}</section>{body(3)}</article></body>'
+        assert H.main_text(page) == " ".join(["Head", bare(1), bare(2), bare(3)]), name
+    for name in ["cookie-notice", "comment-list", "ad", "site-footer", "user-comments", "sidebar right"]:
+        page = f'<body><article><h1>Head</h1>{body(1)}<div class="{name}">{body(2)}</div>{body(3)}</article></body>'
+        assert H.main_text(page) == " ".join(["Head", bare(1), bare(3)]), name
+    page = f"<body><header><p>Site name</p></header><article><header><h1>Head</h1>{body(1)}</header>{body(2)}</article></body>"
+    assert H.main_text(page) == " ".join(["Head", bare(1), bare(2)])
+
+
+def test_main_text_link_boxes_and_small_boxes_go():
+    body = lambda k: f"<p>{' '.join(f'word{k}x{i}' for i in range(60))}.</p>"
+    links = "<div>" + "".join(f'<ul><li><a href="/{k}">some link {k}</a></li></ul>' for k in range(40)) + "</div>"
+    want = " ".join(f"{' '.join(f'word{k}x{i}' for i in range(60))}." for k in range(4))
+    paragraphs = "".join(body(k) for k in range(4))
+    assert H.main_text(f"<body><article>{paragraphs}{links}</article></body>") == want
+    assert H.main_text(f"<body><div>{paragraphs}{links}</div></body>") == want
+    box = "<div>Buy a new car here today.</div>"  # prose in a plain box, told only by its sum
+    assert H.main_text(f"<body>{box}<div><div>{paragraphs}</div></div>{box}</body>") == want
+    cited = '<ul><li>A book of its time, by one who knew, see <a href="/b">there</a></li></ul>'
+    assert H.main_text(f"<body><article>{paragraphs}{cited}</article></body>") == want + " A book of its time, by one who knew, see there"
+
+
 def test_main_text_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "x"), (1, "u", "<p>a b</p>", "y"), (None, None, None, "z")],
                                   "page_id long, url string, html string, text string")
