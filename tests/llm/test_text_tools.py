@@ -254,3 +254,11 @@ def test_main_text_rows(spark):
         *[H.extracted(pages).where("page_id = 1").first()] * 2, H.extracted(pages).where("page_id is null").first()]))
     assert H.extracted(pages).where("page_id is null").first().text == ""
     assert H.extracted(pages.limit(0)).count() == 0
+
+
+def test_lowest_keys_are_those_of_a_sort(spark):
+    keys = [hashlib.blake2b(str(n).encode(), digest_size=12).hexdigest() for n in range(5000)] + ["000" + "f" * 21] * 3
+    rows = spark.createDataFrame([(k,) for k in keys], "key string")
+    for limit in (1, 7, 2000, 5003, 9000):
+        assert [r.key for r in S._lowest(rows, limit)] == sorted(keys)[:limit], limit
+    assert S._lowest(rows.limit(0), 5) == []
