@@ -5,10 +5,12 @@ Each text gives a vector of four statistics: the arcsine root of the shares of
 symbols, capitals and sentence marks in its word characters, and the logarithm of the
 mean word length.  Shares and means of short texts scatter more, so deviations from
 the group's median shrink by sqrt(n / (n + 100)) of n words.  Within a group the
-estimate starts from the three quarters of rows that are nearest to the median in
-units of the median deviation; concentration steps then take mean and covariance of
-the chosen rows and choose again those of least Mahalanobis distance.  The covariance
-is scaled so that the median distance is that of a normal sample, and a small variance
+estimate has three starts, run side by side: the three quarters of rows nearest to the
+median in units of the median deviation, by the sum of squares or by the largest one, and
+all rows.  Concentration steps take mean and covariance of the chosen rows and choose
+again the three quarters of least Mahalanobis distance, until no determinant falls any
+more (``STEPS`` at most); a group keeps the start of least determinant, of equal ones the
+first.  Rows at the edge's distance all count as chosen.  The covariance is scaled so that the median distance is that of a normal sample, and a small variance
 is added to each statistic, as some (symbols) hardly vary among good texts.  Rows
 beyond the cut-off are rejected.
 
@@ -17,8 +19,10 @@ writes one row of numbers for each document; groups are only ever aggregated (su
 percentile sketches), so a source with a third of all rows is combined before the
 shuffle, and parameters return to the rows by an equi-join that can split.
 
-Groups under ``LEAST_ROWS`` rows are pooled within their language; a pool under that
-size gives no verdict, and its rows are kept if the base rules keep them.  Null
+Groups under ``LEAST_ROWS`` rows are pooled within their language, and languages whose
+pool is under that size in one pool of the whole corpus.  Only if that pool, too, is
+smaller, so for under ``LEAST_ROWS`` rows in all, is there no estimate; the base rules
+alone then decide.  Null
 language or source counts as an empty one.  Null and empty texts have no words and
 fail the base rules.  Repeated rows get equal results; an empty table gives no rows;
 columns other than ``doc_id``, ``text``, ``lang`` and ``source`` are ignored.
@@ -34,7 +38,9 @@ from hindcast.sources.tables import read_table
 LEAST_ROWS = 50
 FEW_GROUPS = 20_000
 KEPT_SHARE = 0.75
-STEPS = 3
+STEPS = 6
+#: Least fall of the logarithm of a determinant that calls for another step.
+FALL = 1e-3
 SHRINK_WORDS = 100
 #: Squared distance of rejection, the chi-square quantile of 4 degrees at 1 - 6e-10.
 CUT_OFF = 50.0
@@ -132,17 +138,50 @@ def _settled(spark: SparkSession, groups: DataFrame, name: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, groups.schema))
 
 
+def _sizes(numbers: DataFrame) -> DataFrame:
+    """Small groups with the pool they fall to: their language's, or the corpus's."""
+    sizes = numbers.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < LEAST_ROWS)
+    pools = sizes.groupBy("lang_key").agg((F.sum("n") < LEAST_ROWS).alias("wide"))
+    return sizes.join(pools, "lang_key").select(*GROUP, "wide")
+
+
 def _pooled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows whose group is small get their language's pool as a group."""
-    small = sizes.where(F.col("n") < LEAST_ROWS).select(*GROUP, F.lit(True).alias("small"))
-    return rows.join(small, GROUP, "left").withColumn(
-        "source_key", F.when(F.col("small"), F.lit("\u0000pool")).otherwise(F.col("source_key"))).drop("small")
+    """Rows whose group is small get their pool as a group."""
+    pool = F.lit("\u0000pool")
+    return rows.join(sizes, GROUP, "left").withColumns({
+        "source_key": F.when(F.col("wide").isNotNull(), pool).otherwise(F.col("source_key")),
+        "lang_key": F.when(F.col("wide"), pool).otherwise(F.col("lang_key"))}).drop("wide")
+
+
+def _concentrated(spark: SparkSession, rows: DataFrame, spread: DataFrame) -> DataFrame:
+    """Moments t*, c** of each group's subset of least determinant."""
+    runs = [*GROUP, "start"]
+    units = [((F.col(x) - F.col(f"m{i}")) / (1.4826 * F.col(f"d{i}") + FLOORS[i])) ** 2 for i, x in enumerate(VECTOR)]
+    starts = F.array(sum(units, F.lit(0.0)), F.greatest(*units), F.lit(0.0))
+    ranked = rows.join(spread, GROUP).select(*GROUP, *VECTOR, F.posexplode(starts).alias("start", "distance"))
+    before = None
+    for _ in range(STEPS):
+        edge = _settled(spark, ranked.groupBy(*runs).agg(F.percentile_approx("distance", KEPT_SHARE, 1000).alias("edge")), "rules-edge")
+        moments = ranked.join(edge, runs).where("distance <= edge").groupBy(*runs).agg(
+            *(F.avg(x).alias(f"t{i}") for i, x in enumerate(VECTOR)),
+            *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(len(VECTOR)) for j in range(i + 1)))
+        moments = _factored(moments, F.lit(1.0), floors=False).withColumn(
+            "determinant", sum((2 * F.log(F.col(f"f{i}{i}")) for i in range(len(VECTOR))), F.lit(0.0)))
+        moments = _settled(spark, moments, "rules-moments")
+        now = moments.select(*runs, "determinant")
+        if before is not None and now.join(before, runs).where(F.col("determinant") < F.col("last") - FALL).isEmpty():
+            break
+        before = now.withColumnRenamed("determinant", "last")
+        ranked = rows.join(moments, GROUP).select(*runs, *VECTOR, _distance("t", "f").alias("distance"))
+    kept = [c for c in moments.columns if c[0] in "tcf" and c[1:].isdigit()]
+    least = moments.groupBy(*GROUP).agg(F.min_by(F.struct(*kept), F.struct("determinant", "start")).alias("m"))
+    return _settled(spark, least.select(*GROUP, "m.*"), "rules-least")
 
 
 def fitted(spark: SparkSession, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(group sizes, parameters): medians m*, centre t* and factor f** of each group
-    that is large enough.  ``numbers`` is a written table of ``measured`` columns."""
-    sizes = _settled(spark, numbers.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")), "rules-sizes")
+    """(pools of small groups, parameters): medians m*, centre t* and factor f** of each
+    group that is large enough.  ``numbers`` is a written table of ``measured`` columns."""
+    sizes = _settled(spark, _sizes(numbers), "rules-sizes")
     rows = _pooled(numbers.where("n_words > 0").select(*GROUP, "n_words", *VECTOR), sizes)
     medians = rows.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(VECTOR)))
@@ -150,26 +189,14 @@ def fitted(spark: SparkSession, numbers: DataFrame) -> tuple[DataFrame, DataFram
     rows = stored(spark, _shrunk(rows.join(medians, GROUP)).select(*GROUP, *VECTOR, *(f"m{i}" for i in range(len(VECTOR)))), "rules-vectors")
     spread = rows.groupBy(*GROUP).agg(*(
         F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(VECTOR)))
-    spread = _settled(spark, spread, "rules-spread")
-    start = sum((((F.col(x) - F.col(f"m{i}")) / (1.4826 * F.col(f"d{i}") + FLOORS[i])) ** 2 for i, x in enumerate(VECTOR)), F.lit(0.0))
-    ranked = rows.join(spread, GROUP).withColumn("distance", start)
-    for step in range(STEPS + 1):
-        ranked = ranked.select(*GROUP, *VECTOR, "distance")
-        edge = ranked.groupBy(*GROUP).agg(F.percentile_approx("distance", KEPT_SHARE, 1000).alias("edge"),
-                                          F.percentile_approx("distance", 0.5, 1000).alias("middle"))
-        edge = _settled(spark, edge, "rules-edge")
-        if step == STEPS:
-            scale = F.greatest(F.col("middle") / MEDIAN_CHI2_4, F.lit(1e-6))
-            final = _factored(moments.join(edge.drop("edge"), GROUP), scale, floors=True)
-            names = [c for c in final.columns if c[0] in "tf" and c[1:].isdigit()]
-            return sizes, _settled(spark, medians.join(final.select(*GROUP, *names), GROUP), "rules-parameters")
-        chosen = ranked.join(edge, GROUP).where("distance <= edge")
-        moments = chosen.groupBy(*GROUP).agg(
-            *(F.avg(x).alias(f"t{i}") for i, x in enumerate(VECTOR)),
-            *(F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in range(len(VECTOR)) for j in range(i + 1)))
-        moments = _settled(spark, _factored(moments, F.lit(1.0), floors=False), "rules-moments")
-        ranked = rows.join(moments, GROUP).withColumn("distance", _distance("t", "f"))
-        moments = moments.drop(*(c for c in moments.columns if c[0] == "f"))
+    moments = _concentrated(spark, rows, _settled(spark, spread, "rules-spread"))
+    middle = rows.join(moments, GROUP).withColumn("distance", _distance("t", "f")).groupBy(*GROUP).agg(
+        F.percentile_approx("distance", 0.5, 1000).alias("middle"))
+    moments = moments.drop(*(c for c in moments.columns if c[0] == "f"))
+    scale = F.greatest(F.col("middle") / MEDIAN_CHI2_4, F.lit(1e-6))
+    final = _factored(moments.join(_settled(spark, middle, "rules-middle"), GROUP), scale, floors=True)
+    names = [c for c in final.columns if c[0] in "tf" and c[1:].isdigit()]
+    return sizes, _settled(spark, medians.join(final.select(*GROUP, *names), GROUP), "rules-parameters")
 
 
 def judged(rows: DataFrame, sizes: DataFrame, parameters: DataFrame) -> DataFrame:

@@ -177,6 +177,43 @@ def test_rules_reject_outliers_of_a_group_only(spark):
     assert {d.doc_id for d in out.collect()} == {i for i in kept if kept[i]} and "symbols" in out.columns
 
 
+def test_rules_pool_small_languages(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"l{n % 30}", "s", 400, *map(float, rng.normal(0.3, 0.02, 4))) for n in range(300)]  # thirty languages of ten rows
+    rows += [("l0", "t", 400, 3.0, 3.0, 3.0, 3.0)]
+    numbers = spark.createDataFrame(rows, "lang_key string, source_key string, n_words long, " + ", ".join(f"{c} double" for c in R.VECTOR))
+    pools, parameters = R.fitted(spark, numbers)
+    assert {(r.lang_key, r.source_key) for r in parameters.collect()} == {("\0pool", "\0pool")}
+    got = R.judged(numbers.withColumn("base_failed", F.lit(False)), pools, parameters).collect()
+    assert [r.kept for r in got if r.symbols > 2] == [False] and sum(r.kept for r in got) == 300
+
+
+def test_rules_subset_has_the_least_determinant(spark):
+    rng = np.random.default_rng(5)
+    good = rng.normal(0, 1, (400, 4)) @ np.array([[1, .8, 0, 0], [0, .5, .3, 0], [0, 0, 1, .9], [0, 0, 0, .3]])
+    junk = rng.normal(0, 0.3, (90, 4)) + [4, -4, 4, -4]  # a cluster that three quarters can leave out
+    x = np.vstack([good, junk])
+    rows = spark.createDataFrame([("a", "b", *map(float, v), *map(float, np.median(x, 0))) for v in x],
+                                 "lang_key string, source_key string, " + ", ".join(f"{c} double" for c in R.VECTOR + [f"m{i}" for i in range(4)]))
+    mad = np.median(np.abs(x - np.median(x, 0)), 0)
+    spread = spark.createDataFrame([("a", "b", *map(float, mad))], "lang_key string, source_key string, " + ", ".join(f"d{i} double" for i in range(4)))
+    got = R._concentrated(spark, rows, spread).first()
+
+    def steps(chosen):  # plain concentration until nothing changes
+        while True:
+            c = np.cov(x[chosen].T, bias=True) + np.diag((np.array(R.FLOORS) * 0.1) ** 2)
+            d = np.einsum("ij,jk,ik->i", x - x[chosen].mean(0), np.linalg.inv(c), x - x[chosen].mean(0))
+            after = np.argsort(d, kind="stable")[:len(chosen)]
+            if set(after) == set(chosen):
+                return np.linalg.slogdet(c)[1]
+            chosen = after
+
+    size = int(R.KEPT_SHARE * len(x))
+    least = min(steps(chosen) for chosen in [np.arange(size), *(rng.choice(len(x), size, replace=False) for _ in range(30))])
+    determinant = sum(2 * np.log(got[f"f{i}{i}"]) for i in range(4))
+    assert determinant == pytest.approx(least, abs=0.05)
+
+
 def test_distance_is_that_of_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
