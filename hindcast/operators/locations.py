@@ -6,6 +6,7 @@ DataFrame operator that works for one request or a whole table of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -119,8 +120,9 @@ def geocode_candidates(responses: DataFrame, body_col: str = "body") -> tuple[Da
 
 # ----------------------------------------------------------------------------- rules, merge, snapshot
 def location_violations(df: DataFrame) -> DataFrame:
-    """P12 + Q7: row rules of the locations table as a ``violations`` array."""
+    """Row rules of a location snapshot as a ``violations`` array."""
     rules = [
+        (F.col("location_id").isNull() | (F.col("location_id") < 1), "invalid_location_id"),
         (F.col("open_meteo_location_id").isNull() | (F.col("open_meteo_location_id") <= 0), "invalid_provider_id"),
         (F.coalesce(F.trim("city"), F.lit("")) == "", "blank_city"),
         (F.coalesce(F.trim("country"), F.lit("")) == "", "blank_country"),
@@ -129,6 +131,7 @@ def location_violations(df: DataFrame) -> DataFrame:
         (F.col("longitude").isNull() | (F.col("longitude") < -180) | (F.col("longitude") > 180), "invalid_longitude"),
         (F.coalesce(F.trim("timezone"), F.lit("")) == "", "blank_timezone"),
         (F.col("population") < 0, "negative_population"),
+        (F.col("source_created_at").isNull() | F.col("source_updated_at").isNull(), "missing_source_timestamp"),
     ]
     codes = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in rules]))
     return df.withColumn("violations", codes)
@@ -151,6 +154,23 @@ def write_snapshot(snapshot: DataFrame, path: str, synced_at: Column) -> None:
     validated_snapshot(snapshot, synced_at).write.mode("overwrite").parquet(path)
 
 
+def swap_snapshot(snapshot: DataFrame, table: str, root: str, synced_at: Column) -> str:
+    """Replace catalog table ``table`` by the snapshot: (the folder that now holds it).
+
+    The rows go to a new folder below ``root`` first; only when all are valid and written
+    is the table pointed there, so readers see the old rows or the new ones, and an empty
+    snapshot, a bad row or a lost driver leaves the table as it was."""
+    spark = snapshot.sparkSession
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    write_snapshot(snapshot, path, synced_at)
+    if spark.catalog.tableExists(table):
+        spark.sql(f"alter table {table} set location '{path}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"create table {table} using parquet location '{path}'")
+    return path
+
+
 def merge_locations(existing: DataFrame, incoming: DataFrame, now: Column, arrival: str) -> DataFrame:
     """ST6: upsert by provider id.  Matched rows keep ``location_id`` and
     ``created_at`` and take the incoming attributes with ``updated_at = now``;

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 
+from hindcast.plans.damage import Damage, damaged_sql
 from hindcast.schemas import METRICS, VERIFICATION_SERIES  # noqa: F401
 from hindcast.sources import formulas as fx
 
@@ -282,9 +283,10 @@ m_fct_model_forecast_accuracy as (select * from acc),
 m_agg_model_accuracy as ({agg_sql()})"""
 
 
-def check_sql(c) -> str:
+def check_sql(c, prefix: str = "m_") -> str:
+    """One check over the CTEs ``<prefix><table>``."""
     head = f"select '{c.check_name}' as check_name, '{c.table}' as table_name"
-    t = f"m_{c.table}"
+    t = f"{prefix}{c.table}"
     if c.kind == "not_null":
         return f"{head}, '{c.column}' as column_name, count(*) filter (where {c.column} is null) as failing_rows from {t}"
     if c.kind == "expression":
@@ -299,7 +301,7 @@ def check_sql(c) -> str:
     if c.kind == "relationships":
         return (f"{head}, '{c.column}' as column_name, count(*) as failing_rows from {t} x "
                 f"where x.{c.column} is not null and not exists "
-                f"(select 1 from m_{c.to_table} p where p.{c.to_column} = x.{c.column})")
+                f"(select 1 from {prefix}{c.to_table} p where p.{c.to_column} = x.{c.column})")
     if c.kind == "accepted_values":
         vals = ", ".join(f"'{v}'" for v in c.values)
         return (f"{head}, '{c.column}' as column_name, count(*) as failing_rows from "
@@ -313,6 +315,13 @@ def quality_report_sql(checks) -> str:
     return with_ctes(accuracy_sql(), model_ctes(), body=body)
 
 
+def damaged_report_sql(checks, damage, *ctes: str) -> str:
+    """The report over ``ctes`` (``m_<table>``) after their damage (``d_<table>``)."""
+    tables = dict.fromkeys(t for c in checks for t in (c.table, c.to_table) if t)
+    spoiled = ",\n".join(f"d_{t} as ({damaged_sql(f'm_{t}', damage.get(t, Damage()))})" for t in tables)
+    return with_ctes(*ctes, spoiled, body="\nunion all\n".join(check_sql(c, "d_") for c in checks))
+
+
 def latest_ctes() -> str:
     """Latest snapshot per location (newest day) and its hours."""
     return """

@@ -1274,3 +1274,6 @@ def q_mart_views(spark, sf_dir):
         select model_id, lead_time_bucket, sum(matched_hour_count) as matched_hours,
                count(distinct location_id) as locations, avg(temperature_mae) as mean_temperature_mae
         from {prefix}agg_model_accuracy group by model_id, lead_time_bucket""")
+
+
+from hindcast import registry_checks  # noqa: E402,F401  registers its queries here
