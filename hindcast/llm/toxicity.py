@@ -13,8 +13,8 @@ Scoring: the trie and the automata of all terms run as one machine whose states
 made when first met (a state is the set of trie nodes with the edits used so far), so
 a word costs a table look-up per character, and a word met before one look-up in all.
 Terms of five characters allow one edit, of eight two; digits and signs that stand
-for letters are read as letters.  A hit inside quotation marks counts less, one beside
-a word of address or beside other hits more.
+for letters are read as letters.  A hit inside a quotation, however long, counts less,
+one beside a word of address or beside other hits more.
 
 Rows: null and empty texts have no hits and the score of a text without hits; without
 labels, or without toxic ones, no term is learned and all texts score alike; repeated
@@ -25,6 +25,7 @@ and ``text`` are ignored, and labels, language, source and ids are no input of a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from math import exp, log, log1p
 
@@ -45,7 +46,7 @@ EDITS_BY_LENGTH = [(8, 2), (5, 1)]
 STEM_EDITS_FROM = 7
 NEAR_SPELLING = 0.6
 QUOTED, ADDRESSED, CROWDED = -0.6, 0.1, 0.1
-WINDOW_CHARS, WINDOW_WORDS = 60, 6
+WINDOW_WORDS = 6
 WORDS_KEPT = 700_000
 THRESHOLD = 0.3
 #: Bias and weights of strongest exact hit, strongest near hit and the sum of hits.
@@ -54,7 +55,9 @@ PRIOR, PRIOR_STRENGTH = np.array([-4.0, 1.0, 0.8, 0.5]), 1.0
 _WORD = re.compile(r"[\w@$]+")
 _LETTERS = str.maketrans("013457@$8", "oieastasb")
 _DISGUISE = re.compile(r"[013457@$8]")
-_OPEN, _CLOSE = "\"“„«‹‘", "\"”“»›’"
+_MARK = re.compile("[\"“”„«»‹›‘’]")
+# Marks that end a quotation, by the one that begins it.
+_ENDS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’"}
 # Words of address in the corpus's languages.
 _ADDRESS = set("you your youre ur du dich dir ihr euch dein tu te toi vous votre usted ustedes vosotros eres".split())
 
@@ -63,6 +66,26 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The outermost quotations of a whole text, from behind the mark that begins one to
+    the mark that ends it, in order and apart.
+
+    A mark begins a quotation where no word ends before it and something follows at once,
+    and ends one where no space stands before it and no word goes on behind it (so inches
+    and apostrophes do neither).  If the same mark begins again before an end came, the
+    earlier one was a stray and quotes nothing, as does one that no mark ends."""
+    found, start, mark = [], 0, ""
+    for m in _MARK.finditer(text):
+        c, at = m.group(), m.start()
+        before, after = text[at - 1:at] or " ", text[at + 1:at + 2] or " "
+        if mark and c in _ENDS[mark] and not before.isspace() and not after.isalnum():
+            found.append((start, at))
+            mark = ""
+        elif (not mark or c == mark) and c in _ENDS and not before.isalnum() and not after.isspace():
+            start, mark = at + 1, c
+    return found
+
+
 def folded(word: str) -> str:
     return word.translate(_LETTERS) if _DISGUISE.search(word) and not word.isdigit() else word
 
@@ -172,13 +195,12 @@ class Lexicon:
         low = text.lower()
         hit_at = [n for n, m in enumerate(matches) if m]
         found, places = [], [m.span() for m in _WORD.finditer(low)]
+        quoted_from, quoted_to = zip(*quotations(low) or [(len(low), len(low))])
         for n in hit_at:
             term, edits = matches[n]
             a, b = places[n]
-            before, after = low[max(0, a - WINDOW_CHARS):a], low[b:b + WINDOW_CHARS]
-            opened = any(before.rfind(o) > before.rfind(c, 0, len(before)) or o == c and before.count(o) % 2
-                         for o, c in zip(_OPEN, _CLOSE))
-            quoted = opened and any(c in after for c in _CLOSE)
+            k = bisect_right(quoted_from, a) - 1
+            quoted = k >= 0 and b <= quoted_to[k]
             around = words[max(0, n - WINDOW_WORDS):n + WINDOW_WORDS + 1]
             crowd = min(sum(bool(m) for m in matches[max(0, n - WINDOW_WORDS):n + WINDOW_WORDS + 1]) - 1, 3)
             context = 1 + QUOTED * quoted + ADDRESSED * any(w in _ADDRESS for w in around) + CROWDED * crowd
@@ -277,17 +299,24 @@ class Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
-    """Logistic weights by Newton steps, drawn to ``prior``."""
-    w = prior.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + strength * (w - prior)
-        bend = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
-        w = w - np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+    """Logistic weights by Newton steps, drawn to ``prior``.  But for the bias none is
+    negative, as a hit is no sign of a clean text: the least one below 0 becomes 0 and
+    the rest are found again."""
+    free = np.ones(len(prior), bool)
+    while True:
+        w, own = np.where(free, prior, 0.0), x[:, free]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = own.T @ (p - y) + strength * (w - prior)[free]
+            bend = (own * (p * (1 - p))[:, None]).T @ own + strength * np.eye(own.shape[1])
+            step = np.linalg.solve(bend, slope)
+            w[free] -= np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-6:
+                break
+        least = 1 + int(np.argmin(w[1:]))
+        if w[least] >= 0:
+            return w
+        free[least] = False
 
 
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:

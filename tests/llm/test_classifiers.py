@@ -176,3 +176,56 @@ def test_index_vectors_are_sparse_and_their_own():
     assert len({row.tobytes() for row in x}) == 500 and (x == np.vstack([Q.index_vectors([n]) for n in names])).all()
     angles = (x @ x.T)[np.triu_indices(500, 1)]
     assert abs(angles.mean()) < 0.02
+
+
+def test_quotations_over_a_whole_text():
+    from hindcast.llm.toxicity import quotations
+
+    def quoted(text):
+        return [text[a:b] for a, b in quotations(text)]
+
+    long = "word " * 200 + "end"
+    assert quoted(f'She said "{long}" and left.') == [long]
+    assert quoted(f"Er rief „{long}“ und «a b» ging; “c ‘d’ e”") == [long, "a b", "c ‘d’ e"]
+    assert quoted('a 5" pipe and "this one" too') == ["this one"]
+    assert quoted('a stray "mark and "this one" too') == ["this one"]
+    assert quoted("don’t ‘it isn’t’ so") == ["it isn’t"]
+    assert quoted('') == quoted('"') == quoted('never "ended') == quoted('" "') == []
+
+
+def test_only_the_quotation_or_the_misspelling_decides():
+    import numpy as np
+
+    from hindcast.llm.toxicity import Lexicon, Model
+
+    filler = "plain words stand here " * 20
+    model = Model(Lexicon({"grumbold": 5.0}), np.array([-3.0, 1.0, 1.0, 0.5]))
+    bare, quoted = f"{filler} grumbold {filler}", f'He wrote "{filler} grumbold {filler.strip()}" once.'
+    near, other = f"{filler} grumbild {filler}", f"{filler} grandly {filler}"
+    assert model.score(bare) >= 0.3 > model.score(other)
+    assert model.score(quoted) < model.score(bare) / 1.5
+    weak = Model(model.lexicon, np.array([-5.0, 1.0, 1.0, 0.5]))
+    assert weak.score(bare) >= 0.3 > weak.score(quoted)
+    assert model.score(near) >= 0.3
+
+
+def test_logistic_has_no_negative_weight_of_a_hit():
+    import numpy as np
+
+    from hindcast.llm.toxicity import logistic
+
+    rng = np.random.default_rng(1)
+    x = np.c_[np.ones(400), rng.random((400, 3))]
+    y = (x[:, 1] - 0.8 * x[:, 2] + 0.1 * rng.standard_normal(400) > 0.2).astype(float)
+    w = logistic(x, y, np.array([-4.0, 1.0, 0.8, 0.5]), 1.0)
+    assert w[2] == 0 and (w[1:] >= 0).all() and w[1] > 1
+
+    def loss(v):
+        z = x @ v
+        return np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum((v - [-4.0, 1.0, 0.8, 0.5]) ** 2)
+
+    for k in range(4):
+        for d in (-0.05, 0.05):
+            v = w + d * np.eye(4)[k]
+            if (v[1:] >= 0).all():
+                assert loss(v) >= loss(w) - 1e-9
