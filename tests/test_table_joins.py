@@ -77,6 +77,21 @@ def test_bulk_search_against_every_pair(spark):
     assert bulk_search(loc, req.limit(0), 7).count() == bulk_search(loc.limit(0), req, 7).count() == 0
 
 
+def test_bulk_search_compares_matching_pairs(spark):
+    """A wildcard in front or a common beginning before one must not meet every city."""
+    from hindcast.operators import search as S
+    loc = spark.range(3000).select(F.col("id").alias("location_id"), F.format_string("City%06d", "id").alias("city"),
+                                   F.lit("DE").alias("country_code"), F.col("id").alias("population"))
+    terms = [(n, t, None) for n in range(0, 3000, 30) for t in (f"_ity{n:06d}", f"c_ty%{n:03d}", f"c__y{n:06d}_%")]
+    req = spark.createDataFrame(terms, "request_id long, term string, country_code string")
+    asked = S._terms(req.select("request_id", F.lower("term").alias("__term"), F.lit("").alias("__country")))
+    shapes = sorted(r[0] for r in asked.select("__shape").distinct().collect())
+    pairs = S.candidates(S._layout(loc, shapes), asked).count()
+    assert pairs < 3000  # 900,000 and more when each term meets every city
+    got = {(x.request_id, x.location_id) for x in bulk_search(loc, req).where("position = 1").collect()}
+    assert got >= {(n, n) for n in range(0, 3000, 30)}
+
+
 @pytest.fixture
 def in_files(spark, tmp_path):
     r = random.Random(8)
