@@ -151,3 +151,20 @@ def test_a_load_is_known_by_its_rows(spark, tmp_path):
     assert spark.read.parquet(path).count() == 500 and S.finished_loads(spark, ledger).first().n_rows == 500
     empty, _ = S.load_once(rows.limit(0), path, ledger, "p", ["day"])
     assert empty != name and S.finished_loads(spark, ledger).count() == 2
+
+
+def test_late_join_keeps_its_state_on_disk(spark, tmp_path):
+    """Waiting rows stand in RocksDB, not in the executors' heaps; the caller's session keeps its settings."""
+    import os
+
+    from hindcast.streaming import late
+    rows = "location_id long, valid_at timestamp, retrieved_at timestamp"
+    t = dt.datetime(2024, 1, 1)
+    f = spark.createDataFrame([(n, t, t) for n in range(9)], rows)
+    v = spark.createDataFrame([(n, t, t + dt.timedelta(days=8)) for n in range(5)], rows)
+    before = dict(spark.conf.getAll)
+    late.run_by_arrival(spark, f, v, "retrieved_at", str(tmp_path), "20 days")
+    assert spark.read.parquet(f"{tmp_path}/matches").count() == 5
+    kinds = {os.path.splitext(name)[1] for _, _, names in os.walk(tmp_path / "checkpoint" / "state") for name in names}
+    assert ".changelog" in kinds and ".delta" not in kinds
+    assert dict(spark.conf.getAll) == before
