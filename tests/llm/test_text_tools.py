@@ -262,3 +262,17 @@ def test_lowest_keys_are_those_of_a_sort(spark):
     for limit in (1, 7, 2000, 5003, 9000):
         assert [r.key for r in S._lowest(rows, limit)] == sorted(keys)[:limit], limit
     assert S._lowest(rows.limit(0), 5) == []
+
+
+def test_secret_field_is_trained_on_numbers(monkeypatch):
+    """Samples are read once, one at a time, and what is kept of a feature is its number."""
+    import tracemalloc
+
+    monkeypatch.setattr(S, "EPOCHS", 0)
+    told = (([[f"feature:{(7 * t + k) % 500}" for k in range(14)] for t in range(60)], [0] * 60) for _ in range(400))
+    tracemalloc.start()
+    field = S.train(told)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(field.names) == sorted(f"feature:{k}" for k in range(500))
+    assert peak < 24 * 400 * 60 * 14  # bytes for each feature of a token; names took 60 and more
