@@ -47,11 +47,16 @@ def latest_changes(log: DataFrame) -> DataFrame:
 
 
 def change_writer(path: str):
-    """Writes a micro-batch of ``latest_changes``, decoded, into its own partition."""
+    """Writes a micro-batch of ``latest_changes``, decoded, into its own partition; one
+    that changes nothing writes nothing.  The changes are kept while both are done, or the
+    micro-batch would be read and aggregated twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        winners = batch.where(F.col("latest").isNotNull()).select(*(f"latest.{c}" for c in RECORD))
-        replay_safe_load(L.decode_latest_events(winners), path, batch_id)
-    return where_not_empty(write)
+        winners = batch.where(F.col("latest").isNotNull()).select(*(f"latest.{c}" for c in RECORD)).persist()
+        try:
+            where_not_empty(lambda rows, n: replay_safe_load(L.decode_latest_events(rows), path, n))(winners, batch_id)
+        finally:
+            winners.unpersist()
+    return write
 
 
 def run_latest_state(spark: SparkSession, log: DataFrame, path: str, checkpoint: str) -> None:

@@ -269,7 +269,7 @@ def test_secret_field_is_trained_on_numbers(monkeypatch):
     import tracemalloc
 
     monkeypatch.setattr(S, "EPOCHS", 0)
-    told = (([[f"feature:{(7 * t + k) % 500}" for k in range(14)] for t in range(60)], [0] * 60) for _ in range(400))
+    told = (([[f"feature:{(9 * t + k) % 500}" for k in range(14)] for t in range(60)], [0] * 60) for _ in range(400))
     tracemalloc.start()
     field = S.train(told)
     peak = tracemalloc.get_traced_memory()[1]
