@@ -168,3 +168,15 @@ def test_late_join_keeps_its_state_on_disk(spark, tmp_path):
     kinds = {os.path.splitext(name)[1] for _, _, names in os.walk(tmp_path / "checkpoint" / "state") for name in names}
     assert ".changelog" in kinds and ".delta" not in kinds
     assert dict(spark.conf.getAll) == before
+
+
+def test_share_of_log_bounds_micro_batches(spark, tmp_path):
+    """However many files a log has, it takes about the named number of micro-batches."""
+    log = str(tmp_path / "log")
+    spark.range(4000).select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), F.lit("k").alias("key"),
+                             F.timestamp_seconds("id").alias("timestamp"), F.col("id").cast("string").alias("value")).repartition(
+        40).write.partitionBy("topic").parquet(log)
+    sizes = []
+    io.run_available_now(io.log_stream(spark, log, io.share_of_log(spark, log, batches=4, least=1)).writeStream.foreachBatch(
+        io.where_not_empty(lambda b, i: sizes.append(b.count()))).option("checkpointLocation", str(tmp_path / "ck")))
+    assert sum(sizes) == 4000 and 4 <= len(sizes) <= 6
