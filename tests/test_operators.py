@@ -103,3 +103,40 @@ def test_inline_rows_equals_inline(spark):
     ref = df.select("k", F.inline("arr"))
     assert got.columns == ref.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
+
+
+def test_document_hours_reads_odd_documents_as_text(spark):
+    """One parse gives the rows of two: a payload with any value of another type is read as text."""
+    from hindcast.functions.json import parse_text_fields, safe_cast, scalar_only
+    from hindcast.operators.unnest import document_hours, explode_json_array, typed_hourly
+
+    hour = '{"valid_at": "2026-01-01T00:00:00Z", "lead_time_hours": 3, "temperature_2m": 1.5, "weather_code": 61, "is_day": true}'
+    arrays = [f"[{hour}]", "[]", "null", hour, '"text"', f'"[{{}}]"', f"[null, {hour}]", f"[5, {hour}]", f'["x", [{hour}]]', f"[[], {hour}]",
+              '[{"temperature_2m": "2.5", "weather_code": "3", "is_day": "true"}]', '[{"weather_code": 3.7, "lead_time_hours": 2.0}]',
+              '[{"temperature_2m": {"a": 1}, "is_day": 1, "rain": [1], "valid_at": {"b": 2}}]', '[{"temperature_2m": NaN, "rain": "NaN"}]',
+              '[{"rain": 12345678901234567890, "weather_code": 12345678901234567890}]', '[{"rain": 1e400, "snowfall": 0.1000000000000000055}]',
+              '[{"rain": 1, "rain": "2"}, {"unknown": {"x": [1, 2]}, "valid_at": "soon", "uv_index": ""}]',
+              '[{"rain": 1}, {"rain": tr', f"[{hour}] [{hour}]", '[{"valid_at": " 2026-01-01T00:00:00Z", "is_day": null}]']
+    docs = [f'{{"occurred_at": "2026-01-02T00:00:00Z", "data": {{"name": "n{i}", "hourly": {a}, "after": 1}}}}' for i, a in enumerate(arrays)]
+    docs += ["", "not json", "[]", "5", "null", None, "{}", '{"data": 5}', f'[{docs[0]}]', docs[0][:-30], docs[0] + docs[0],
+             f'{{"occurred_at": {{"t": 1}}, "data": {{"hourly": [{hour}], "name": 7}}}}', f'{{"occurred_at": 5, "data": [{{"hourly": [{hour}]}}]}}']
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, payload string")
+    lifted = {"at": "occurred_at", "name": "data.name"}
+    text = df.withColumn("p", parse_text_fields("payload", ["occurred_at", "data.name", "data.hourly"]))
+    text = text.select("id", scalar_only("p.occurred_at").alias("at"), scalar_only("p.data.name").alias("name"), F.col("p.data.hourly").alias("rows"))
+    want = typed_hourly(explode_json_array(text, "rows"), ["id", "at", "name"], with_lead=True)
+    got = document_hours(df, ["id"], "payload", lifted, "data.hourly", with_lead=True)
+    assert got.dtypes == want.dtypes
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(got) == rows(want) and len(rows(got)) > 20
+
+
+def test_typed_hours_are_made_by_one_parse(spark, sf_small):
+    """No array of element texts, parsed one by one, stands in the typed tables' plans."""
+    from hindcast.plans.models import Models
+
+    m = Models.from_bridge(spark, sf_small)
+    for df in (m.int_model_run_hourly_forecasts, m.int_verification_hourly_weather, m.int_operational_hourly_forecasts):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(from_json(ArrayType(StringType" not in plan
+        assert plan.count("Generate posexplode") >= 1
