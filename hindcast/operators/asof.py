@@ -3,7 +3,9 @@
 Each left row gets the right row of the same key whose instant is nearest in whole
 seconds, the earlier one where two are as near.  Rows are never paired: both tables are
 put into one sequence, in which the last right row before a left row and the first one
-after it are carried along by two windows, and the nearer of the two is taken.
+after it are carried along by two windows, and the nearer of the two is taken.  Right
+rows of one second are told apart by the windows' order, so they aren't shuffled to be
+combined first.
 
 A key may hold any share of the rows, so the sequence is cut into chunks of time and a
 window covers one chunk of one key.  What a chunk needs from its neighbours, the last
@@ -39,15 +41,15 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at:
     second = F.floor(F.unix_micros("at") / 1_000_000)
     found = right.select(*keys, F.struct(F.col(right_at).alias("at"), *(F.col(c) for c in carry)).alias("r"))
     found = found.where(F.col("r.at").isNotNull() & ~F.greatest(*(F.col(k).isNull() for k in names), F.lit(False)))
-    found = found.withColumn("at", F.col("r.at")).groupBy(*names, second.alias("second")).agg(F.min("r").alias("r"))
+    found = found.withColumn("at", F.col("r.at")).withColumn("second", second).drop("at")
     asked = left.select(*keys, F.struct(*left.columns).alias("l"), F.col(left_at).alias("at")).withColumn("second", second).drop("at")
     rows = asked.select(*names, "second", "l", F.lit(None).cast(found.schema["r"].dataType).alias("r")).unionByName(
         found.select(*names, "second", F.lit(None).cast(asked.schema["l"].dataType).alias("l"), "r"))
     rows = rows.withColumn("chunk", F.floor(F.col("second") / chunk_seconds))
 
-    ends = rows.groupBy(*names, "chunk").agg(
-        F.min_by("r", F.when(F.col("r").isNotNull(), F.col("second"))).alias("first"),
-        F.max_by("r", F.when(F.col("r").isNotNull(), F.col("second"))).alias("last"))
+    # of one second the least right row counts
+    least = lambda by: F.min_by("r", F.when(F.col("r").isNotNull(), F.struct(by, "r")))
+    ends = rows.groupBy(*names, "chunk").agg(least(F.col("second")).alias("first"), least(-F.col("second")).alias("last"))
     one_key = Window.partitionBy(*names)
     before = one_key.orderBy(F.col("chunk").asc()).rowsBetween(Window.unboundedPreceding, -1)
     after = one_key.orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,12 +60,13 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at:
     edges = edges.select(*names, "chunk", F.lit(None).cast("bigint").alias("second"), "e.edge", "e.r").where(F.col("r").isNotNull())
 
     line = rows.withColumn("edge", F.lit(0)).unionByName(edges, allowMissingColumns=True)
-    matter = F.col("r").isNull().cast("int")  # at one second the right row comes first, in both directions
+    # at one second the right rows come first, in both directions, the least of them last
+    told_apart = [F.col("r").isNull().cast("int"), F.col("r").desc()]
     one_chunk = Window.partitionBy(*names, "chunk")
     so_far = (Window.unboundedPreceding, Window.currentRow)
     line = line.withColumns({
-        "earlier": _carried("r", one_chunk.orderBy("edge", "second", matter).rowsBetween(*so_far)),
-        "later": _carried("r", one_chunk.orderBy(F.col("edge").desc(), F.col("second").desc(), matter).rowsBetween(*so_far))})
+        "earlier": _carried("r", one_chunk.orderBy("edge", "second", *told_apart).rowsBetween(*so_far)),
+        "later": _carried("r", one_chunk.orderBy(F.col("edge").desc(), F.col("second").desc(), *told_apart).rowsBetween(*so_far))})
     gap = lambda c: F.abs(F.floor(F.unix_micros(f"{c}.at") / 1_000_000) - F.col("second"))
     best = F.when(F.col("later").isNull() | (gap("earlier") <= gap("later")), F.col("earlier")).otherwise(F.col("later"))
     told = line.where(F.col("l").isNotNull()).withColumn("best", F.when(F.col("second").isNotNull(), best))

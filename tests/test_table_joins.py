@@ -143,3 +143,15 @@ def test_rollup_counts_distinct_events_without_expand(spark, sf_small):
     cols = [*A.FACT_KEYS, "forecast_run_count", "verification_event_count", "matched_hour_count"]
     got = sorted(map(str, rolled.select(*cols).collect()))
     assert got == sorted(map(str, want.select(*cols).collect()))
+
+
+def test_nearest_join_takes_the_least_of_one_second(spark):
+    """Right rows of one second aren't shuffled to be combined; the earliest, then the least, still counts."""
+    left = spark.sql("select 1 as key, timestamp'2026-01-02 00:00:10' as at union all select 1, timestamp'2026-01-05 00:00:00'")
+    right = spark.sql("""select 1 as key, timestamp'2026-01-02 00:00:10.7' as valid_at, 1 as n union all select 1, timestamp'2026-01-02 00:00:10.2', 9
+        union all select 1, timestamp'2026-01-02 00:00:10.2', 5 union all select 1, timestamp'2026-01-02 00:00:10.2', cast(null as int)""")
+    for rows, n in ((right, None), (right.where("n is not null"), 5)):
+        got = nearest_join(left, rows, ["key"], "at", "valid_at", ["n"])
+        assert [(r["nearest_n"], r["nearest_valid_at"].microsecond) for r in got.collect()] == [(n, 200_000)] * 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1, plan
