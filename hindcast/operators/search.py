@@ -13,6 +13,9 @@ Equal requests are answered once.  Where the head is the whole term the best of
 are cut off before the join, in every task before the shuffle; cities are dealt to tasks
 in the order of their names, so that those of one beginning are cut off in one place and
 a short term that half of all cities match does not gather them.
+
+No side that grows with the tables is broadcast: Spark plans a broadcast from the size of
+the files under a side, before the layout has multiplied its rows, and keeps to that plan.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.operators.joins import estimated_row_bytes
 from hindcast.operators.locations import clamp_limit
 
 _RUNS = 3
@@ -29,7 +33,10 @@ _GRAM = 3
 _HEAD = rf"^((?:_*[^_%\\]+){{0,{_RUNS}}})"
 #: Rows of the layout in one task, which sorts them in memory.
 TASK_ROWS = 2_000_000
+#: Terms that are compared in full are broadcast under this size, by their count.
+TERM_BYTES = 8 << 20
 _KEYS = ["__shape", "__key", "__gram", "__in"]
+_WHOLE = ["__hash", "__shape", "__key", "__in"]
 
 
 def _terms(asked: DataFrame) -> DataFrame:
@@ -71,16 +78,23 @@ def _layout(locations: DataFrame, shapes: list[str]) -> DataFrame:
                        F.when(F.col("__abroad"), F.col("country_code")).otherwise("").alias("__in"), F.explode(grams).alias("__gram"))
 
 
-def candidates(cities: DataFrame, terms: DataFrame) -> DataFrame:
-    """The pairs that are compared in full: equal shape, key, gram and country."""
-    return cities.where(~F.col("__whole")).drop("__whole").join(terms.where(~F.col("__whole")).drop("__whole"), _KEYS)
+def candidates(cities: DataFrame, terms: DataFrame, n_terms: int | None = None) -> DataFrame:
+    """The pairs that are compared in full: equal shape, key, gram and country.  ``n_terms``
+    is the number of those terms, where it is known."""
+    mine = terms.where(~F.col("__whole")).drop("__whole")
+    small = n_terms is not None and n_terms * estimated_row_bytes(mine.schema) <= TERM_BYTES
+    return cities.where(~F.col("__whole")).drop("__whole").join(F.broadcast(mine) if small else mine.hint("merge"), _KEYS)
+
+
+def _hashed(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.withColumn("__hash", F.xxhash64(*by))
 
 
 def _best(matches: DataFrame, by: list[str], n: int) -> DataFrame:
-    """``position`` 1 to ``n`` within ``by``; their hash leads the sort."""
-    rank = F.row_number().over(Window.partitionBy(F.xxhash64(*by), *by).orderBy(
+    """``position`` 1 to ``n`` within ``by``; their hash, ``__hash``, leads the sort."""
+    rank = F.row_number().over(Window.partitionBy("__hash", *by).orderBy(
         F.col("population").desc_nulls_last(), F.col("city").asc(), F.col("location_id").asc()))
-    return matches.withColumn("position", rank).where(F.col("position") <= n).withColumn("position", F.col("position").cast("bigint"))
+    return _hashed(matches, by).withColumn("position", rank).where(F.col("position") <= n).withColumn("position", F.col("position").cast("bigint"))
 
 
 def bulk_search(locations: DataFrame, requests: DataFrame, limit: int | None = None) -> DataFrame:
@@ -93,12 +107,16 @@ def bulk_search(locations: DataFrame, requests: DataFrame, limit: int | None = N
     asked = requests.select("request_id", F.lower("term").alias("__term"),
                             F.coalesce(F.upper(F.trim("country_code")), F.lit("")).alias("__country")).where(F.col("__term").isNotNull())
     terms = _terms(asked)
-    shapes = sorted(r[0] for r in terms.select("__shape").distinct().collect())
+    counts = {r[0]: r[1] for r in terms.groupBy("__shape").count().collect()}
+    shapes = sorted(counts)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), locations.count() * len(shapes) // TASK_ROWS + 1)
     cities = _layout(locations.repartitionByRange(tasks, F.lower("city")), shapes)
     found = [*locations.columns, "position", "__term", "__country"]
-    whole = _best(cities.where("__whole").drop("__whole", "__gram"), ["__shape", "__key", "__in"], n)
-    whole = whole.join(terms.where("__whole").select("__shape", "__key", "__in", "__term", "__country"), ["__shape", "__key", "__in"])
-    like = candidates(cities, terms).where(F.like(F.lower("city"), F.concat("__term", F.lit("%"))))
+    whole = _best(cities.where("__whole").drop("__whole", "__gram"), _WHOLE[1:], n)
+    # the best of each key stay where the window has dealt and sorted them; only terms are dealt
+    answers = _hashed(terms.where("__whole"), _WHOLE[1:]).select(*_WHOLE, "__term", "__country")
+    whole = whole.join(answers.hint("merge"), _WHOLE)
+    like = candidates(cities, terms, sum(n for shape, n in counts.items() if shape.endswith(":false")))
+    like = like.where(F.like(F.lower("city"), F.concat("__term", F.lit("%"))))
     best = whole.select(*found).unionByName(_best(like, ["__term", "__country"], n).select(*found))
-    return best.join(asked, ["__term", "__country"]).select("request_id", "position", *locations.columns)
+    return best.join(asked.hint("merge"), ["__term", "__country"]).select("request_id", "position", *locations.columns)

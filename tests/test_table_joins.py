@@ -92,6 +92,20 @@ def test_bulk_search_compares_matching_pairs(spark):
     assert got >= {(n, n) for n in range(0, 3000, 30)}
 
 
+def test_bulk_search_broadcasts_nothing_that_grows(spark):
+    """Cities as they are laid out and the best of each key outgrow the driver; the terms that are compared in full may go."""
+    from hindcast.operators import search as S
+    loc = spark.range(300).select(F.col("id").alias("location_id"), F.format_string("City%06d", "id").alias("city"),
+                                  F.lit("DE").alias("country_code"), F.col("id").alias("population"))
+    req = loc.select(F.col("location_id").alias("request_id"), F.when(F.col("location_id") % 2 == 0, F.col("city")).otherwise("C%1").alias("term"),
+                     F.lit(None).cast("string").alias("country_code"))
+    plan = bulk_search(loc, req)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 2 and "BuildLeft" not in plan
+    asked = S._terms(req.select(F.lower("term").alias("__term"), F.lit("").alias("__country")))
+    many = S.candidates(S._layout(loc, ["x:1:false:false"]), asked, S.TERM_BYTES)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in many and "SortMergeJoin" in many
+
+
 @pytest.fixture
 def in_files(spark, tmp_path):
     r = random.Random(8)
