@@ -175,6 +175,31 @@ def test_field_learns_from_rare_secrets_and_long_windows(spark):
     assert S._pieces(tags) == [(0, 399), (399, 799), (799, 902)]
 
 
+def test_field_reads_the_whole_text(monkeypatch):
+    """The best tags of the whole sequence of tokens, also of those far from any key-like run or credential word."""
+    import numpy as np
+
+    r = random.Random(12)
+    words = ["thane", "ero", "Tihan", "ABC", "9a8b7c6d5e", "secret", "=", "{", "é", "-", "x.y", "4041894974608795", "zzkwq"]
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        names = {f: n for n, f in enumerate(sorted({f for fs in S.features([*words, *words[::-1]], S.file_features("ab;1")) for f in fs}))}
+        field = S.Field(names, rng.normal(0, 1, (len(names), 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3))
+        field.weights[names["bias"]] += [seed, 0, 0]
+        field.steps[0, 2] = field.first[2] = -1e4
+        monkeypatch.setattr(S, "PIECE_CHARS", 9 if seed % 2 else 1 << 18)
+        monkeypatch.setattr(S, "PIECE_TOKENS", 5 if seed % 3 else 1 << 15)
+        for n in (0, 1, 2, 7, 60, 200):
+            text = " ".join(r.choice(words) for _ in range(n))
+            places = [m.span() for m in S._TOKEN.finditer(text)]
+            want = field.tags(S.features([text[a:b] for a, b in places], S.file_features(text)))
+            assert field.tagged(text) == [(t, a, b) for t, (a, b) in zip(want, places) if t]
+    # a secret of letters alone, which no window holds
+    names = {f: n for n, f in enumerate(["bias", "shape:Aa"])}
+    field = S.Field(names, np.array([[1.0, 0, 0], [0, 9, 0]]), np.array([[0, 0, -1e4], [0, 0, 0], [0, 0, 0]]), np.array([0, 0, -1e4]))
+    assert S.windows("thane ero Qwertyuiop tihan") == [] and S.all_spans("thane ero Qwertyuiop tihan", field) == [("crf", 10, 20)]
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = secret_docs(spark)
     out = S.without_secrets(spark, docs)
