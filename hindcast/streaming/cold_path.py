@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hindcast.sources import raw
 from hindcast.sources.sinks import replay_safe_load
-from hindcast.streaming.io import run_available_now, where_not_empty
+from hindcast.streaming.io import ended, where_not_empty
 
 
 def minute_after_record() -> Column:
@@ -54,7 +54,7 @@ def start_cold_path(spark: SparkSession, log_of: Callable[[str | None], DataFram
                     available_now: bool = True, interval: str = "1 hour", ingested_at=F.current_timestamp) -> dict:
     """One query per topic, and one that fails on records of unknown topics.
     ``log_of`` gives the stream of a topic's records, and that of all for None.
-    ``ingested_at`` makes the load time of a batch.  With ``available_now`` each runs to the end of the
+    ``ingested_at`` makes the load time of a batch.  With ``available_now`` all run beside each other to the end of the
     available input and the result maps table -> ``"ok"`` or the error that
     stopped it (a failing topic does not stop the others, and its checkpoint
     stays at the last committed batch).  Otherwise the started queries are
@@ -69,12 +69,24 @@ def start_cold_path(spark: SparkSession, log_of: Callable[[str | None], DataFram
         w = (mine.writeStream.foreachBatch(write)
              .option("checkpointLocation", f"{checkpoint_root}/{table}")
              .queryName(f"cold_path_{table}"))
-        if available_now:
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+        try:
+            results[table] = w.start()
+        except Exception as exc:
+            if not available_now:
+                raise
+            results[table] = _failed(exc)
+    if available_now:
+        for table, q in results.items():
+            if isinstance(q, str):
+                continue
             try:
-                run_available_now(w)
+                ended(q)
                 results[table] = "ok"
             except Exception as exc:  # isolate the topic; the caller sees the error
-                results[table] = f"failed: {str(exc).splitlines()[0][:200]}"
-        else:
-            results[table] = w.trigger(processingTime=interval).start()
+                results[table] = _failed(exc)
     return results
+
+
+def _failed(exc: Exception) -> str:
+    return f"failed: {str(exc).splitlines()[0][:200]}"

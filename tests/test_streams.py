@@ -180,3 +180,20 @@ def test_share_of_log_bounds_micro_batches(spark, tmp_path):
     io.run_available_now(io.log_stream(spark, log, io.share_of_log(spark, log, batches=4, least=1)).writeStream.foreachBatch(
         io.where_not_empty(lambda b, i: sizes.append(b.count()))).option("checkpointLocation", str(tmp_path / "ck")))
     assert sum(sizes) == 4000 and 4 <= len(sizes) <= 6
+
+
+def test_cold_path_runs_topics_side_by_side_into_small_files(spark, sf_small, tmp_path, monkeypatch):
+    from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+    from hindcast.sources import raw
+    from hindcast.streaming import cold_path
+
+    rows = [(t, 0, n, "k", T0, "{}") for n, t in enumerate(raw.MAPPERS)]
+    io.append_log(spark.createDataFrame(rows, LOG), str(tmp_path / "log"), "timestamp")
+    assert all(p.name.endswith(".zstd.parquet") for p in (tmp_path / "log").rglob("part-*"))
+    calls = []
+    for kind, name in ((DataStreamWriter, "start"), (StreamingQuery, "awaitTermination")):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), n=name, **b: (calls.append(n), f(self, *a, **b))[1])
+    told = cold_path.start_cold_path(spark, lambda topic: io.log_stream(spark, str(tmp_path / "log"), topic=topic), str(tmp_path / "raw"), str(tmp_path / "c"))
+    assert calls == ["start"] * len(told) + ["awaitTermination"] * len(told)
+    assert told.pop("unknown_topics") == "ok" and len(told) == 3 and all(x.startswith("failed") for x in told.values())
