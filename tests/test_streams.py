@@ -197,3 +197,13 @@ def test_cold_path_runs_topics_side_by_side_into_small_files(spark, sf_small, tm
     told = cold_path.start_cold_path(spark, lambda topic: io.log_stream(spark, str(tmp_path / "log"), topic=topic), str(tmp_path / "raw"), str(tmp_path / "c"))
     assert calls == ["start"] * len(told) + ["awaitTermination"] * len(told)
     assert told.pop("unknown_topics") == "ok" and len(told) == 3 and all(x.startswith("failed") for x in told.values())
+
+
+def test_content_loads_map_the_log_once(spark, sf_small, monkeypatch):
+    from hindcast import registry
+
+    plans, load = [], S.load_once
+    monkeypatch.setattr(S, "load_once", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), load(df, *a))[1])
+    assert registry.QUERIES["content_loads"].spark(spark, sf_small).count() == 3
+    assert len(plans) == 9 and not any("json" in p for p in plans)
+    assert not any("kafka_offset#" in line and ", 3)" in line for p in plans for line in p.splitlines() if "Exchange" in line)
